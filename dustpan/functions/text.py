@@ -22,7 +22,8 @@ def is_blank(text: Column | str) -> Column:
 
 def human_size(n: Column | str) -> Column:
     n = col(n)
-    return F.when(n >= 1024, F.format_string("= %.1f KB", n / 1024)) \
+    # Ties round to even before formatting: 1280 bytes show as 1.2 KB.
+    return F.when(n >= 1024, F.format_string("= %.1f KB", F.bround(n / 1024, 1))) \
             .otherwise(F.format_string("= %d bytes", n.cast("bigint")))
 
 

@@ -11,6 +11,7 @@ from dustpan.fixtures import PATTERN_COLUMNS
 from dustpan.functions.glob import glob_predicate, glob_to_regex, literal_ends
 from dustpan.functions.text import is_blank, strip
 from dustpan.plans.ordered import with_row_number
+from dustpan.storage import materialize
 
 # Texts that switch a pattern on, compared in lower case.
 ENABLED_TEXTS = ("yes", "true", "1")
@@ -90,16 +91,38 @@ def _compiled(globs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"regex": globs.map(glob_to_regex), "anchor": globs.map(anchor)})
 
 
-def matching_pairs(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(name, pid) for any number of patterns: join on literal ends, then the regex."""
+def _name_keys() -> Column:
+    """What a name can be joined on: its first and its last few characters."""
     name = F.col("name")
-    keys = [F.lit("*")] + [F.concat(F.lit(side), cut) for n in range(1, _ANCHOR + 1)
-                           for side, cut in (("h", F.left(name, F.lit(n))),
-                                             ("t", F.right(name, F.lit(n))))]
-    keyed = names.select("name").distinct().select(
-        "name", F.explode(F.array_distinct(F.array(*keys))).alias("anchor"))
-    globs = patterns.select("pid", _compiled("File_Pattern").alias("c")).select("pid", "c.*")
-    return keyed.join(globs, "anchor").where(F.expr("name rlike regex")).select("name", "pid")
+    cuts = [F.concat(F.lit(side), cut) for n in range(1, _ANCHOR + 1)
+            for side, cut in (("h", F.left(name, F.lit(n))), ("t", F.right(name, F.lit(n))))]
+    return F.array_distinct(F.array(F.lit("*"), *cuts))
+
+
+def matching_pairs(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(name, pid) of every match, for any number of patterns.
+
+    Globs with a literal end are joined on it.  The others are tested in one
+    pass over the names as long as they are few, else they meet every name.
+    """
+    distinct = names.select("name").distinct()
+    globs = patterns.select("File_Pattern").distinct().select("File_Pattern", _compiled("File_Pattern").alias("c"))
+    globs = materialize(globs.select("File_Pattern", "c.*"), "globs")
+    floating = globs.where("anchor = '*'").select("File_Pattern").limit(INLINE_PATTERNS + 1).collect()
+    inline = [r[0] for r in floating] if len(floating) <= INLINE_PATTERNS else []
+    joined = globs.where("anchor <> '*'") if inline else globs
+    hits = (distinct.select("name", F.explode(_name_keys()).alias("anchor"))
+            .join(joined, "anchor").where(F.expr("name rlike regex")).select("name", "File_Pattern"))
+    if inline:
+        tests = F.array(*[F.when(glob_predicate(F.col("name"), g), F.lit(g)) for g in inline])
+        hits = hits.unionByName(distinct.select("name", F.explode(F.array_compact(tests)).alias("File_Pattern")))
+    return hits.join(patterns.select("pid", "File_Pattern"), "File_Pattern").select("name", "pid")
+
+
+def first_of_many(entries: DataFrame, active: DataFrame) -> DataFrame:
+    """(name, pid) of the first match; of equal globs only the first can win."""
+    leading = active.groupBy("File_Pattern").agg(F.min("pid").alias("pid"))
+    return matching_pairs(entries, leading).groupBy("name").agg(F.min("pid").alias("pid"))
 
 
 def with_first_pattern(entries: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -107,8 +130,7 @@ def with_first_pattern(entries: DataFrame, patterns: DataFrame) -> DataFrame:
     active = enabled_patterns(patterns)
     globs = _globs(active)
     if globs is None:
-        first = matching_pairs(entries, active).groupBy("name").agg(F.min("pid").alias("pid"))
-        return entries.join(first, "name", "left")
+        return entries.join(first_of_many(entries, active), "name", "left")
     tests = [F.when(glob_predicate(F.col("name"), glob), F.lit(pid)) for pid, glob in globs]
     return entries.withColumn("pid", F.coalesce(*tests, F.lit(None)).cast("bigint"))
 

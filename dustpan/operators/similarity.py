@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dustpan.functions.paths import col
 from dustpan.storage import materialize
 
 # Buckets above this many members are thinned by absorption before any join.
@@ -130,12 +129,18 @@ def _families(mapping: DataFrame, edges: DataFrame) -> DataFrame:
 
 # -- texts ------------------------------------------------------------------
 
-def shingles(text: Column | str, words: int = 3) -> Column:
-    """Sorted distinct hashes of runs of ``words`` lower-case words, over the whole text."""
-    tokens = F.filter(F.split(F.lower(col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (words - 1), F.lit(0)))
-    run = F.transform(starts, lambda _, i: F.xxhash64(*[F.get(tokens, i + k) for k in range(words)]))
-    return F.array_sort(F.array_distinct(run))
+def with_shingles(files: DataFrame, words: int = 3) -> DataFrame:
+    """Replace ``text`` by ``features``: sorted distinct hashes of its runs of words.
+
+    Words are lower case and split at anything but letters and digits.  They
+    are a column of their own, so that they are computed once per row.
+    """
+    tokens = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = files.withColumn("__w", tokens)
+    runs = F.greatest(F.size("__w") - (words - 1), F.lit(0))
+    shifted = [F.slice("__w", F.lit(k + 1), runs).alias(f"w{k}") for k in range(words)]
+    hashed = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(words)]))
+    return rows.withColumn("features", F.array_sort(F.array_distinct(hashed))).drop("__w", "text")
 
 
 def _jaccard_distance(sets: DataFrame) -> Callable:
@@ -191,8 +196,8 @@ def near_duplicates(files: DataFrame, threshold: float = 0.4, words: int = 3,
     ``files``: ord, path, hash, text.  Alike means a Jaccard similarity of the
     sets of ``words``-word runs of at least ``threshold``.
     """
-    rows = materialize(files.select(F.col("ord").alias("id"), "path", "hash",
-                                    shingles("text", words).alias("features")), "features")
+    rows = materialize(with_shingles(files.select(F.col("ord").alias("id"), "path", "hash", "text"),
+                                     words), "features")
     key = F.md5(F.array_join(F.col("features").cast("array<string>"), ","))
     keyed = rows.where(F.size("features") > 0).select("id", "features", key.alias("key"))
     sets, mapping = _representatives(keyed)

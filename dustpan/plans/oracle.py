@@ -112,8 +112,8 @@ def _dup_plan(keep: str, extra: str = "") -> str:
 
 
 _COMPONENTS = """
-both AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-reach(id, other) AS (SELECT a, b FROM both UNION SELECT r.id, b.b FROM reach r JOIN both b ON r.other = b.a)"""
+links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)"""
 
 SIMILAR = r"""
 words AS (SELECT doc_id, sha256(text) AS hash,

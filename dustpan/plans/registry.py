@@ -229,13 +229,12 @@ def residual_matches(spark, sf):
 
 @query
 def residual_matches_many(spark, sf):
-    """First match among all proposals from the events, by joining on literal ends."""
+    """First match among all proposals from the events: too many for one expression."""
     names = fx.table(spark, sf, "events").select(
         F.concat(F.lit("/"), "event_type", F.lit("/"), F.lit("e"), "user_id", F.lit(".u"), "event_id").alias("path"),
         F.concat(F.lit("e"), "user_id", F.lit(".u"), "event_id").alias("name"))
-    active = residuals.enabled_patterns(proposals(spark, sf))
-    first = (residuals.matching_pairs(names, active).groupBy("name").agg(F.min("pid").alias("pid")))
-    return names.join(first, "name").select("path", "pid")
+    return residuals.with_first_pattern(names, proposals(spark, sf)).where("pid IS NOT NULL") \
+                    .select("path", "pid")
 
 
 @query

@@ -53,18 +53,17 @@ def main() -> int:
     wanted = sys.argv[2:] or list(entry.queries())
     spark, con, bad = local_session(), connect(sf_dir), 0
     for name in wanted:
-        start = time.time()
+        start, took = time.time(), 0.0
         try:
             columns, rows = spark_bag(entry.queries()[name](spark, sf_dir))
-            took = time.time() - start
-            start = time.time()
+            took, start = time.time() - start, time.time()
             sql_columns, sql_rows = sql_bag(con, entry.oracle_sql()[name])
             same = columns == sql_columns and rows == sql_rows
             note = f"rows {sum(rows.values())} vs {sum(sql_rows.values())}"
             if not same:
                 note += f" {columns} {sql_columns} spark-only {list((rows - sql_rows))[:3]} sql-only {list((sql_rows - rows))[:3]}"
         except Exception as err:  # report and go on with the next query
-            same, took, note = False, time.time() - start, f"{type(err).__name__}: {str(err)[:600]}"
+            same, note = False, f"{type(err).__name__}: {str(err)[:600]}"
         bad += not same
         print(f"{'ok ' if same else 'BAD'} {name} {took:.2f}s/{time.time() - start:.2f}s {note}", flush=True)
     print(f"{len(wanted) - bad} of {len(wanted)} equal")
