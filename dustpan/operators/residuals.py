@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dustpan.fixtures import PATTERN_COLUMNS
-from dustpan.functions.glob import glob_predicate, glob_to_regex, literal_ends
+from dustpan.functions.glob import anchor_of, glob_predicate, glob_to_regex
 from dustpan.functions.text import is_blank, strip
 from dustpan.plans.ordered import with_row_number
 from dustpan.storage import materialize
@@ -18,7 +18,6 @@ ENABLED_TEXTS = ("yes", "true", "1")
 
 # Up to this many patterns become one expression inside the scan; more are joined.
 INLINE_PATTERNS = 512
-_ANCHOR = 3
 
 
 def is_enabled() -> Column:
@@ -80,41 +79,49 @@ def _globs(patterns: DataFrame) -> list | None:
     return None if len(rows) > INLINE_PATTERNS else sorted((r[0], r[1]) for r in rows)
 
 
-_COMPILED = T.StructType([T.StructField("regex", T.StringType()), T.StructField("anchor", T.StringType())])
+_COMPILED = T.StructType([
+    T.StructField("regex", T.StringType()), T.StructField("side", T.StringType()),
+    T.StructField("skip", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
 @F.pandas_udf(_COMPILED)
 def _compiled(globs: pd.Series) -> pd.DataFrame:
-    def anchor(glob):
-        head, tail = literal_ends(glob)
-        return "h" + head[:_ANCHOR] if head else "t" + tail[-_ANCHOR:] if tail else "*"
-    return pd.DataFrame({"regex": globs.map(glob_to_regex), "anchor": globs.map(anchor)})
+    anchors = [anchor_of(g) for g in globs]
+    return pd.DataFrame({"regex": globs.map(glob_to_regex), "side": [a[0] for a in anchors],
+                         "skip": [a[1] for a in anchors], "text": [a[2] for a in anchors]})
 
 
-def _name_keys() -> Column:
-    """What a name can be joined on: its first and its last few characters."""
+def _cut(side: str, skip: int, size: int) -> Column:
+    """The part of a name that an anchor of this shape is compared with."""
     name = F.col("name")
-    cuts = [F.concat(F.lit(side), cut) for n in range(1, _ANCHOR + 1)
-            for side, cut in (("h", F.left(name, F.lit(n))), ("t", F.right(name, F.lit(n))))]
-    return F.array_distinct(F.array(F.lit("*"), *cuts))
+    start = F.lit(skip + 1) if side == "h" else F.length(name) - (skip + size) + 1
+    cut = F.substring(name, start, F.lit(size))
+    return F.when(F.length(name) >= skip + size, F.concat(F.lit(f"{side}{skip}:"), cut))
 
 
 def matching_pairs(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """(name, pid) of every match, for any number of patterns.
 
-    Globs with a literal end are joined on it.  The others are tested in one
-    pass over the names as long as they are few, else they meet every name.
+    A glob with literal text at a fixed distance from an end is joined on it.
+    The others are tested in one pass over the names as long as they are few,
+    else they meet every name.
     """
     distinct = names.select("name").distinct()
     globs = patterns.select("File_Pattern").distinct().select("File_Pattern", _compiled("File_Pattern").alias("c"))
-    globs = materialize(globs.select("File_Pattern", "c.*"), "globs")
-    floating = globs.where("anchor = '*'").select("File_Pattern").limit(INLINE_PATTERNS + 1).collect()
-    inline = [r[0] for r in floating] if len(floating) <= INLINE_PATTERNS else []
-    joined = globs.where("anchor <> '*'") if inline else globs
-    hits = (distinct.select("name", F.explode(_name_keys()).alias("anchor"))
-            .join(joined, "anchor").where(F.expr("name rlike regex")).select("name", "File_Pattern"))
-    if inline:
-        tests = F.array(*[F.when(glob_predicate(F.col("name"), g), F.lit(g)) for g in inline])
+    key = F.when(F.col("side") == "*", "*").otherwise(F.concat("side", "skip", F.lit(":"), "text"))
+    globs = materialize(globs.select("File_Pattern", "c.*").withColumn("anchor", key), "globs")
+    # Shapes are bounded by the anchor limits: at most 2 x 9 x 8 of them.
+    shapes = globs.where("side <> '*'").select("side", "skip", F.length("text")).distinct().collect()
+    floating = globs.where("side = '*'").select("File_Pattern").limit(INLINE_PATTERNS + 1).collect()
+    meet_all = len(floating) > INLINE_PATTERNS
+    keys = [_cut(*shape) for shape in sorted(shapes)] + ([F.lit("*")] if meet_all else [])
+    hits = distinct.select("name", F.lit("").alias("File_Pattern")).limit(0)
+    if keys:
+        keyed = distinct.select("name", F.explode(F.array_compact(F.array(*keys))).alias("anchor"))
+        hits = (keyed.join(globs.select("anchor", "regex", "File_Pattern"), "anchor")
+                .where(F.expr("name rlike regex")).select("name", "File_Pattern"))
+    if floating and not meet_all:
+        tests = F.array(*[F.when(glob_predicate(F.col("name"), g[0]), F.lit(g[0])) for g in floating])
         hits = hits.unionByName(distinct.select("name", F.explode(F.array_compact(tests)).alias("File_Pattern")))
     return hits.join(patterns.select("pid", "File_Pattern"), "File_Pattern").select("name", "pid")
 

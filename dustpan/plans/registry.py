@@ -71,6 +71,18 @@ def document_tree(spark, sf) -> tuple[str, DataFrame]:
     return target, lister.roots_of(spark, [target])
 
 
+def audit_log(spark, sf) -> DataFrame:
+    """The audit text as files, one line per action."""
+    path = new_location(spark, "audit-text")
+    fx.audit_lines(spark, sf).write.text(path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def audit_table(spark, sf) -> DataFrame:
+    """The parsed trail as a table: lines are taken apart once, then queried."""
+    return materialize(audit.parse_audit(audit_log(spark, sf)), "audit")
+
+
 def inside(target: str, path: Column | str = "path") -> Column:
     """Path relative to the folder a tree was written to, with a leading slash."""
     c = F.col(path) if isinstance(path, str) else path
@@ -141,14 +153,14 @@ def save_patterns_roundtrip(spark, sf):
 @query
 def write_audit_roundtrip(spark, sf):
     folder = new_location(spark, "audit")
-    audit.write_audit(audit.parse_audit(fx.audit_lines(spark, sf)), folder, SESSION)
+    audit.write_audit(audit.parse_audit(audit_log(spark, sf)), folder, SESSION)
     return audit.read_audit(spark, folder).select(
         "session_id", audit.audit_line(F.col("ts"), F.col("kind"), F.col("path"), F.col("error")).alias("line"))
 
 
 @query
 def parse_audit(spark, sf):
-    return audit.parse_audit(fx.audit_lines(spark, sf)).select(
+    return audit.parse_audit(audit_log(spark, sf)).select(
         tx.audit_stamp("ts").alias("ts"), "kind", "path", "error", "raw")
 
 
@@ -375,7 +387,7 @@ def pattern_summary(spark, sf):
 
 
 def _results(spark, sf):
-    return actions.results_of_audit(audit.parse_audit(fx.audit_lines(spark, sf)))
+    return actions.results_of_audit(audit_table(spark, sf))
 
 
 @query
@@ -505,7 +517,7 @@ def affected_parents(spark, sf):
 
 @query
 def unfinished(spark, sf):
-    parsed = audit.parse_audit(fx.audit_lines(spark, sf))
+    parsed = audit_table(spark, sf)
     return actions.unfinished(parsed.where("path IS NOT NULL"), actions.results_of_audit(parsed))
 
 

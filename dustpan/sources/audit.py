@@ -31,27 +31,35 @@ def audit_line(ts: Column, kind: Column, path: Column, error: Column) -> Column:
     return F.concat(F.lit("["), audit_stamp(ts), F.lit("] "), message)
 
 
-_LAYOUTS = [
-    ("deleted_file", r"(?s)^Deleted file: (.*)$", False),
-    ("deleted_dir", r"(?s)^Deleted directory: (.*)$", False),
-    ("failed", r"(?s)^Failed to delete (.*?): (.*)$", True),
-    ("empty", r"(?s)^Found empty: (.*)$", False),
-    ("unreadable", r"(?s)^Error accessing (.*?): (.*)$", True),
+# How the messages open, their kind, and whether an error follows.
+OPENINGS = [
+    ("Deleted file: ", "deleted_file", False),
+    ("Deleted directory: ", "deleted_dir", False),
+    ("Failed to delete ", "failed", True),
+    ("Found empty: ", "empty", False),
+    ("Error accessing ", "unreadable", True),
 ]
 
 
 def parse_audit(lines: DataFrame) -> DataFrame:
     """Text lines back to (ts, kind, path, error, raw); anything else is 'other'."""
     line = F.col("line")
-    body = F.regexp_extract(line, r"(?s)^\[[^\]]*\] (.*)$", 1)
-    kind, path, error = F.lit("other"), F.lit(None), F.lit(None)
-    for name, layout, has_error in _LAYOUTS:
-        hit = body.rlike(layout)
-        kind = F.when(hit, name).otherwise(kind)
-        path = F.when(hit, F.regexp_extract(body, layout, 1)).otherwise(path)
-        if has_error:
-            error = F.when(hit, F.regexp_extract(body, layout, 2)).otherwise(error)
-    stamp = F.regexp_extract(line, r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\]", 1)
-    ts = F.when(stamp != "", F.to_timestamp_ntz(stamp, F.lit(STAMP)))
-    return lines.select(ts.alias("ts"), kind.alias("kind"), path.cast("string").alias("path"),
-                        error.cast("string").alias("error"), line.alias("raw"))
+    stamp = F.regexp_extract(line, r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] ", 1)
+    # "[", 19 characters, "] ": the message starts at the 23rd character.
+    rows = lines.withColumn("__stamp", stamp).withColumn("__body", F.substring(
+        line, F.when(F.col("__stamp") != "", 23).otherwise(F.length(line) + 1), F.length(line)))
+    body = F.col("__body")
+    opens = [(body.startswith(text), text, kind, fails) for text, kind, fails in OPENINGS]
+    known = rows.withColumn("__m", F.coalesce(*[
+        F.when(hit, F.struct(F.lit(kind).alias("kind"), F.lit(fails).alias("fails"),
+                             F.substring(body, F.lit(len(text) + 1), F.length(body)).alias("rest")))
+        for hit, text, kind, fails in opens]))
+    rest, fails = F.col("__m.rest"), F.col("__m.fails")
+    parts = known.withColumn("__colon", F.when(fails, F.instr(rest, ": ")))
+    cut = F.col("__colon")
+    return parts.select(
+        F.when(F.col("__stamp") != "", F.to_timestamp_ntz(F.col("__stamp"), F.lit(STAMP))).alias("ts"),
+        F.coalesce("__m.kind", F.lit("other")).alias("kind"),
+        F.when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest).alias("path"),
+        F.when(cut > 0, F.substring(rest, cut + 2, F.length(rest))).alias("error"),
+        line.alias("raw"))
