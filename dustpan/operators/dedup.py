@@ -2,7 +2,9 @@
 
 Ranks come from ``min`` aggregates joined back, not from windows: a window
 would sort a hot content group in one task, an aggregate is combined before
-the shuffle and the join is split by adaptive execution.
+the shuffle and the join is split by adaptive execution.  The minimum is taken
+of ``ord`` alone (unique per file): a fixed-width minimum is a hash aggregate,
+one of a path or structure has to sort.
 """
 
 from __future__ import annotations
@@ -62,24 +64,24 @@ def _labelled(rows: DataFrame, keep: Column) -> DataFrame:
 
 
 def _one_per_device(hashed: DataFrame) -> DataFrame:
-    per_device = hashed.groupBy("hash", "device").agg(
-        F.count("*").alias("n"), F.min(F.struct("ord", "path")).alias("keeper"))
+    per_device = hashed.groupBy("hash", "device").agg(F.count("*").alias("n"), F.min("ord").alias("keeper"))
     shared = per_device.groupBy("hash").agg(F.sum("n").alias("copies")).where("copies > 1")
     keepers = per_device.join(shared, "hash", "left_semi").select("hash", "device", "keeper")
     rows = hashed.join(keepers, ["hash", "device"])
-    return _labelled(rows, F.col("path") == F.col("keeper.path"))
+    return _labelled(rows, F.col("ord") == F.col("keeper"))
 
 
 def _manual(hashed: DataFrame, manual: DataFrame) -> DataFrame:
     chosen = manual.groupBy("path").agg(F.min("action").alias("chosen"))
-    first = F.min(F.struct("ord", "path", "device"))
-    groups = hashed.groupBy("hash").agg(F.count("*").alias("copies"), first.alias("first")).where("copies > 1")
+    groups = hashed.groupBy("hash").agg(
+        F.count("*").alias("copies"), F.min("ord").alias("first")).where("copies > 1")
     rows = hashed.join(groups, "hash").join(chosen, "path", "left")
-    keep = F.coalesce(F.col("chosen") == "KEEP", F.col("path") == F.col("first.path"))
+    is_first = F.col("ord") == F.col("first")
+    keep = F.coalesce(F.col("chosen") == "KEEP", is_first)
     # A group none of whose files would stay keeps its first copy.
     safe = rows.where(keep).select("hash").distinct().withColumn("safe", F.lit(True))
     guarded = rows.join(safe, "hash", "left")
-    return _labelled(guarded, keep | (F.col("safe").isNull() & (F.col("path") == F.col("first.path"))))
+    return _labelled(guarded, keep | (F.col("safe").isNull() & is_first))
 
 
 def dup_plan(hashed: DataFrame, policy: str = "keep_first", device: str | None = None,
@@ -96,14 +98,17 @@ def dup_plan(hashed: DataFrame, policy: str = "keep_first", device: str | None =
     if policy == "manual":
         return _manual(hashed, manual)
     on_device = F.col("device") == F.lit(device)
-    groups = hashed.groupBy("hash").agg(
-        F.count("*").alias("copies"), F.min(F.struct("ord", "path", "device")).alias("first"),
-        F.coalesce(F.max(on_device), F.lit(False)).alias("has_device")).where("copies > 1")
-    is_first = F.col("path") == F.col("first.path")
-    keep = {"keep_all": F.lit(True),
-            "keep_first": is_first,
-            "keep_device": F.when(F.col("has_device"), on_device).otherwise(is_first),
-            "keep_same_device": F.col("device") == F.col("first.device")}[policy]
+    facts = [F.count("*").alias("copies"), F.min("ord").alias("first")]
+    if policy == "keep_device":
+        facts.append(F.coalesce(F.max(on_device), F.lit(False)).alias("has_device"))
+    if policy == "keep_same_device":
+        facts.append(F.min_by("device", "ord").alias("first_device"))
+    groups = hashed.groupBy("hash").agg(*facts).where("copies > 1")
+    is_first = F.col("ord") == F.col("first")
+    keep = {"keep_all": lambda: F.lit(True),
+            "keep_first": lambda: is_first,
+            "keep_device": lambda: F.when(F.col("has_device"), on_device).otherwise(is_first),
+            "keep_same_device": lambda: F.col("device") == F.col("first_device")}[policy]()
     return _labelled(hashed.join(groups, "hash"), keep)
 
 

@@ -23,13 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dustpan.storage import materialize
+from dustpan.storage import materialize, spread
 
 # Buckets above this many members are thinned by absorption before any join.
 HOT_BUCKET = 512
 _MIN_PROGRESS = 0.05
 
 
+def _fingerprint(links: DataFrame):
+    return links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, family) for every node of (a, b) edges; family is the smallest id.
 
@@ -37,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = materialize(links.distinct(), "links")
-    before = None
+    before = _fingerprint(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -47,7 +51,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = (large.join(lows, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(lows.withColumnRenamed("m", "b")).distinct())
         links = materialize(small, "links")
-        state = links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        state = _fingerprint(links)
         if state == before:
             break
         before = state
@@ -140,7 +144,12 @@ def with_shingles(files: DataFrame, words: int = 3) -> DataFrame:
     runs = F.greatest(F.size("__w") - (words - 1), F.lit(0))
     shifted = [F.slice("__w", F.lit(k + 1), runs).alias(f"w{k}") for k in range(words)]
     hashed = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(words)]))
-    return rows.withColumn("features", F.array_sort(F.array_distinct(hashed))).drop("__w", "text")
+    return rows.withColumn("features", F.sort_array(F.array_distinct(hashed))).drop("__w", "text")
+
+
+def _set_key() -> Column:
+    """Equal for equal feature arrays; two independent hashes and the length tell others apart."""
+    return F.struct(F.xxhash64("features").alias("x"), F.hash("features").alias("h"), F.size("features").alias("n"))
 
 
 def _jaccard_distance(sets: DataFrame) -> Callable:
@@ -173,7 +182,7 @@ def _prefix_candidates(threshold: float) -> Callable:
         # Features of a single set cannot be shared; they only use up prefix places.
         common = exploded.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
         ranked = (exploded.join(common, "s").groupBy("id", "n", "low")
-                  .agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared")))
+                  .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared")))
         # The small slack keeps rounding from shortening a prefix.
         places = F.col("n") - F.ceil(F.col("low") * F.col("n") - F.lit(1e-9)) + 1
         take = F.least(F.col("n"), places) - (F.col("n") - F.size("shared"))
@@ -196,10 +205,9 @@ def near_duplicates(files: DataFrame, threshold: float = 0.4, words: int = 3,
     ``files``: ord, path, hash, text.  Alike means a Jaccard similarity of the
     sets of ``words``-word runs of at least ``threshold``.
     """
-    rows = materialize(with_shingles(files.select(F.col("ord").alias("id"), "path", "hash", "text"),
-                                     words), "features")
-    key = F.md5(F.array_join(F.col("features").cast("array<string>"), ","))
-    keyed = rows.where(F.size("features") > 0).select("id", "features", key.alias("key"))
+    texts = spread(files.select(F.col("ord").alias("id"), "path", "hash", "text"))
+    rows = materialize(with_shingles(texts, words).withColumn("key", _set_key()), "features")
+    keyed = rows.where(F.size("features") > 0).select("id", "features", "key")
     sets, mapping = _representatives(keyed)
     edges = _edges(sets, materialize(_minhash_buckets(sets), "buckets"), _jaccard_distance(sets),
                    _prefix_candidates(threshold), 1 - threshold, delta, hot)
@@ -256,11 +264,9 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95, delta:
     """
     unit = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
-    key = F.md5(F.array_join(F.col("vector").cast("array<string>"), ","))
     rows = (vectors.withColumn("__norm", norm).where("__norm > 0")
-            .select("id", F.transform(unit, lambda x: x / F.col("__norm")).alias("features"),
-                    key.alias("key")))
-    points, mapping = _representatives(materialize(rows, "vectors"))
+            .select("id", F.transform(unit, lambda x: x / F.col("__norm")).alias("features")))
+    points, mapping = _representatives(materialize(spread(rows).withColumn("key", _set_key()), "vectors"))
     limit = math.acos(min_cosine)
     bits = min(max(math.ceil(math.log2(max(points.count(), 2))), 8), 30)
     agree = (1 - (limit + 2 * delta) / math.pi) ** bits

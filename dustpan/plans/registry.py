@@ -552,5 +552,5 @@ def incremental_duplicates(spark, sf):
     rows = files(spark, sf).select("hash", "ord", "path", "size")
     rows.repartition(4, "path").write.parquet(inbox)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    incremental.watch_duplicates(stream, f"{base}/index", f"{base}/checkpoint").awaitTermination()
+    incremental.watch_duplicates(stream, f"{base}/index", f"{base}/checkpoint", buckets=16).awaitTermination()
     return incremental.incremental_summary(incremental.indexed_files(spark, f"{base}/index"))

@@ -46,3 +46,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_location(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out an input that has fewer partitions than there are cores.
+
+    Only a small input is ever moved: at most one scan partition per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

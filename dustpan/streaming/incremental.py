@@ -6,51 +6,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARRIVAL = "hash string, ord bigint, path string, size bigint, status string"
+BUCKETS = 256
 
 
-def _known(spark: SparkSession, index: str, batch_id: int) -> DataFrame:
-    """Index rows of earlier batches; a replayed batch does not see itself."""
-    return spark.read.schema(ARRIVAL + ", batch bigint").parquet(index).where(F.col("batch") < batch_id)
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int")
+
+
+def _known(batch: DataFrame, index: str, batch_id: int, buckets: int) -> DataFrame:
+    """Index rows the batch may meet: earlier batches, and only its own buckets.
+
+    At most ``buckets`` numbers are collected; they prune folders of the index.
+    A replayed batch does not see itself.
+    """
+    touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]
+    return (indexed_files(batch.sparkSession, index)
+            .where((F.col("batch") < batch_id) & F.col("bucket").isin(touched)))
 
 
 def judge_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Add ``status``: 'new' for the first file of a content, else 'duplicate'.
 
-    Re-announced paths are dropped, within the batch and against the index.
-    The small side of both joins is the batch: the index is filtered by it
-    before anything is shuffled.
+    A path announced again with the same content is dropped, within the batch
+    and against the index.
     """
-    fresh = batch.groupBy("path").agg(F.min(F.struct("ord", "hash", "size")).alias("r")) \
-                 .select("path", "r.*")
-    fresh = fresh.join(known.select("path"), "path", "left_anti")
-    first = fresh.groupBy("hash").agg(F.min(F.struct("ord", "path")).alias("first"))
+    fresh = batch.groupBy("path", "hash").agg(F.min("ord").alias("ord"), F.max("size").alias("size"))
+    fresh = fresh.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
+    first = fresh.groupBy("hash").agg(F.min("ord").alias("first"))
     seen = known.select("hash").join(first.select("hash"), "hash", "left_semi").distinct()
     judged = fresh.join(first, "hash").join(seen.withColumn("seen", F.lit(True)), "hash", "left")
-    is_new = F.col("seen").isNull() & (F.col("path") == F.col("first.path"))
+    is_new = F.col("seen").isNull() & (F.col("ord") == F.col("first"))
     return judged.select("hash", "ord", "path", "size",
                          F.when(is_new, "new").otherwise("duplicate").alias("status"))
 
 
-def watch_duplicates(arrivals: DataFrame, index: str, checkpoint: str):
+def update_index(batch: DataFrame, batch_id: int, index: str, buckets: int = BUCKETS) -> None:
+    """Write a batch's own part of the index; replaying it replaces that part."""
+    judged = judge_batch(batch, _known(batch, index, batch_id, buckets))
+    # Rebalanced by bucket: small buckets are one file, a hot one is split.
+    (judged.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/batch={batch_id}"))
+
+
+def watch_duplicates(arrivals: DataFrame, index: str, checkpoint: str, buckets: int = BUCKETS):
     """Start a query over a stream of hashed files that keeps the index up to date.
 
-    Each micro-batch owns one partition of the index and overwrites it when
-    replayed, so a restart neither loses nor repeats files.
+    Each micro-batch owns one part of the index, so a restart neither loses nor
+    repeats files.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        (judge_batch(batch, _known(spark, index, batch_id))
-         .write.mode("overwrite").parquet(f"{index}/batch={batch_id}"))
-
     spark = arrivals.sparkSession
-    # An empty first partition, so that the first batch finds an index to read.
-    (spark.createDataFrame([], ARRIVAL).write.mode("overwrite").parquet(f"{index}/batch=-1"))
-    return (arrivals.writeStream.foreachBatch(step)
+    # An empty first part, so that the first batch finds an index to read.
+    spark.createDataFrame([], ARRIVAL).write.mode("overwrite").parquet(f"{index}/batch=-1/bucket=-1")
+    return (arrivals.writeStream
+            .foreachBatch(lambda batch, batch_id: update_index(batch, batch_id, index, buckets))
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def indexed_files(spark: SparkSession, index: str) -> DataFrame:
-    return spark.read.schema(ARRIVAL + ", batch bigint").parquet(index)
+    return spark.read.schema(ARRIVAL + ", batch bigint, bucket int").parquet(index)
 
 
 def incremental_summary(indexed: DataFrame) -> DataFrame:
