@@ -5,6 +5,7 @@ Operators never see these tables; a user maps their own store the same way.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,9 +75,8 @@ def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pattern_table(spark: SparkSession) -> DataFrame:
     """The pattern list as it stands in its file, before trimming and filtering."""
-    return spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(PATTERN_ROWS)],
-        "pid bigint, " + ", ".join(f"{c} string" for c in PATTERN_COLUMNS))
+    columns = {"pid": range(len(PATTERN_ROWS)), **dict(zip(PATTERN_COLUMNS, zip(*PATTERN_ROWS)))}
+    return spark.createDataFrame(pa.table({name: list(cells) for name, cells in columns.items()}))
 
 
 def proposed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
