@@ -4,12 +4,12 @@ All pairs of a hot family would be quadratic, so the result names each file's
 family (connected component of the "alike" relation) instead of pairs:
 
 1. equal feature sets collapse to one representative;
-2. while hash buckets are hot, members within ``delta`` of their bucket's
-   leader are absorbed by it (one comparison per member and bucket);
-3. what remains is joined on selective keys and verified exactly.  By the
-   triangle inequality a pair of members can only be alike if their leaders
-   are within ``limit`` + both radii; leader pairs in that margin are expanded;
-4. components of the verified edges give the families.
+2. representatives get keys that alike ones share;
+3. in crowded keys members are compared with one leader per round, which
+   joins a hot family at one comparison per member and key;
+4. all keys are then joined exactly, but only across the families found so
+   far: members of a key's largest family never meet each other;
+5. components of the verified links give the families.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 
 from dustpan.storage import materialize, spread
 
-# Buckets above this many members are thinned by absorption before any join.
-HOT_BUCKET = 512
-_MIN_PROGRESS = 0.05
+# Keys with more members than this are first linked through leaders.
+CROWDED = 512
+_ROUNDS = 3
 
 
 def _fingerprint(links: DataFrame):
@@ -59,62 +59,63 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("id"), F.col("b").alias("family")).unionByName(roots)
 
 
-def _absorb(buckets: DataFrame, distance: Callable, delta: float, hot: int):
-    """Rounds of leader election while a bucket is hot: (id, leader, d), or None."""
-    absorbed, active = None, buckets
-    while True:
-        sizes = active.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
-        if (sizes.agg(F.max("n")).first()[0] or 0) <= hot:
-            return absorbed
-        crowded = sizes.where(F.col("n") > 1).select("bucket", "leader")
-        pairs = (active.join(crowded, "bucket").where("id <> leader")
-                 .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-        near = materialize(distance(pairs).where(F.col("d") <= delta), "near")
-        # A leader that is itself near another one would add up distances: not a leader.
-        followers = near.select(F.col("b").alias("a")).distinct()
-        stars = (near.join(followers, "a", "left_anti").groupBy("b")
-                 .agg(F.min(F.struct("d", "a")).alias("best"))
-                 .select(F.col("b").alias("id"), F.col("best.a").alias("leader"), F.col("best.d").alias("d")))
-        stars = materialize(stars, "stars")
-        total, gone = active.select("id").distinct().count(), stars.count()
-        if gone:
-            absorbed = stars if absorbed is None else absorbed.unionByName(stars)
-            # A leader absorbed later passes its members on with their distances added.
-            active = materialize(active.join(stars.select("id"), "id", "left_anti")
-                                 .join(stars.select(F.col("leader").alias("id")).distinct(), "id", "left_anti"),
-                                 "active")
-        if gone < _MIN_PROGRESS * total:
-            return absorbed
-
-
-def _edges(ids: DataFrame, buckets: DataFrame, distance: Callable, candidates: Callable,
-           limit: float, delta: float, hot: int) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs within ``limit``."""
-    absorbed = _absorb(buckets, distance, delta, hot)
-    if absorbed is None:
-        pairs = candidates(ids.withColumn("radius", F.lit(0.0)), 0.0)
+def _labelled(keys: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Keys with the family of each id so far; an unlinked id is its own."""
+    if links is None:
+        return keys.withColumn("label", F.col("id"))
+    families = connected_components(links)
+    return keys.join(families, "id", "left").withColumn("label", F.coalesce("family", "id")).drop("family")
+
+
+def _leader_links(keys: DataFrame, distance: Callable, limit: float, crowded: DataFrame) -> DataFrame | None:
+    """Verified (a, b) links of members of crowded keys to their leaders."""
+    links = None
+    members = materialize(keys.select("id", "key").join(crowded, "key", "left_semi"), "members")
+    for step in range(_ROUNDS):
+        rows = materialize(_labelled(members, links), "labelled")
+        draw = F.xxhash64("id", F.lit(step))
+        lowest = rows.groupBy("key").agg(F.min(draw).alias("draw"))
+        leaders = rows.select("key", draw.alias("draw"), F.col("id").alias("a"), F.col("label").alias("leading")) \
+                      .join(lowest, ["key", "draw"]).drop("draw")
+        pairs = (rows.join(leaders, "key").where(F.col("label") != F.col("leading"))
+                 .select("a", F.col("id").alias("b")).distinct())
+        near = materialize(distance(pairs).where(F.col("d") <= limit).select("a", "b"), "near")
+        if near.isEmpty():
+            break
+        links = near if links is None else links.unionByName(near)
+    return links
+
+
+def _cross_pairs(rows: DataFrame, fits: Column) -> DataFrame:
+    """Pairs that share a key but not a family.
+
+    Per key the largest family only meets the others, so no hot family is
+    paired with itself; the few rows are the buffered side of the join.
+    """
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = (counts.groupBy("key").agg(F.max_by("label", "n").alias("largest"), F.count("*").alias("families"))
+               .where("families > 1").select("key", "largest"))
+    tagged = rows.join(largest, "key").withColumn("minor", F.col("label") != F.col("largest")).drop("largest")
+    minors = tagged.where("minor").drop("minor")
+    minors = minors.select(*[F.col(c).alias(c + "2") for c in minors.columns])
+    met = tagged.join(minors, (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2"))
+                      & (~F.col("minor") | (F.col("id") < F.col("id2"))) & fits)
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def _links(keys: DataFrame, fits: Column, distance: Callable, limit: float, crowd: int) -> DataFrame:
+    """(a, b) links whose components are those of all pairs within ``limit`` sharing a key."""
+    crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("n"))
+                          .where(F.col("n") > crowd).select("key"), "crowded")
+    if crowded.isEmpty():
+        other = keys.select(*[F.col(c).alias(c + "2") for c in keys.columns])
+        pairs = (keys.join(other, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & fits)
+                 .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
         return distance(pairs).where(F.col("d") <= limit).select("a", "b")
-    absorbed = materialize(absorbed, "absorbed")
-    radii = absorbed.groupBy(F.col("leader").alias("id")).agg(F.max("d").alias("r"))
-    remaining = (ids.join(absorbed.select("id"), "id", "left_anti").join(radii, "id", "left")
-                 .withColumn("radius", F.coalesce("r", F.lit(0.0))).drop("r"))
-    remaining = materialize(remaining, "remaining")
-    widest = remaining.agg(F.max("radius")).first()[0] or 0.0
-    radius = remaining.select("id", "radius")
-    measured = (distance(candidates(remaining, widest))
-                .join(radius.select(F.col("id").alias("a"), F.col("radius").alias("ra")), "a")
-                .join(radius.select(F.col("id").alias("b"), F.col("radius").alias("rb")), "b"))
-    measured = materialize(measured.where(F.col("d") <= limit + F.col("ra") + F.col("rb")), "measured")
-    direct = measured.where(F.col("d") <= limit).select("a", "b")
-    stars = absorbed.select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    margin = measured.where(F.col("d") > limit).select("a", "b")
-    group = (absorbed.select("leader", "id")
-             .unionByName(remaining.select(F.col("id").alias("leader"), "id")))
-    members = (margin.join(group.select(F.col("leader").alias("a"), F.col("id").alias("x")), "a")
-               .join(group.select(F.col("leader").alias("b"), F.col("id").alias("y")), "b")
-               .select(F.col("x").alias("a"), F.col("y").alias("b")))
-    bridges = distance(members).where(F.col("d") <= limit).select("a", "b")
-    return direct.unionByName(stars).unionByName(bridges)
+    known = _leader_links(keys, distance, limit, crowded)
+    rows = materialize(_labelled(keys, known), "labelled")
+    found = distance(_cross_pairs(rows, fits)).where(F.col("d") <= limit).select("a", "b")
+    return found if known is None else found.unionByName(known)
 
 
 def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,9 +126,9 @@ def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(chosen, "chosen"), mapping
 
 
-def _families(mapping: DataFrame, edges: DataFrame) -> DataFrame:
+def _families(mapping: DataFrame, links: DataFrame) -> DataFrame:
     """(id, family) for every input row."""
-    labels = connected_components(edges).withColumnRenamed("id", "rep")
+    labels = connected_components(links).withColumnRenamed("id", "rep")
     return mapping.join(labels, "rep", "left").select("id", F.coalesce("family", "rep").alias("family"))
 
 
@@ -165,41 +166,22 @@ def _jaccard_distance(sets: DataFrame) -> Callable:
     return distance
 
 
-def _minhash_buckets(sets: DataFrame, bands: int = 8, rows: int = 4) -> DataFrame:
-    """(id, bucket): sets that are nearly equal share one almost surely."""
-    lows = (sets.select("id", F.explode("features").alias("s")).groupBy("id")
-            .agg(*[F.min(F.xxhash64("s", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)]))
-    band = [F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
-    return lows.select("id", F.explode(F.array(*band)).alias("bucket"))
-
-
-def _prefix_candidates(threshold: float) -> Callable:
-    """Exact prefix filter: alike sets share one of their rarest features."""
-    def candidates(sets: DataFrame, widest: float) -> DataFrame:
-        lowest = F.greatest(F.lit(threshold - widest) - F.col("radius"), F.lit(0.0))
-        n = F.size("features")
-        exploded = sets.select("id", n.alias("n"), lowest.alias("low"), F.explode("features").alias("s"))
-        # Features of a single set cannot be shared; they only use up prefix places.
-        common = exploded.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-        ranked = (exploded.join(common, "s").groupBy("id", "n", "low")
-                  .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared")))
-        # The small slack keeps rounding from shortening a prefix.
-        places = F.col("n") - F.ceil(F.col("low") * F.col("n") - F.lit(1e-9)) + 1
-        take = F.least(F.col("n"), places) - (F.col("n") - F.size("shared"))
-        prefix = ranked.select("id", "n", "low", F.explode(
-            F.slice("shared", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("p"))
-        prefix = materialize(prefix.select("id", "n", "low", F.col("p.s").alias("s")), "prefix")
-        other = prefix.select(*[F.col(c).alias(c + "2") for c in ("id", "n", "low", "s")])
-        weakest = F.least("low", "low2")
-        fits = (F.col("n") >= weakest * F.col("n2")) & (F.col("n2") >= weakest * F.col("n"))
-        return (prefix.join(other, (F.col("s") == F.col("s2")) & (F.col("id") < F.col("id2")) & fits)
-                .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
-
-    return candidates
+def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, key, n) of the exact prefix filter: alike sets share one of their rarest features."""
+    exploded = sets.select("id", F.size("features").alias("n"), F.explode("features").alias("s"))
+    # Features of a single set cannot be shared; they only use up prefix places.
+    common = exploded.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = (exploded.join(common, "s").groupBy("id", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared")))
+    # The small slack keeps rounding from shortening a prefix.
+    places = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
+    take = F.least(F.col("n"), places) - (F.col("n") - F.size("shared"))
+    prefix = F.slice("shared", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))
+    return ranked.select("id", "n", F.explode(prefix).alias("p")).select("id", F.col("p.s").alias("key"), "n")
 
 
 def near_duplicates(files: DataFrame, threshold: float = 0.4, words: int = 3,
-                    delta: float = 0.1, hot: int = HOT_BUCKET) -> DataFrame:
+                    crowd: int = CROWDED) -> DataFrame:
     """Files of families with two or more different contents alike.
 
     ``files``: ord, path, hash, text.  Alike means a Jaccard similarity of the
@@ -209,9 +191,10 @@ def near_duplicates(files: DataFrame, threshold: float = 0.4, words: int = 3,
     rows = materialize(with_shingles(texts, words).withColumn("key", _set_key()), "features")
     keyed = rows.where(F.size("features") > 0).select("id", "features", "key")
     sets, mapping = _representatives(keyed)
-    edges = _edges(sets, materialize(_minhash_buckets(sets), "buckets"), _jaccard_distance(sets),
-                   _prefix_candidates(threshold), 1 - threshold, delta, hot)
-    member = rows.select("id", "path", "hash").join(_families(mapping, edges), "id")
+    keys = materialize(_prefix_keys(sets, threshold), "keys")
+    sizes_fit = (F.col("n") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n"))
+    links = _links(keys, sizes_fit, _jaccard_distance(sets), 1 - threshold, crowd)
+    member = rows.select("id", "path", "hash").join(_families(mapping, links), "id")
     # Contents per family: copies of one content are counted before they meet.
     contents = member.groupBy("family", "hash").agg(F.count("*").alias("n"))
     size = contents.groupBy("family").agg(F.count("*").alias("contents"), F.sum("n").alias("files"))
@@ -240,8 +223,8 @@ def _angle_distance(vectors: DataFrame) -> Callable:
     return distance
 
 
-def _plane_buckets(vectors: DataFrame, bands: int, bits: int, seed: int = 7) -> DataFrame:
-    """(id, bucket) from the sides of ``bits`` random planes per band."""
+def _plane_keys(vectors: DataFrame, bands: int, bits: int, seed: int = 7) -> DataFrame:
+    """(id, key) from the sides of ``bits`` random planes per band."""
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sides(features: pd.Series) -> pd.Series:
         if not len(features):
@@ -252,11 +235,11 @@ def _plane_buckets(vectors: DataFrame, bands: int, bits: int, seed: int = 7) ->
         return pd.Series(list((above * (1 << np.arange(bits, dtype="int64"))).sum(axis=2)))
 
     return vectors.select("id", F.posexplode(sides("features")).alias("band", "code")) \
-                  .select("id", F.xxhash64("band", "code").alias("bucket"))
+                  .select("id", F.xxhash64("band", "code").alias("key"))
 
 
-def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95, delta: float = 0.05,
-                           miss: float = 1e-6, hot: int = HOT_BUCKET) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95,
+                           miss: float = 1e-6, crowd: int = CROWDED) -> DataFrame:
     """Families of feature vectors (id, vector) with a cosine of at least ``min_cosine``.
 
     Planes per band grow with the number of vectors, and bands are chosen so
@@ -269,17 +252,9 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95, delta:
     points, mapping = _representatives(materialize(spread(rows).withColumn("key", _set_key()), "vectors"))
     limit = math.acos(min_cosine)
     bits = min(max(math.ceil(math.log2(max(points.count(), 2))), 8), 30)
-    agree = (1 - (limit + 2 * delta) / math.pi) ** bits
+    agree = (1 - limit / math.pi) ** bits
     bands = math.ceil(math.log(miss) / math.log(1 - agree))
-    buckets = materialize(_plane_buckets(points, bands, bits), "buckets")
-
-    def candidates(remaining: DataFrame, widest: float) -> DataFrame:
-        inside = buckets.join(remaining.select("id"), "id", "left_semi")
-        other = inside.select(F.col("id").alias("id2"), F.col("bucket").alias("bucket2"))
-        return (inside.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("id") < F.col("id2")))
-                .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
-
-    edges = _edges(points, buckets, _angle_distance(points), candidates, limit, delta, hot)
-    families = _families(mapping, edges)
+    keys = materialize(_plane_keys(points, bands, bits), "keys")
+    families = _families(mapping, _links(keys, F.lit(True), _angle_distance(points), limit, crowd))
     sizes = families.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
     return families.join(sizes, "family").select("id", "family", "members")

@@ -1,4 +1,4 @@
-"""Families against brute force, with hot buckets forced into absorption."""
+"""Families against brute force, with crowded keys forced through leaders."""
 
 import random
 
@@ -51,9 +51,9 @@ def shingle_set(text):
     return {tuple(w[i:i + 3]) for i in range(len(w) - 2)}
 
 
-@pytest.mark.parametrize("hot", [3, 10, 512])
+@pytest.mark.parametrize("crowd", [1, 3, 10, 512])
 @pytest.mark.parametrize("threshold", [0.4, 0.6])
-def test_text_families(spark, hot, threshold):
+def test_text_families(spark, crowd, threshold):
     docs = texts(random.Random(7))
     sets = [shingle_set(d) for d in docs]
     pairs = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and sets[j]
@@ -65,12 +65,12 @@ def test_text_families(spark, hot, threshold):
     want = {i: family[i] for i in range(len(docs)) if len(contents[family[i]]) > 1}
     rows = [(i, f"/{i}", d, d) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "ord bigint, path string, hash string, text string")
-    got = {int(r["path"][1:]): r["family"] for r in similarity.near_duplicates(df, threshold, hot=hot).collect()}
+    got = {int(r["path"][1:]): r["family"] for r in similarity.near_duplicates(df, threshold, crowd=crowd).collect()}
     assert got == want
 
 
-@pytest.mark.parametrize("hot", [3, 512])
-def test_vector_families(spark, hot):
+@pytest.mark.parametrize("crowd", [1, 3, 512])
+def test_vector_families(spark, crowd):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 32))
     rows = [base[n % 30] if n < 60 else base[0] + rng.standard_normal(32) * 0.05 for n in range(120)]
@@ -80,5 +80,5 @@ def test_vector_families(spark, hot):
     pairs = [(i, j) for i in range(120) for j in range(i) if close[i, j]]
     family = components(range(120), pairs)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id bigint, vector array<double>")
-    got = {r["id"]: r["family"] for r in similarity.near_duplicate_vectors(df, hot=hot).collect()}
+    got = {r["id"]: r["family"] for r in similarity.near_duplicate_vectors(df, crowd=crowd).collect()}
     assert got == {i: f for i, f in family.items() if list(family.values()).count(f) > 1}
