@@ -16,8 +16,9 @@ from dustpan.storage import materialize
 # Texts that switch a pattern on, compared in lower case.
 ENABLED_TEXTS = ("yes", "true", "1")
 
-# Up to this many patterns become one expression inside the scan; more are joined.
-INLINE_PATTERNS = 512
+# Up to this many patterns become one expression inside the scan, small enough to
+# stay compiled; more are joined.
+INLINE_PATTERNS = 80
 
 
 def is_enabled() -> Column:

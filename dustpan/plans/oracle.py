@@ -138,7 +138,7 @@ def all_oracles() -> dict[str, str]:
         # sources and sinks
         "list_files": _with(FA) + "SELECT path, name, size FROM fa",
         "list_entries": _with(FB) + """SELECT path, parent, name, entry_type,
-            CASE WHEN entry_type = 'file' THEN CAST(0 AS BIGINT) END AS size FROM fb""",
+            CAST(0 AS BIGINT) AS size FROM fb""",
         "hash_tree": _with(FA) + "SELECT path, size, hash, CAST(NULL AS VARCHAR) AS hash_error FROM fa",
         "error_ledger": _with(FB, ROOTS) + """SELECT DISTINCT root AS path, 'root' AS entry_type,
             CASE WHEN root IN (SELECT path FROM leaves) THEN 'NotADirectoryError: Not a directory'
@@ -160,6 +160,8 @@ def all_oracles() -> dict[str, str]:
         "parse_audit": _with(AUDIT) + "SELECT ts, kind, path, error, line AS raw FROM audit_lines",
         "catalogue_roundtrip": _with(FA) + """SELECT 's1' AS session_id, device, path, size, hash,
             strftime(mtime, '%Y-%m-%d %H:%M:%S') AS mtime FROM fa""",
+        "device_catalogue_roundtrip": _with(MOUNTS) + """SELECT 's1' AS session_id, mount, device,
+            CASE WHEN len(device) % 2 = 0 THEN 'SSD' ELSE 'HDD' END AS device_type FROM mounts""",
         "apply_deletes": _with(FA, GROUPS, URLS) + """SELECT path, 'deleted' AS outcome, CAST(NULL AS VARCHAR) AS error
             FROM fa JOIN grp USING (hash) WHERE ord <> first_ord
             UNION ALL SELECT DISTINCT path, 'absent', NULL FROM urls""",
@@ -185,6 +187,10 @@ def all_oracles() -> dict[str, str]:
         # joins
         "residual_matches": _with(FA, PATTERNS) + """SELECT path, entry_type, first_match.pid, OS, File_Pattern,
             Safe_To_Delete FROM first_match JOIN fa USING (path) JOIN pattern_rows p ON p.pid = first_match.pid""",
+        "residual_matches_tree": _with(FB) + """,
+            globs(pid, File_Pattern) AS (VALUES (0, 'blog.*'), (1, '*.html'), (2, '[0-4]?'), (3, '[!0-9]?'))
+            SELECT path, entry_type, CAST(min(pid) AS BIGINT) AS pid, arg_min(File_Pattern, pid) AS File_Pattern
+            FROM fb JOIN globs ON name GLOB File_Pattern GROUP BY path, entry_type""",
         "residual_matches_many": _with(LOADED) + f""",
             names AS (SELECT '/' || event_type || '/e' || user_id || '.u' || event_id AS path,
                         'e' || user_id || '.u' || event_id AS name FROM events)
@@ -202,7 +208,7 @@ def all_oracles() -> dict[str, str]:
         "apply_selection": _with(FA, GROUPS, SELECTION) + """SELECT path,
             CASE WHEN ord = first_ord THEN 'KEEP' ELSE 'DELETE' END AS action FROM fa JOIN grp USING (hash)
             WHERE path IN (SELECT path FROM selection)""",
-        "attribute_to_root": _with(FB, ROOTS) + """SELECT path, min(root_idx) AS root_idx FROM fb LEFT JOIN listed
+        "attribute_to_root": _with(FB, ROOTS) + """SELECT path, coalesce(min(root_idx), -1) AS root_idx FROM fb LEFT JOIN listed
             ON path = root OR starts_with(path, root || '/') GROUP BY path""",
         "revalidate_plan": _with(CASCADE) + """,
             fresh AS (SELECT path, entry_type FROM fb WHERE path NOT IN

@@ -24,12 +24,11 @@ def with_running(df: DataFrame, group: list[str], order: list[Column],
     ``order`` must be total within a group.  ``F.lit(1)`` as a sum gives a
     row number.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group]
     measured = df.withColumns({_SUM + name: value.cast("bigint") for name, value in sums.items()})
     # The slice id depends on the sampled range bounds, so it is fixed by writing it.
     sliced = materialize(
-        measured.repartitionByRange(parts, *keys, *order)
+        measured.repartitionByRange(*keys, *order)
                 .withColumn(_SLICE, F.spark_partition_id()), "sliced")
 
     inside = W.partitionBy(_SLICE, *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

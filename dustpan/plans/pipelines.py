@@ -30,6 +30,12 @@ def hashed_files(inventory: DataFrame, patterns: DataFrame, only_candidates: boo
     return materialize(hash_files(dealt, algorithm), "hashed")
 
 
+def hash_ledger(hashed: DataFrame) -> DataFrame:
+    """Files that could be listed but not read."""
+    return hashed.where(F.col("hash_error").isNotNull()).select(
+        "path", F.lit("file").alias("entry_type"), F.col("hash_error").alias("error"))
+
+
 def find_duplicates(roots: DataFrame, patterns: DataFrame, policy: str = "keep_first",
                     **options) -> DataFrame:
     """Reviewable keep/delete plan for the trees below the roots."""

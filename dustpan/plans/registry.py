@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def list_entries(spark, sf):
     materialize(lister.write_tree(rows, target), "written")
     found = lister.list_entries(lister.roots_of(spark, [target]))
     return found.select(inside(target).alias("path"), inside(target, "parent").alias("parent"),
-                        "name", "entry_type", "size")
+                        "name", "entry_type", F.coalesce("size", F.lit(0)).alias("size"))
 
 
 @query
@@ -172,6 +173,14 @@ def catalogue_roundtrip(spark, sf):
         "session_id", "device", "path", "size", "hash", tx.audit_stamp("mtime").alias("mtime"))
 
 
+@query
+def device_catalogue_roundtrip(spark, sf):
+    folder = new_location(spark, "devices")
+    catalogue.write_devices(fx.mounts(spark, sf), folder, SESSION)
+    catalogue.write_devices(fx.mounts(spark, sf), folder, "s2")
+    return catalogue.read_devices(spark, folder, SESSION).select("session_id", "mount", "device", "device_type")
+
+
 @query
 def apply_deletes(spark, sf):
     """Redundant copies are deleted as real files; paths never written are absent."""
@@ -239,6 +248,16 @@ def residual_matches(spark, sf):
     return residuals.residual_matches(files(spark, sf), patterns(spark))
 
 
+@query
+def residual_matches_tree(spark, sf):
+    """Files and directories alike; a matched directory does not hide what lies below it."""
+    globs = ["blog.*", "*.html", "[0-4]?", "[!0-9]?"]
+    table = pa.table({"pid": range(len(globs)), "OS": ["Any"] * len(globs), "File_Pattern": globs,
+                      "Safe_To_Delete": ["No"] * len(globs), "Enabled": ["Yes"] * len(globs)})
+    return residuals.residual_matches(tree(spark, sf), spark.createDataFrame(table)) \
+                    .select("path", "entry_type", "pid", "File_Pattern")
+
+
 @query
 def residual_matches_many(spark, sf):
     """First match among all proposals from the events: too many for one expression."""
@@ -301,7 +320,8 @@ def apply_selection(spark, sf):
 @query
 def attribute_to_root(spark, sf):
     rows = written_tree(spark, sf)
-    return roots.attribute_to_root(rows, fx.listed_roots(spark, sf)).select("path", "root_idx")
+    return roots.attribute_to_root(rows, fx.listed_roots(spark, sf)).select(
+        "path", F.coalesce("root_idx", F.lit(-1)).alias("root_idx"))
 
 
 @query

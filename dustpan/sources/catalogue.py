@@ -22,3 +22,13 @@ def read_catalogue(spark: SparkSession, folder: str, session_id: str | None = No
     if device is not None:
         rows = rows.where(F.col("device") == device)
     return rows
+
+
+def write_devices(devices: DataFrame, folder: str, session_id: str) -> None:
+    """Append the devices (mount, device, device_type) a session works on."""
+    (devices.withColumn("session_id", F.lit(session_id))
+     .write.mode("append").partitionBy("session_id").parquet(folder))
+
+
+def read_devices(spark: SparkSession, folder: str, session_id: str) -> DataFrame:
+    return spark.read.parquet(folder).where(F.col("session_id") == session_id)

@@ -51,8 +51,7 @@ def load_patterns(spark: SparkSession, path: str) -> DataFrame:
 def save_patterns(patterns: DataFrame, folder: str, version: str) -> str:
     """Write a new version in row order; earlier versions stay as its backup."""
     path = f"{folder}/{version}"
-    parts = int(patterns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (patterns.repartitionByRange(parts, "pid").sortWithinPartitions("pid")
+    (patterns.repartitionByRange("pid").sortWithinPartitions("pid")
      .select(*PATTERN_COLUMNS)
      .write.csv(path, mode="errorifexists", header=True, escape='"', emptyValue="",
                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))

@@ -47,7 +47,7 @@ def test_anchor_is_necessary(glob, name):
         assert start >= 0 and name[start:start + len(text)] == text
 
 
-@pytest.mark.parametrize("inline", [0, 3, 512])
+@pytest.mark.parametrize("inline", [0, 3, 80])
 def test_many_patterns_equal_first_match(spark, monkeypatch, inline):
     """Joined, mixed and inline matching agree with a linear search."""
     monkeypatch.setattr(residuals, "INLINE_PATTERNS", inline)
