@@ -44,7 +44,7 @@ def file_inventory(spark: SparkSession, sf_dir: str, content: bool = False) -> D
              .when(doc % 8 == 5, F.concat(F.lit("F"), doc, F.lit(".TMP")))
              .otherwise(F.concat(F.lit("f"), doc, F.lit(".txt"))))
     parent = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/d"),
-                      F.floor(doc / 8).cast("string"))
+                      F.expr("doc_id div 8").cast("string"))
     rows = table(spark, sf_dir, "documents").select(
         doc.alias("ord"), F.lit(0).alias("root_idx"), F.col("source").alias("device"),
         parent.alias("parent"), name.alias("name"), F.lit("file").alias("entry_type"),
