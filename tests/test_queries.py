@@ -5,17 +5,17 @@ import pytest
 import __spark_entry__ as entry
 from dustpan import fixtures as fx
 from dustpan.operators import dedup, emptydirs, profile, residuals
-from dustpan.plans import registry
+from dustpan.plans import oracle, registry
 from tests.compare import spark_bag, sql_bag
 
 LARGER = "/root/testdata/sf0.01"
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.all_queries()) == set(oracle.all_oracles())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.all_queries()))
 def test_equals_sql(spark, sql, sf_dir, name):
     columns, rows = spark_bag(entry.queries()[name](spark, sf_dir))
     sql_columns, sql_rows = sql_bag(sql, entry.oracle_sql()[name])
