@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustpan.llm import minhash, pieces
+from dustpan.llm import minhash, pieces, qda, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,26 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def _fold(column: str, folds: int, which: int) -> Column:
+    """Whether crc32 of the id as text leaves ``which``; false for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == which, F.lit(False))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents").select("doc_id", "text"), _fold("doc_id", 4, 2)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), held_out=held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _fold("doc_id", 5, 0)
+    scored = qda.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held_out=held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= qda.THRESHOLD).cast("int").alias("predicted"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
