@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustpan.llm import brown, minhash, pieces, qda, quality_rules, toxicity
+from dustpan.llm import brown, minhash, pieces, qda, quality_rules, template_lines, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = template_lines.drop_templates(docs, changed="n_dropped")
+    return cleaned.select("doc_id", "n_dropped", F.length("text").cast("bigint").alias("n_chars_left"),
+                          F.sha2("text", 256).alias("text_sha256"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), pieces.read_model(vocabulary_path()))
 
