@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustpan.llm import brown, minhash, pieces, qda, quality_rules, template_lines, toxicity
+from dustpan.llm import (brown, minhash, mixing, oracle, pieces, qda, quality_rules, template_lines,
+                         toxicity)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.replicate(docs, copy="copy", order="order_key").select("doc_id", "source", "copy", "order_key")
+
+
 def _fold(column: str, folds: int, which: int) -> Column:
     """Whether crc32 of the id as text leaves ``which``; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == which, F.lit(False))
@@ -71,4 +77,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_oracles() -> dict[str, str]:
-    return {}
+    return oracle.all_oracles()
