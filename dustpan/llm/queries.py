@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustpan.llm import (brown, minhash, mixing, oracle, pieces, qda, quality_rules, template_lines,
+from dustpan.llm import (brown, chat, minhash, mixing, oracle, pieces, qda, quality_rules, template_lines,
                          toxicity)
 
 
@@ -20,6 +20,33 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def conversation_events(rows: DataFrame) -> DataFrame:
+    """An event log of finished conversations, as an interface that streams its answers would have left it.
+
+    Every row opens its message with half of its text and streams the rest;
+    assistant messages were first drafted otherwise and generated again, user
+    messages mistyped and edited.
+    """
+    ranked = rows.select(
+        "conv_id", F.col("turn").alias("msg"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    told = F.array(event("start", head), event("delta", tail))
+    again = F.array(event("start", tail), event("delta", head), event("regenerate", F.lit("")), event("delta", head), event("delta", tail))
+    edited = F.array(event("start", tail), event("edit", F.col("text")))
+    log = F.when(F.col("role") == "assistant", again).when(F.col("role") == "user", edited).otherwise(told)
+    events = ranked.select("conv_id", "msg", "role", F.posexplode(log).alias("step", "event"))
+    return events.select("conv_id", (F.col("msg") * 8 + F.col("step")).alias("seq"), "event.kind", "msg", "role", "event.text")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.digests(chat.render(chat.fold(conversation_events(rows.unionByName(planted)))))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
