@@ -103,8 +103,13 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which imports this module
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": pipeline}
 
 
 def all_oracles() -> dict[str, str]:
