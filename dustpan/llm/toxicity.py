@@ -31,6 +31,9 @@ from dustpan.storage import materialize
 
 GRAM, SLOT_BITS = 5, 20
 MAX_POSITIVES, MAX_UNLABELLED, MAX_FEATURES = 8_000, 16_000, 4_096
+# The prior is taken this much lower than the labels say: where it exceeds the true
+# share in U, the estimate of the clean risk falls below zero for good models, too.
+CAUTION = 0.9
 THRESHOLD = 0.3
 
 
@@ -90,7 +93,9 @@ def _counts(sample: DataFrame) -> DataFrame:
 def _select(counts: DataFrame, positives: int, unlabelled: int, limit: int) -> np.ndarray:
     """Slots of clearly more positives than texts at large, the most telling first."""
     rate, base = F.col("p") / F.lit(float(positives)), (F.col("u") + 1) / F.lit(float(unlabelled + 1))
-    telling = (counts.where(F.col("p") >= 4).withColumn("lift", rate / base).where("lift >= 2.5")
+    expected = base * F.lit(float(positives))
+    telling = (counts.where((F.col("p") >= 4) & (F.col("p") - expected >= 5 * F.sqrt(expected + 1)))
+               .withColumn("lift", rate / base).where("lift >= 2.5")
                .withColumn("gain", F.col("p") * F.log("lift")).orderBy(F.desc("gain"), "slot").limit(limit))
     return np.array([r["slot"] for r in telling.select("slot").collect()], np.int64)
 
@@ -129,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Fit on ``labels`` (id, label) outside ``held_out``, a condition on ``id``.
 
     Rows with null ids, labels or texts are not learned from.  The class prior
-    is the share of 1 among the labels used, unless given.  Without any
+    is CAUTION times the share of 1 among the labels used, unless given.  Without any
     positive (or any text) every score is the prior.
     """
     used = ~held_out if held_out is not None else F.lit(True)
@@ -137,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         F.col(id).alias("id"), (F.col(label) == 1).alias("positive"))
     if prior is None:
         share = known.agg(F.avg(F.col("positive").cast("double")).alias("p")).first()["p"]
-        prior = 0.5 if share is None else share
+        prior = 0.5 if share is None else share * CAUTION
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     draw = F.xxhash64("id", F.lit(11))
     chosen = known.where("positive").select("id", F.lit(True).alias("positive")).distinct().orderBy(draw, "id").limit(max_positives)
