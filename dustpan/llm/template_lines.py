@@ -9,8 +9,7 @@ What is left is the unit's template, carried as a 64-bit hash.
 
 A template is dropped where it recurs across documents that are otherwise
 different.  Copies must not count for that, so documents are counted by
-*family*: the two smallest hashes, under two seeds, of all words of the text.
-Copies and near copies mostly agree in both, different texts with a passage in
+*family*: the smallest and the largest hash of all words of the text.  Copies and near copies mostly agree in both, different texts with a passage in
 common hardly ever do.  A template goes when at least ``LEAST_FAMILIES``
 families have it, and these are at least ``LEAST_SHARE`` of the different
 texts that have it (so a large group of near copies, a few of which fall out of
@@ -41,7 +40,14 @@ _DIGITS = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _words(unit: Column) -> Column:
-    return F.filter(F.split(unit, _WHITE), lambda w: w != "")
+    """Words of a unit whose only white space is spaces."""
+    return F.filter(F.split(unit, " "), lambda w: w != "")
+
+
+def _masked(unit: Column) -> Column:
+    """A unit with variable fields masked and all white space turned to spaces."""
+    plain = F.regexp_replace(F.regexp_replace(unit, _WHITE, " "), _DIGITS, "<*>")
+    return F.when(unit.rlike(r"[0-9\x09-\x0D]"), plain).otherwise(unit)
 
 
 def template_key(words: Column) -> Column:
@@ -56,28 +62,26 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t"), F.hash(text).alias("t2")]
 
 
-def _family(text: Column) -> Column:
-    words = F.split(text, _WHITE)
-    low = lambda seed: F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed))))
-    return F.xxhash64(low(1), low(2))
-
-
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(t, t2, family, place, key) of all units of enough words; t and t2 name the whole text."""
+    """(t, t2, family, place, key) of all units; t and t2 name the whole text, key is null for too few words."""
     whole = docs.select(F.col(text).alias("text")).where("text <> ''")
-    lines = whole.select(*_text_key(F.col("text")), _family(F.col("text")).alias("family"),
-                         F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    # Of each text once, before its lines are exploded.
+    hashed = whole.select("text", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
+    named = hashed.select(*_text_key(F.col("text")), F.xxhash64(F.array_min("h"), F.array_max("h")).alias("family"),
+                          F.split("text", "\n").alias("lines"))
+    lines = named.select("t", "t2", "family", F.posexplode("lines").alias("line", "content"))
     parts = lines.select("t", "t2", "family", "line", F.posexplode(F.split("content", _SENTENCE)).alias("unit", "part"))
-    masked = F.when(F.col("part").rlike("[0-9]"), F.regexp_replace("part", _DIGITS, "<*>")).otherwise(F.col("part"))
-    words = parts.select("t", "t2", "family", (F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")).alias("place"),
-                         _words(masked).alias("w"))
-    return words.where(F.size("w") >= LEAST_WORDS).select("t", "t2", "family", "place", template_key(F.col("w")).alias("key"))
+    words = parts.where(F.col("part").contains(" ")).select(
+        "t", "t2", "family", (F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")).alias("place"),
+        _words(_masked(F.col("part"))).alias("w"))
+    return words.select("t", "t2", "family", "place", F.when(F.size("w") >= LEAST_WORDS, template_key(F.col("w"))).alias("key"))
 
 
 def dropped_places(docs: DataFrame, text: str = "text", least_families: int = LEAST_FAMILIES,
                    least_share: float = LEAST_SHARE) -> DataFrame:
     """(t, t2, places): units to drop, for texts that have any."""
-    rows = materialize(units(docs, text), "units")
+    # The key is computed once, for the file; a filter before it would compute it twice.
+    rows = materialize(units(docs, text), "units").where("key IS NOT NULL")
     keys = rows.groupBy("key").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a < b").select("key")
     shared = materialize(rows.join(keys, "key", "left_semi"), "shared")
     gone = (shared.groupBy("key").agg(F.count_distinct("family").alias("families"), F.count_distinct("t").alias("texts"))
@@ -91,8 +95,8 @@ def _without(text: Column, places: Column) -> Column:
     """``text`` less the units at ``places``; a line that loses all its words goes whole."""
     def gone(part: Column, at: Column) -> Column:
         near = lambda low, high: F.exists(places, lambda p: (p >= at + low) & (p <= at + high))
-        short = F.size(_words(part)) < LEAST_WORDS
-        return F.array_contains(places, at) | (short & near(-_NEAR, -1) & near(1, _NEAR))
+        return F.array_contains(places, at) | (
+            near(-_NEAR, -1) & near(1, _NEAR) & (F.size(_words(_masked(part))) < LEAST_WORDS))
 
     def line(content: Column, number: Column) -> Column:
         first = number.cast("bigint") * _LINE
