@@ -153,9 +153,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(in_blocks(each), "id bigint, elements array<bigint>")
 
 
+def _grown(rows: DataFrame) -> DataFrame:
+    """Right side of a join that grows with the data: shuffled at every size, never broadcast."""
+    return rows.hint("merge")
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, elements) of the documents with these ids."""
-    return materialize(_sets(docs.join(ids.distinct(), "id", "left_semi"), size), "sets")
+    return materialize(_sets(docs.join(_grown(ids.distinct()), "id", "left_semi"), size), "sets")
 
 
 def _near(bins: int, percent: int, a: str = "bits", b: str = "bits2") -> Column:
@@ -196,14 +201,14 @@ def _pairs(rows: DataFrame, bits: DataFrame, bins: int, percent: int) -> DataFra
 
 def _open(members: DataFrame, families: DataFrame) -> DataFrame:
     """Members of buckets with several families, with their family and the bucket's largest."""
-    labelled = materialize(members.join(families, "id", "left").select(
+    labelled = materialize(members.join(_grown(families), "id", "left").select(
         "key", "id", "n", "met", F.coalesce("family", "id").alias("family")), "labelled")
     sizes = labelled.groupBy("key", "family").agg(F.count("*").alias("size"), F.max("met").alias("met"))
     # Of equal sizes the one that meets most, so that buckets of the same sets choose the same.
     weight = F.col("size") * F.lit(1 << 40) + F.col("met")
     largest = (sizes.groupBy("key").agg(F.max_by("family", weight).alias("largest"), F.count("*").alias("families"))
                .where("families > 1").select("key", "largest"))
-    return materialize(labelled.join(largest, "key"), "open")
+    return materialize(labelled.join(_grown(largest), "key"), "open")
 
 
 def _to_hubs(rows: DataFrame, bits: DataFrame, bins: int, source: DataFrame, percent: int, size: int) -> DataFrame:
@@ -259,17 +264,17 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
     classes = filled.groupBy("x", "y", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     # Only classes of several documents need a row: the others stand for themselves.
     shared = materialize(classes.where("last > rep").select("x", "y", "n", "rep"), "classes")
-    plain = filled.join(shared, ["x", "y", "n"], "left")
+    plain = filled.join(_grown(shared), ["x", "y", "n"], "left")
     heads = plain.where("rep IS NULL OR rep = id").select("id", "n", F.explode("keys").alias("key"))
     buckets = heads.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = materialize(heads.join(buckets, "key"), "members")
-    members = materialize(members.join(members.groupBy("id").agg(F.sum("rows").alias("met")), "id"), "members")
+    members = materialize(heads.join(_grown(buckets), "key"), "members")
+    members = materialize(members.join(_grown(members.groupBy("id").agg(F.sum("rows").alias("met"))), "id"), "members")
     hubs = members.groupBy("key").agg(F.max_by("id", "met").alias("lead"), F.max_by("n", "met").alias("lead_n"))
     # Bits of those that meet anyone.
-    bits = materialize(features.select("id", "bits").join(members.select("id").distinct(), "id", "left_semi")
+    bits = materialize(features.select("id", "bits").join(_grown(members.select("id").distinct()), "id", "left_semi")
                        .dropDuplicates(["id"]), "bits")
     bins = bands * rows
-    pairs = _pairs(members.join(hubs, "key"), bits, bins, percent)
+    pairs = _pairs(members.join(_grown(hubs), "key"), bits, bins, percent)
     links = _verified(pairs, _sets_of(source, _both(pairs), size), percent)
     families = _families(links)
     for _ in range(rounds):
@@ -283,8 +288,8 @@ def near_duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text
         families = _families(links.unionByName(more))
 
     ids = features.select("id", "n", "x", "y")
-    named = ids.join(shared, ["x", "y", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    joined = named.join(families.withColumnRenamed("id", "rep"), "rep", "left")
+    named = ids.join(_grown(shared), ["x", "y", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    joined = named.join(_grown(families.withColumnRenamed("id", "rep")), "rep", "left")
     component = F.coalesce("family", "rep")
     return joined.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"),
                          F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
