@@ -27,6 +27,18 @@ def _hasher(algorithm: str):
     return getattr(hashlib, algorithm)
 
 
+def dealt_for_reading(files: DataFrame, task_bytes: int = 1 << 30, task_files: int = 20000) -> DataFrame:
+    """A written table of ``path`` and ``size`` dealt evenly to tasks of bounded work.
+
+    The number of tasks is given, as adaptive execution only sees the short
+    rows and would merge them into few tasks; no task gets one folder whole.
+    """
+    work = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("files")).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism,
+                -(-work["bytes"] // task_bytes), -(-work["files"] // task_files))
+    return files.repartition(int(tasks), F.xxhash64("path", "size"))
+
+
 def hash_files(files: DataFrame, algorithm: str = "sha256", chunk: int = CHUNK) -> DataFrame:
     """Add ``hash`` and ``hash_error`` to rows with a readable ``path``.
 

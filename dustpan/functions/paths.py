@@ -38,6 +38,21 @@ def self_and_ancestors(path: Column | str) -> Column:
     return F.transform(steps, lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
+def resolved_path(path: Column | str) -> Column:
+    """``clean_path`` with '.' and '..' steps resolved by name; the top is '/'."""
+    steps = F.aggregate(
+        F.split(col(path), "/"), F.array().cast("array<string>"),
+        lambda kept, step: F.when(step.isin("", "."), kept)
+        .when(step == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+        .otherwise(F.concat(kept, F.array(step))))
+    return F.concat(F.lit("/"), F.array_join(steps, "/"))
+
+
+def as_ancestor(path: Column | str) -> Column:
+    """The top as ancestors are spelled: '' instead of '/'."""
+    return F.when(col(path) == "/", "").otherwise(col(path))
+
+
 def clean_path(path: Column | str) -> Column:
     """Repeated and trailing slashes removed, so equal directories compare equal."""
     return F.regexp_replace(F.regexp_replace(col(path), "/+", "/"), "(.)/$", "$1")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import errno
 import os
-import shutil
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dustpan.functions.paths import parent_of
+from dustpan.functions.paths import depth_of, parent_of
 from dustpan.operators.emptydirs import below
 from dustpan.operators.roots import ancestors_of
+from dustpan.sources.lister import list_entries
 from dustpan.storage import materialize
 
 RESULTS = "path string, entry_type string, outcome string, error string"
@@ -53,16 +54,21 @@ def effective_delete_roots(chosen: DataFrame) -> DataFrame:
     return rows.join(covered, "__parent", "left_anti").select("path", "entry_type").distinct()
 
 
-def _remove(path: str) -> str:
-    if os.path.isfile(path):
+def _remove_file(path: str) -> str:
+    try:
         os.unlink(path)
-    elif os.path.isdir(path):
-        shutil.rmtree(path)
-    else:
+    except FileNotFoundError:
         return "absent"
     return "deleted"
 
 
+def _remove_named(path: str) -> str:
+    """A file that was asked for by its own name; a link to a directory is neither file nor directory."""
+    if os.path.islink(path) and os.path.isdir(path):
+        raise OSError(errno.EPERM, "link to a directory")
+    return _remove_file(path)
+
+
 def _remove_empty(path: str) -> str:
     """Only a directory that is empty at this moment goes."""
     try:
@@ -72,32 +78,71 @@ def _remove_empty(path: str) -> str:
     return "deleted"
 
 
-def _act(items: DataFrame, action: Callable[[str], str], dry_run: bool, by: str | None) -> DataFrame:
+def _act(items: DataFrame, action: Callable[[str], str], dry_run: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             done = []
-            for path, kind in zip(rows["path"], rows["entry_type"]):
+            for path, kind, present in zip(rows["path"], rows["entry_type"], rows["present"], strict=True):
                 outcome, error = "planned", None
                 if not dry_run:
                     try:
                         outcome = action(path)
+                        if outcome == "absent" and present:
+                            outcome = "deleted"
                     except OSError as err:
                         outcome, error = "failed", f"{type(err).__name__}: {err.strerror or err}"
                 done.append((path, kind, outcome, error))
             yield pd.DataFrame(done, columns=["path", "entry_type", "outcome", "error"])
 
+    spark = items.sparkSession
+    if not dry_run and spark.conf.get("spark.speculation", "false") == "true":
+        raise RuntimeError("two attempts of one task must not delete side by side: switch spark.speculation off")
     # The manifest is fixed first, and the results are written once: reading
-    # them never repeats the action.  A repeated task finds its items absent.
-    manifest = materialize(items.select("path", "entry_type", *([by] if by else [])), "manifest")
-    tasks = manifest.sparkSession.sparkContext.defaultParallelism
-    # Items are spread evenly within their device; no device is one task.
-    dealt = manifest.repartition(tasks, *([by] if by else []), F.xxhash64("path") % tasks)
+    # them never repeats the action.  It also says what was there at the start,
+    # so that a repeated task knows an absent item for its own work.
+    manifest = materialize(_with_presence(items.select("path", "entry_type")), "manifest")
+    tasks = spark.sparkContext.defaultParallelism
+    dealt = manifest.repartition(tasks, F.xxhash64("path"))
     return materialize(dealt.mapInPandas(run, RESULTS), "results")
 
 
-def apply_deletes(items: DataFrame, dry_run: bool = True, by: str | None = None) -> DataFrame:
-    """Delete files, and directories with all they hold; one result row per item."""
-    return _act(items, _remove, dry_run, by)
+def _with_presence(items: DataFrame) -> DataFrame:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(present=[os.path.lexists(path.split("\0")[0]) for path in rows["path"]])
+
+    return items.mapInPandas(look, "path string, entry_type string, present boolean")
+
+
+def _with_links(items: DataFrame) -> DataFrame:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.assign(is_link=[os.path.islink(path) for path in rows["path"]])
+
+    return items.select("path", "entry_type").mapInPandas(look, "path string, entry_type string, is_link boolean")
+
+
+def apply_deletes(items: DataFrame, dry_run: bool = True) -> DataFrame:
+    """Delete files, and directories with all they hold; one result row per item.
+
+    A directory is listed first; what it holds goes spread over all tasks,
+    files and links before directories, and directories deepest first.
+    """
+    items = materialize(items.select("path", "entry_type").distinct(), "items")
+    dirs = items.where(F.col("entry_type") == "dir")
+    if dry_run or dirs.isEmpty():
+        return _act(items, _remove_named, dry_run)
+    # A link to a directory is not followed: its target's files are not below it.
+    tops = _with_links(dirs).where("not is_link").select(F.lit(0).alias("root_idx"), F.col("path").alias("root"))
+    inside = materialize(list_entries(tops).where("entry_type <> 'root'").select("path", "entry_type"), "inside")
+    done = _act(inside.where("entry_type <> 'dir'").distinct(), _remove_file, False)
+    done = done.unionByName(_act(items.where("entry_type <> 'dir'").join(inside, "path", "left_anti"), _remove_named, False))
+    folders = inside.where("entry_type = 'dir'").unionByName(dirs.select("path", "entry_type")).distinct()
+    folders = materialize(folders.withColumn("depth", depth_of("path")), "folders")
+    for row in folders.select("depth").distinct().orderBy(F.desc("depth")).collect():  # levels of the trees
+        level = folders.where(F.col("depth") == row["depth"])
+        done = done.unionByName(_act(level, _remove_empty, False))
+    return done.join(items.select("path"), "path", "left_semi")
 
 
 def apply_purge(cascade: DataFrame, dry_run: bool = True) -> DataFrame:
@@ -106,9 +151,8 @@ def apply_purge(cascade: DataFrame, dry_run: bool = True) -> DataFrame:
     spark = cascade.sparkSession
     plan = materialize(cascade.select("path", F.lit("dir").alias("entry_type"), "round"), "cascade")
     results = spark.createDataFrame([], RESULTS)
-    for number in rounds:  # at most MAX_ROUNDS
-        results = results.unionByName(
-            _act(plan.where(F.col("round") == number), _remove_empty, dry_run, None))
+    for number in rounds:  # levels of the deepest empty chain
+        results = results.unionByName(_act(plan.where(F.col("round") == number), _remove_empty, dry_run))
     return results
 
 
@@ -128,14 +172,14 @@ def apply_quarantine(plan: DataFrame, dry_run: bool = True) -> DataFrame:
         return "renamed"
 
     paired = names.select(F.concat("path", F.lit("\0"), "quarantine_path").alias("path"), "entry_type")
-    done = _act(paired, rename, dry_run, None)
+    done = _act(paired, rename, dry_run)
     both = F.split("path", "\0")
     return done.select(both[0].alias("path"), both[1].alias("quarantine_path"), "outcome", "error")
 
 
 def remove_quarantined(renamed: DataFrame, dry_run: bool = True) -> DataFrame:
     return _act(renamed.select(F.col("quarantine_path").alias("path"), F.lit("dir").alias("entry_type")),
-                _remove_empty, dry_run, None)
+                _remove_empty, dry_run)
 
 
 def deletion_summary(results: DataFrame) -> DataFrame:

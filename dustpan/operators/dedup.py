@@ -23,18 +23,20 @@ def size_candidates(files: DataFrame) -> DataFrame:
 
 
 def _counted(hashed: DataFrame, include_empty: bool) -> DataFrame:
-    return hashed if include_empty else hashed.where("size > 0")
+    """Files that can be compared: one that could not be read is nobody's copy."""
+    readable = hashed.where("hash IS NOT NULL")
+    return readable if include_empty else readable.where("size > 0")
 
 
 def duplicate_groups(hashed: DataFrame, include_empty: bool = True) -> DataFrame:
     """One row per content held by two or more files, with its first copy."""
-    first = F.min(F.struct("ord", "path"))
-    return (_counted(hashed, include_empty).groupBy("hash")
-            .agg(F.count("*").alias("copies"), F.max("size").alias("size"), first.alias("first"))
-            .where("copies > 1")
-            .select("hash", "copies", "size", F.col("first.ord").alias("first_ord"),
-                    F.col("first.path").alias("first_path"),
-                    ((F.col("copies") - 1) * F.col("size")).alias("redundant_bytes")))
+    rows = _counted(hashed, include_empty)
+    groups = (rows.groupBy("hash")
+              .agg(F.count("*").alias("copies"), F.max("size").alias("size"), F.min("ord").alias("ord"))
+              .where("copies > 1"))
+    return groups.join(rows.select("hash", "ord", "path"), ["hash", "ord"]).select(
+        "hash", "copies", "size", F.col("ord").alias("first_ord"), F.col("path").alias("first_path"),
+        ((F.col("copies") - 1) * F.col("size")).alias("redundant_bytes"))
 
 
 def duplicate_members(hashed: DataFrame, include_empty: bool = True) -> DataFrame:
@@ -45,17 +47,20 @@ def duplicate_members(hashed: DataFrame, include_empty: bool = True) -> DataFram
 
 def same_name_duplicates(hashed: DataFrame) -> DataFrame:
     """Groups that agree on content and on file name."""
-    return (hashed.groupBy("hash", "name")
-            .agg(F.count("*").alias("copies"), F.min(F.struct("ord", "path")).alias("first"))
-            .where("copies > 1")
-            .select("hash", "name", "copies", F.col("first.path").alias("first_path")))
+    rows = _counted(hashed, True)
+    groups = (rows.groupBy("hash", "name").agg(F.count("*").alias("copies"), F.min("ord").alias("ord"))
+              .where("copies > 1"))
+    return groups.join(rows.select("hash", "ord", "path"), ["hash", "ord"]).select(
+        "hash", "name", "copies", F.col("path").alias("first_path"))
 
 
 def duplicate_summary(hashed: DataFrame) -> DataFrame:
-    return duplicate_groups(hashed).agg(
+    groups = (_counted(hashed, True).groupBy("hash")
+              .agg(F.count("*").alias("copies"), F.max("size").alias("size")).where("copies > 1"))
+    return groups.agg(
         F.count("*").alias("groups"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("redundant_files"),
-        F.coalesce(F.sum("redundant_bytes"), F.lit(0)).alias("redundant_bytes"))
+        F.coalesce(F.sum((F.col("copies") - 1) * F.col("size")), F.lit(0)).alias("redundant_bytes"))
 
 
 def _labelled(rows: DataFrame, keep: Column) -> DataFrame:
@@ -66,8 +71,10 @@ def _labelled(rows: DataFrame, keep: Column) -> DataFrame:
 def _one_per_device(hashed: DataFrame) -> DataFrame:
     per_device = hashed.groupBy("hash", "device").agg(F.count("*").alias("n"), F.min("ord").alias("keeper"))
     shared = per_device.groupBy("hash").agg(F.sum("n").alias("copies")).where("copies > 1")
-    keepers = per_device.join(shared, "hash", "left_semi").select("hash", "device", "keeper")
-    rows = hashed.join(keepers, ["hash", "device"])
+    keepers = per_device.join(shared, "hash", "left_semi").select(
+        F.col("hash").alias("__hash"), F.col("device").alias("__device"), "keeper")
+    # Files on no known device form a device of their own.
+    rows = hashed.join(keepers, (F.col("hash") == F.col("__hash")) & F.col("device").eqNullSafe(F.col("__device")))
     return _labelled(rows, F.col("ord") == F.col("keeper"))
 
 
@@ -97,7 +104,8 @@ def dup_plan(hashed: DataFrame, policy: str = "keep_first", device: str | None =
         return _one_per_device(hashed)
     if policy == "manual":
         return _manual(hashed, manual)
-    on_device = F.col("device") == F.lit(device)
+    hashed = hashed.where("hash IS NOT NULL")
+    on_device = F.coalesce(F.col("device") == F.lit(device), F.lit(False))
     facts = [F.count("*").alias("copies"), F.min("ord").alias("first")]
     if policy == "keep_device":
         facts.append(F.coalesce(F.max(on_device), F.lit(False)).alias("has_device"))
@@ -108,7 +116,7 @@ def dup_plan(hashed: DataFrame, policy: str = "keep_first", device: str | None =
     keep = {"keep_all": lambda: F.lit(True),
             "keep_first": lambda: is_first,
             "keep_device": lambda: F.when(F.col("has_device"), on_device).otherwise(is_first),
-            "keep_same_device": lambda: F.col("device") == F.col("first_device")}[policy]()
+            "keep_same_device": lambda: F.col("device").eqNullSafe(F.col("first_device")) | is_first}[policy]()
     return _labelled(hashed.join(groups, "hash"), keep)
 
 

@@ -9,9 +9,6 @@ from dustpan.functions.paths import clean_path, depth_of, parent_of, self_and_an
 from dustpan.operators.roots import LOCK_NAME, ancestors_of, exclude_protected
 from dustpan.plans.ordered import with_row_number
 
-# Fixed value: a purge gives up after this many rounds.
-MAX_ROUNDS = 100
-
 
 def _dirs(inventory: DataFrame) -> DataFrame:
     dirs = inventory.where(F.col("entry_type") == "dir")
@@ -56,9 +53,12 @@ def below(paths: DataFrame, tops: DataFrame, include_self: bool) -> DataFrame:
 
 def cascade_empty_dirs(inventory: DataFrame, roots: DataFrame | None = None,
                        selected: DataFrame | None = None, scope: str = "roots",
-                       max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                       max_rounds: int | None = None) -> DataFrame:
     """Directories a repeated purge removes, with the round each goes in.
 
+    ``max_rounds`` leaves out what a purge stopped after so many would; there
+    is no such limit unless asked for.
+
     Closed form of the fixpoint: a directory goes iff nothing that stays lies
     below it; its round is the height of its subtree.  ``scope='roots'`` purges
     all of it below the roots holding the selection, ``'selected'`` only the
@@ -74,7 +74,8 @@ def cascade_empty_dirs(inventory: DataFrame, roots: DataFrame | None = None,
     depth = depth_of("path")
     rounds = heights.select("path", depth.alias("depth"),
                             (F.col("deepest") - depth + 1).cast("bigint").alias("round"))
-    rounds = rounds.where(F.col("round") <= max_rounds)
+    if max_rounds is not None:
+        rounds = rounds.where(F.col("round") <= max_rounds)
     if selected is None:
         return rounds
     if scope == "selected":
@@ -91,12 +92,15 @@ def selected_roots(selected: DataFrame, roots: DataFrame) -> DataFrame:
     return first.select(F.col("first.root").alias("path")).distinct()
 
 
-def purge_rounds(cascade: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def purge_rounds(cascade: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Directories per round, with the total and the rounds run (the last finds none)."""
+    run = F.max("round") + 1
+    if max_rounds is not None:
+        run = F.least(run, F.lit(max_rounds))
     per_round = cascade.groupBy("round").agg(F.count("*").alias("dirs"))
-    # At most ``max_rounds`` rows from here on.
+    # One row per level of the deepest empty chain from here on.
     overall = per_round.agg(F.sum("dirs").alias("total_dirs"),
-                            F.least(F.max("round") + 1, F.lit(max_rounds)).cast("bigint").alias("rounds_run"),
+                            run.cast("bigint").alias("rounds_run"),
                             F.collect_list(F.struct("round", "dirs")).alias("rows"))
     return overall.select(F.explode("rows").alias("r"), "total_dirs", "rounds_run").select(
         "r.round", "r.dirs", "total_dirs", "rounds_run")

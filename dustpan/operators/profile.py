@@ -37,9 +37,14 @@ def with_device(inventory: DataFrame, mounts: DataFrame) -> DataFrame:
 
 
 def device_profile(inventory: DataFrame, root: str = "root") -> DataFrame:
-    """Files and bytes per device and root, with totals (null) per device and overall."""
+    """Files and bytes per device and root, per device and overall.
+
+    ``level`` is 0 for a device and root, 1 for a device, 3 overall, so totals
+    differ from rows without a known device.
+    """
     return (inventory.rollup("device", root)
-            .agg(F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes")))
+            .agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("files"),
+                 F.sum("size").cast("bigint").alias("bytes")))
 
 
 def size_class_profile(files: DataFrame, classes=SIZE_CLASSES) -> DataFrame:

@@ -11,11 +11,12 @@ KEEP = 3
 
 
 def verify_checksums(hashed: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per path: ok, mismatch, missing (expected only) or unexpected (found only)."""
-    found = hashed.select("path", F.lower("hash").alias("actual"))
-    wanted = expected.select("path", F.lower("hash").alias("wanted"))
-    status = (F.when(F.col("actual").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected")
-               .when(F.col("actual") == F.col("wanted"), "ok").otherwise("mismatch"))
+    """Per path: ok, mismatch, missing (expected only), unexpected (found only) or unreadable (found without a digest)."""
+    found = hashed.select("path", F.lower("hash").alias("actual"), F.lit(True).alias("is_found"))
+    wanted = expected.select("path", F.lower("hash").alias("wanted"), F.lit(True).alias("is_wanted"))
+    status = (F.when(F.col("is_found").isNull(), "missing").when(F.col("is_wanted").isNull(), "unexpected")
+               .when(F.col("actual").isNull(), "unreadable")
+               .when(F.col("actual").eqNullSafe(F.col("wanted")), "ok").otherwise("mismatch"))
     return found.join(wanted, "path", "full_outer").select("path", status.alias("status"))
 
 

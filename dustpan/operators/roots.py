@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dustpan.functions.paths import clean_path, parent_of, self_and_ancestors
+from dustpan.functions.paths import as_ancestor, clean_path, parent_of, resolved_path, self_and_ancestors
 
 # Fixed value: folder name of the purge lock, skipped wherever it occurs.
 LOCK_NAME = ".purge.lock"
@@ -26,8 +26,11 @@ def prefix_lookup(paths: DataFrame, keys: DataFrame, key: str, *aggregates: Colu
 
 
 def normalize_roots(roots: DataFrame, existing_dirs: DataFrame | None = None) -> DataFrame:
-    """(root_idx, root, status): kept, repeat, missing or nested below another root."""
-    cleaned = roots.select("root_idx", clean_path("root").alias("root"))
+    """(root_idx, root, status): kept, repeat, missing or nested below another root.
+
+    '.' and '..' are resolved by name, '/' lies above every other root.
+    """
+    cleaned = roots.select("root_idx", resolved_path("root").alias("root"))
     first = cleaned.groupBy("root").agg(F.min("root_idx").alias("first_idx"))
     if existing_dirs is None:
         present = first.withColumn("present", F.lit(True))
@@ -35,8 +38,8 @@ def normalize_roots(roots: DataFrame, existing_dirs: DataFrame | None = None) ->
         found = existing_dirs.select(F.col("path").alias("root")).distinct()
         present = first.join(found.withColumn("present", F.lit(True)), "root", "left")
     usable = present.where("present").select(F.col("root").alias("path"))
-    above = usable.select(F.col("path").alias("outer"))
-    nested = (ancestors_of(usable).where("ancestor <> path")
+    above = usable.select(as_ancestor("path").alias("outer"))
+    nested = (ancestors_of(usable).where("ancestor <> path AND path <> '/'")
               .join(above, F.col("ancestor") == F.col("outer"), "left_semi")
               .select(F.col("path").alias("root"), F.lit(True).alias("nested")).distinct())
     judged = present.join(nested, "root", "left")
@@ -55,7 +58,7 @@ def attribute_to_root(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
     Ancestors are expanded for distinct parents only, never per file.
     """
-    listed = (roots.select(clean_path("root").alias("root"), F.col("root_idx").alias("idx"))
+    listed = (roots.select(as_ancestor(clean_path("root")).alias("root"), F.col("root_idx").alias("idx"))
               .groupBy("root").agg(F.min("idx").alias("idx")))
     parents = entries.select(parent_of("path").alias("path"))
     above = prefix_lookup(parents, listed, "root", F.min("idx").alias("above_idx"))
@@ -69,7 +72,7 @@ def attribute_to_root(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 def found_under_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """One row per entry and containing root, as separate scans of each would list."""
-    listed = roots.select(clean_path("root").alias("root"), F.col("root_idx").alias("idx")).distinct()
+    listed = roots.select(as_ancestor(clean_path("root")).alias("root"), F.col("root_idx").alias("idx")).distinct()
     parents = entries.select(F.col("parent").alias("path"))
     pairs = (ancestors_of(parents).join(listed, F.col("ancestor") == F.col("root"))
              .select(F.col("path").alias("parent"), F.col("idx").alias("root_idx")))

@@ -251,8 +251,8 @@ def all_oracles() -> dict[str, str]:
         "deletion_failures": _with(AUDIT) + "SELECT path, error FROM audit WHERE kind = 'failed'",
         "purge_rounds": _with(CASCADE) + """SELECT round, count(*) AS dirs,
             (SELECT count(*) FROM cascade) AS total_dirs,
-            (SELECT CAST(least(max(round) + 1, 100) AS BIGINT) FROM cascade) AS rounds_run FROM cascade GROUP BY round""",
-        "device_profile": _with(FA) + """SELECT device, root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
+            (SELECT CAST(max(round) + 1 AS BIGINT) FROM cascade) AS rounds_run FROM cascade GROUP BY round""",
+        "device_profile": _with(FA) + """SELECT device, root, grouping_id(device, root) AS level, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes
             FROM (SELECT device, '/' || device || '/' || lang AS root, size FROM fa) GROUP BY ROLLUP (device, root)""",
         "size_class_profile": _with(FA) + """SELECT CASE WHEN size < 256 THEN 'tiny' WHEN size < 1024 THEN 'small'
             WHEN size < 4096 THEN 'medium' WHEN size < 16384 THEN 'large' ELSE 'xxx-large' END AS size_class,

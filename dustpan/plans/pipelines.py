@@ -5,29 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dustpan.functions.hashing import hash_files
+from dustpan.functions.hashing import dealt_for_reading, hash_files
 from dustpan.operators import actions, dedup, emptydirs, residuals
-from dustpan.operators.roots import kept_roots, normalize_roots
+from dustpan.operators.profile import with_device
+from dustpan.operators.roots import kept_roots, normalize_roots, union_roots
 from dustpan.sources.lister import list_entries, regular_files
 from dustpan.storage import materialize
 
 
 def scan(roots: DataFrame) -> DataFrame:
-    """Inventory of the cleaned roots: one row per path, however roots overlap."""
-    return list_entries(kept_roots(normalize_roots(roots)))
+    """Inventory of the cleaned roots: one row per path, however roots overlap.
+
+    A root below another is only left to the outer scan if that got there; it
+    does not where a link leads to the inner root, or the way cannot be read.
+    """
+    normal = materialize(normalize_roots(roots), "roots")
+    found = list_entries(kept_roots(normal))
+    reached = found.where("entry_type = 'dir' AND error IS NULL").select(F.col("path").alias("root"))
+    missed = materialize(normal.where("status = 'nested'").select("root_idx", "root").join(reached, "root", "left_anti"), "missed")
+    if missed.isEmpty():
+        return found
+    return union_roots(found, list_entries(missed.select("root_idx", "root"))).select(*found.columns)
 
 
 def hashed_files(inventory: DataFrame, patterns: DataFrame, only_candidates: bool = True,
-                 algorithm: str = "sha256") -> DataFrame:
-    """Digests of the files that can have copies; leftovers are not hashed."""
+                 algorithm: str = "sha256", mounts: DataFrame | None = None) -> DataFrame:
+    """Digests of the files that can have copies; leftovers are not hashed.
+
+    ``mounts`` (mount, device, device_type) tells the device of each file;
+    without it every root counts as a device.
+    """
     files = residuals.non_residual(regular_files(inventory), patterns)
     if only_candidates:
         files = dedup.size_candidates(files)
-    # Even dealing by path and size: no task gets all files of one folder.
-    dealt = files.repartition(F.xxhash64("path", "size")).select(
-        F.struct("root_idx", "path").alias("ord"), "path", "name", "size",
-        F.col("root_idx").cast("string").alias("device"))
-    return materialize(hash_files(dealt, algorithm), "hashed")
+    files = with_device(files, mounts) if mounts is not None else files.withColumn("device", F.col("root_idx").cast("string"))
+    rows = files.select(F.struct("root_idx", "path").alias("ord"), "path", "name", "size", "device")
+    return materialize(hash_files(dealt_for_reading(materialize(rows, "to_hash")), algorithm), "hashed")
 
 
 def hash_ledger(hashed: DataFrame) -> DataFrame:
@@ -37,9 +50,9 @@ def hash_ledger(hashed: DataFrame) -> DataFrame:
 
 
 def find_duplicates(roots: DataFrame, patterns: DataFrame, policy: str = "keep_first",
-                    **options) -> DataFrame:
+                    mounts: DataFrame | None = None, **options) -> DataFrame:
     """Reviewable keep/delete plan for the trees below the roots."""
-    hashed = hashed_files(scan(roots), patterns).where("hash IS NOT NULL")
+    hashed = hashed_files(scan(roots), patterns, mounts=mounts).where("hash IS NOT NULL")
     return dedup.dup_plan(hashed, policy, **options)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dustpan import fixtures as fx
 from dustpan.functions import text as tx
-from dustpan.functions.hashing import content_hash, hash_files
+from dustpan.functions.hashing import content_hash, dealt_for_reading, hash_files
 from dustpan.functions.paths import basename, depth_of, extension_of, parent_of, self_and_ancestors
 from dustpan.operators import actions, dedup, emptydirs, profile, residuals, retention, roots, similarity
 from dustpan.sources import audit, catalogue, lister, patterns_csv
@@ -111,7 +111,7 @@ def list_entries(spark, sf):
 @query
 def hash_tree(spark, sf):
     target, top = document_tree(spark, sf)
-    done = hash_files(lister.list_files(top).select("path", "size"))
+    done = hash_files(dealt_for_reading(materialize(lister.list_files(top).select("path", "size"), "files")))
     return done.select(inside(target).alias("path"), "size", "hash", "hash_error")
 
 
@@ -570,7 +570,7 @@ def incremental_duplicates(spark, sf):
     """The hashed inventory arrives file by file; the index ends equal to the batch result."""
     inbox, base = new_location(spark, "inbox"), new_location(spark, "watch")
     rows = files(spark, sf).select("hash", "ord", "path", "size")
-    rows.repartition(4, "path").write.parquet(inbox)
+    rows.repartition("path").write.parquet(inbox)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     incremental.watch_duplicates(stream, f"{base}/index", f"{base}/checkpoint", buckets=16).awaitTermination()
     return incremental.incremental_summary(incremental.indexed_files(spark, f"{base}/index"))

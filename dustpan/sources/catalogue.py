@@ -1,22 +1,37 @@
-"""Inventories kept per session and device, so later questions need no rescan."""
+"""Inventories kept per session and device, so later questions need no rescan.
+
+Writing a session again replaces it.  Sessions and devices are text, also where
+they look like numbers.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _read(spark: SparkSession, folder: str) -> DataFrame:
+    """The table with its folder columns as text: '007' stays '007'."""
+    found = spark.read.parquet(folder).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("session_id", "device") else f for f in found])
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _write(rows: DataFrame, folder: str, *parts: str) -> None:
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(folder))
 
 
 def write_catalogue(inventory: DataFrame, folder: str, session_id: str) -> None:
-    """Append one session's inventory, partitioned by session and device."""
+    """Write one session's inventory, partitioned by session and device."""
     # Rebalanced by device so that a large device is split, a small one is one file.
-    (inventory.withColumn("session_id", F.lit(session_id)).hint("rebalance", "device")
-     .write.mode("append").partitionBy("session_id", "device").parquet(folder))
+    _write(inventory.withColumn("session_id", F.lit(session_id)).hint("rebalance", "device"), folder, "session_id", "device")
 
 
 def read_catalogue(spark: SparkSession, folder: str, session_id: str | None = None,
                    device: str | None = None) -> DataFrame:
     """Filters on session and device select folders before any file is opened."""
-    rows = spark.read.parquet(folder)
+    rows = _read(spark, folder)
     if session_id is not None:
         rows = rows.where(F.col("session_id") == session_id)
     if device is not None:
@@ -25,10 +40,9 @@ def read_catalogue(spark: SparkSession, folder: str, session_id: str | None = No
 
 
 def write_devices(devices: DataFrame, folder: str, session_id: str) -> None:
-    """Append the devices (mount, device, device_type) a session works on."""
-    (devices.withColumn("session_id", F.lit(session_id))
-     .write.mode("append").partitionBy("session_id").parquet(folder))
+    """Write the devices (mount, device, device_type) a session works on."""
+    _write(devices.withColumn("session_id", F.lit(session_id)), folder, "session_id")
 
 
 def read_devices(spark: SparkSession, folder: str, session_id: str) -> DataFrame:
-    return spark.read.parquet(folder).where(F.col("session_id") == session_id)
+    return _read(spark, folder).where(F.col("session_id") == session_id)

@@ -93,7 +93,7 @@ def _visit(root_idx, path, is_root):
 
 
 def _walk(budget: int):
-    columns = [c.split()[0] for c in LISTING.split(", ")] + ["pending"]
+    columns = [c.split()[0] for c in LISTING.split(", ")] + ["pending", "is_root"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list = []
@@ -113,17 +113,17 @@ def _walk(budget: int):
                 try:
                     path.encode("utf-8")
                 except UnicodeEncodeError:
-                    rows.append((*_readable(_row(root_idx, path, "dir")), False))
+                    rows.append((*_readable(_row(root_idx, path, "dir")), False, is_root))
                     continue
                 if seen > budget:
-                    rows.append((*_row(root_idx, path, "dir"), True))
+                    rows.append((*_row(root_idx, path, "dir"), True, is_root))
                 else:
                     for row, below in _visit(root_idx, path, is_root):
                         seen += 1
                         if below is not None:
                             todo.append((root_idx, below, False))
                         else:
-                            rows.append((*_readable(row), False))
+                            rows.append((*_readable(row), False, False))
                         if len(rows) >= _BATCH:
                             yield flush()
         if rows:
@@ -145,14 +145,14 @@ def list_entries(roots: DataFrame, budget: int = 100_000) -> DataFrame:
     step = 0
     while True:
         here = f"{base}/round={step}"
-        (frontier.repartition(tasks).mapInPandas(_walk(budget), LISTING + ", pending boolean")
+        (frontier.repartition(tasks).mapInPandas(_walk(budget), LISTING + ", pending boolean, is_root boolean")
          .write.parquet(here))
         frontier = (spark.read.parquet(here).where("pending")
-                    .select("root_idx", "path", F.lit(False).alias("is_root")))
+                    .select("root_idx", "path", "is_root"))
         if frontier.isEmpty():
             break
         step += 1
-    return (spark.read.parquet(base).where("not pending").drop("pending", "round")
+    return (spark.read.parquet(base).where("not pending").drop("pending", "is_root", "round")
             .select("root_idx", "path", parent_of("path").alias("parent"),
                     basename("path").alias("name"), depth_of("path").alias("depth"),
                     "entry_type", "link_target", "size", "mtime", "error"))
