@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dustpan.llm import mixing
+from dustpan.llm import centroids, mixing, warc
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -33,5 +33,45 @@ FROM (SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn)
 """
 
 
+
+
+def _op12(k: int = 8, rounds: int = 10, seed: int = 3, size: int = 64) -> str:
+    """Every round as two common table expressions: assignments a<r> and centroids c<r>."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda v: floor({centroids.SCALE} * v::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+cells AS MATERIALIZED (SELECT vec_id, unnest(x) AS v, unnest(range(1, {size} + 1)) AS i FROM kept),
+drawn AS (SELECT x, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS c FROM kept),
+c0 AS MATERIALIZED (SELECT c, unnest(x) AS v, unnest(range(1, {size} + 1)) AS i FROM drawn WHERE c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS (SELECT s.vec_id, c.c, sum((s.v - c.v) * (s.v - c.v))::BIGINT AS distance
+         FROM cells s JOIN c{r} c ON s.i = c.i GROUP BY s.vec_id, c.c),
+a{r} AS MATERIALIZED (SELECT vec_id, first(c ORDER BY distance, c) AS c, min(distance) AS distance FROM d{r} GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT a.c, s.i, sum(s.v)::BIGINT AS total, count(*) AS n FROM a{r} a JOIN cells s ON a.vec_id = s.vec_id GROUP BY a.c, s.i),
+c{r + 1} AS MATERIALIZED (
+    SELECT c.c, c.i, CASE WHEN m.n IS NULL THEN c.v ELSE (m.total - ((m.total % m.n) + m.n) % m.n) // m.n END AS v
+    FROM c{r} c LEFT JOIN m{r} m ON c.c = m.c AND c.i = m.i)""")
+    return ",".join(steps) + f"""
+SELECT a.vec_id, a.c::INTEGER AS cluster, a.distance,
+       (sum(a.distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.distance) OVER ())::BIGINT AS inertia,
+       p.digest AS centroid_sha256
+FROM a{rounds} a JOIN (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS digest FROM c{rounds} GROUP BY c) p ON a.c = p.c
+"""
+
+
+OP13 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, max(page_id) AS top FROM p WHERE octet_length(encode(html)) >= {warc.LEAST_REVISIT} GROUP BY html)
+SELECT p.page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN f.top <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.top <> p.page_id THEN f.top END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op7_mixing": OP7}
+    return {"op7_mixing": OP7, "op12_centroids": _op12(), "op13_warc": OP13}

@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dustpan.llm import (brown, chat, minhash, mixing, oracle, pieces, qda, quality_rules, template_lines,
-                         toxicity, winnow)
+from dustpan.llm import (align, brown, centroids, chat, minhash, mixing, oracle, pieces, qda, quality_rules,
+                         template_lines, toxicity, warc, winnow)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
@@ -103,6 +103,21 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_score", "score")
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = align.read_vocabularies(vocabulary_path("byte_bpe_50k.json"), vocabulary_path())
+    return align.link_scores(_table(spark, sf_dir, "documents"), files)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clustered = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                            F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this module
     return corpus_pipeline.run(spark, sf_dir)
