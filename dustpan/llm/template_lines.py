@@ -1,94 +1,218 @@
 """Boilerplate out of texts by a tree of line templates.
 
 A *unit* is a sentence of a line (lines are split behind ``.``, ``!`` and ``?``
-before a space).  Each unit of at least ``LEAST_WORDS`` words runs down a tree
-of fixed depth: the number of its words, then its leading words, then, in the
-leaf, its trailing words.  Words with a digit are variable fields anywhere; of
-units with nine words or more the middle third is a variable field as well.
-What is left is the unit's template, carried as a 64-bit hash.
-
-A template is dropped where it recurs across documents that are otherwise
-different.  Copies must not count for that, so documents are counted by
-*family*: the smallest and the largest hash of all words of the text.  Copies and near copies mostly agree in both, different texts with a passage in
-common hardly ever do.  A template goes when at least ``LEAST_FAMILIES``
-families have it, and these are at least ``LEAST_SHARE`` of the different
-texts that have it (so a large group of near copies, a few of which fall out of
-the family, is left to near-duplicate removal).  It then goes from every text,
-together with short units enclosed by dropped ones.
-
-All of it is DataFrame functions.  Units travel as narrow rows (text hash,
-family, place, template hash); counts are combined before they are shuffled,
-and joins on templates have one row per template on one side.
+before a space), with its white space turned to single spaces.  Units run down
+a tree of fixed depth: the number of words, then the leading third of the words
+(two at least), which names the leaf.  Words with a digit are variable fields
+from the start, ``<*>``, unless they are most of the unit.
+
+In a leaf the other words are counted by position.  A word that stands in its
+place in few units of the leaf is a variable field, and as what is few depends
+on how far a template has spread, ``LEVELS`` gives several answers: at each
+level a unit's template keeps the words at least so frequent and has ``<*>``
+for the others, a fifth of the words at most, or one (sentences that differ in more
+are different sentences, however they begin and end).
+
+A template, with fields or without, is dropped from every text where it recurs
+in ``LEAST`` documents that are otherwise different.  Units of fewer than
+``SHORT`` words have no fields but those with digits, must begin or end a line,
+and need ``LEAST_SHORT`` documents.  Copies and near copies of one document are
+one document: each text has a sketch, the least hash of its words in each of
+sixteen classes, and a document is different from two reference documents of
+the template where it agrees with neither in more than half of the classes.  A
+passage weighs in this by its share of the texts' words, so it does not matter
+how many texts have it.
+
+All of it is DataFrame functions.  Units travel as narrow rows; counts are
+combined before they are shuffled, and the templates and leaves that hold more
+than a thousandth of all rows, a thousand at most, are joined by broadcast, so
+that none of them lands in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dustpan.llm.rows import packed, unpacked
 from dustpan.storage import materialize
 
-LEAST_WORDS, LEAST_FAMILIES, LEAST_SHARE = 5, 3, 0.4
+LEAST, SHORT, LEAST_SHORT = 3, 5, 10
+# A word is part of a template where it is at least so frequent; the last level lies beyond any table.
+LEVELS = tuple(3 * 4 ** k for k in range(16))
+FIELD = "<*>"
 # Units of a line are numbered below this.
 _LINE = 1 << 24
 # Short units so near to a dropped one on both sides go with it.
 _NEAR = 3
+_BINS, _HEAVY = 16, 1000
 
 _WHITE = r"[\x20\x09-\x0D]+"
 _SENTENCE = r"(?<=[.!?])(?=\x20)"
-_DIGITS = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _words(unit: Column) -> Column:
-    """Words of a unit whose only white space is spaces."""
-    return F.filter(F.split(unit, " "), lambda w: w != "")
+    """Words of a unit."""
+    plain = F.when(unit.rlike(r"[\x09-\x0D]"), F.regexp_replace(unit, _WHITE, " ")).otherwise(unit)
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
-def _masked(unit: Column) -> Column:
-    """A unit with variable fields masked and all white space turned to spaces."""
-    plain = F.regexp_replace(F.regexp_replace(unit, _WHITE, " "), _DIGITS, "<*>")
-    return F.when(unit.rlike(r"[0-9\x09-\x0D]"), plain).otherwise(unit)
+def _masked(words: Column, unit: Column) -> Column:
+    """Words with a digit as fields, unless they are more than half."""
+    masked = F.transform(words, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
+    fields = F.size(F.filter(words, lambda w: w.rlike("[0-9]")))
+    return F.when(unit.rlike("[0-9]") & (fields * 2 <= F.size(words)), masked).otherwise(words)
 
 
-def template_key(words: Column) -> Column:
-    """Hash of a unit's template, from its words with variable fields masked."""
-    n = F.size(words)
-    third = F.floor(n / 3).cast("int")
-    ends = F.xxhash64(n, F.slice(words, F.lit(1), third), F.slice(words, n - third + 1, third))
-    return F.when(n >= 9, ends).otherwise(F.xxhash64(n, words))
+def _lead(n: Column) -> Column:
+    """How many leading words name the leaf."""
+    return F.greatest(F.lit(2), F.floor(n / 3)).cast("int")
 
 
 def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t"), F.hash(text).alias("t2")]
 
 
-def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(t, t2, family, place, key) of all units; t and t2 name the whole text, key is null for too few words."""
-    whole = docs.select(F.col(text).alias("text")).where("text <> ''")
+def _sketch(hashes: str) -> list[Column]:
+    """Two longs, a byte per class: of the least word hash that ends in the class's number."""
+    def byte(k: int) -> Column:
+        least = F.array_min(F.filter(hashes, lambda x: x.bitwiseAND(_BINS - 1) == k))
+        return F.coalesce(F.shiftrightunsigned(least, 4).bitwiseAND(255), F.lit(0).cast("bigint"))
+
+    half = _BINS // 2
+    pack = lambda bins: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(byte(k), 8 * (k % half)) for k in bins])
+    return [pack(range(half)).alias("s1"), pack(range(half, _BINS)).alias("s2")]
+
+
+def _alike(one: str, other: str) -> Column:
+    """Whether two sketches (column prefixes) agree in more than half of the classes."""
+    same = F.lit(0)
+    for s in ("s1", "s2"):
+        differ = F.col(one + s).bitwiseXOR(F.col(other + s))
+        for k in range(_BINS // 2):
+            same += (F.shiftrightunsigned(differ, 8 * k).bitwiseAND(255) == 0).cast("int")
+    return same > _BINS // 2
+
+
+def units(docs: DataFrame, text: str = "text", places: str | None = None) -> DataFrame:
+    """(t, t2, s1, s2, place, n, w, edge) of all units that have words, or of those whose place is in ``places``.
+
+    t and t2 name the whole text, s1 and s2 are its sketch, w its masked words;
+    ``edge`` says whether the unit begins or ends its line.
+    """
+    wanted = F.col(places) if places else F.lit(None)
+    whole = docs.select(F.col(text).alias("text"), wanted.alias("wanted")).where("text <> ''")
     # Of each text once, before its lines are exploded.
-    hashed = whole.select("text", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
-    named = hashed.select(*_text_key(F.col("text")), F.xxhash64(F.array_min("h"), F.array_max("h")).alias("family"),
-                          F.split("text", "\n").alias("lines"))
-    lines = named.select("t", "t2", "family", F.posexplode("lines").alias("line", "content"))
-    parts = lines.select("t", "t2", "family", "line", F.posexplode(F.split("content", _SENTENCE)).alias("unit", "part"))
-    words = parts.where(F.col("part").contains(" ")).select(
-        "t", "t2", "family", (F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")).alias("place"),
-        _words(_masked(F.col("part"))).alias("w"))
-    return words.select("t", "t2", "family", "place", F.when(F.size("w") >= LEAST_WORDS, template_key(F.col("w"))).alias("key"))
-
-
-def dropped_places(docs: DataFrame, text: str = "text", least_families: int = LEAST_FAMILIES,
-                   least_share: float = LEAST_SHARE) -> DataFrame:
+    hashed = whole.select("text", "wanted", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
+    named = hashed.select(*_text_key(F.col("text")), *_sketch("h"), "wanted", F.split("text", "\n").alias("lines"))
+    lines = named.select("t", "t2", "s1", "s2", "wanted", F.posexplode("lines").alias("line", "content"))
+    lines = lines.select("t", "t2", "s1", "s2", "wanted", "line", F.split("content", _SENTENCE).alias("parts"))
+    parts = lines.select("t", "t2", "s1", "s2", "wanted", "line", F.size("parts").alias("of"), F.posexplode("parts").alias("unit", "part"))
+    parts = parts.select(
+        "t", "t2", "s1", "s2", "wanted", (F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")).alias("place"),
+        ((F.col("unit") == 0) | (F.col("unit") == F.col("of") - 1)).alias("edge"), "part")
+    if places:
+        parts = parts.where(F.array_contains("wanted", F.col("place")))
+    cut = parts.select("t", "t2", "s1", "s2", "place", "edge", "part", _words(F.col("part")).alias("raw")).where("size(raw) > 0")
+    cut = cut.select("t", "t2", "s1", "s2", "place", "edge", _masked(F.col("raw"), F.col("part")).alias("w"))
+    return cut.select("t", "t2", "s1", "s2", "place", F.size("w").alias("n"), "w", "edge")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Units with their leaf, their template without other fields (``key``) and the documents it ``needs``."""
+    key = F.xxhash64("n", "w")
+    leaf = F.when(F.col("n") >= SHORT, F.xxhash64(F.lit("leaf"), "n", F.slice("w", F.lit(1), _lead(F.col("n"))))).otherwise(key)
+    needs = F.when(F.col("n") >= SHORT, LEAST).when(F.col("edge"), LEAST_SHORT)
+    return rows.select("t", "t2", "s1", "s2", "place", "n", key.alias("key"), leaf.alias("leaf"), needs.alias("needs")).where("needs IS NOT NULL")
+
+
+def _joined(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """Written ``rows`` joined to a written ``side`` of one row per ``key`` with its number of rows, ``n_rows``.
+
+    Of keys with more than a thousandth of the ``total`` rows there are a
+    thousand at most: they are broadcast, and their rows are not shuffled.
+    """
+    heavy = side.where(F.col("n_rows") * _HEAVY > total)
+    if heavy.isEmpty():
+        return rows.join(side, key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(side, key))
+
+
+def recurring(rows: DataFrame) -> DataFrame:
+    """(key, n_rows) of the templates of ``rows`` (key, needs, t, s1, s2) that recur in as many different documents as they need."""
+    seen = materialize(rows.groupBy("key", "t").agg(
+        F.min("needs").alias("needs"), F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.count("*").alias("n")), "seen")
+    text = F.struct("t", "s1", "s2")
+    refs = (seen.groupBy("key").agg(F.min(text).alias("lo"), F.max(text).alias("hi"), F.count("*").alias("n_rows"),
+                                    F.sum("n").alias("all_rows"), F.min("needs").alias("needs")).where("n_rows >= needs")
+            .select("key", "n_rows", "all_rows", "needs", F.col("lo.s1").alias("lo_s1"), F.col("lo.s2").alias("lo_s2"),
+                    F.col("hi.s1").alias("hi_s1"), F.col("hi.s2").alias("hi_s2")))
+    refs = materialize(refs.withColumn("base", F.when(_alike("lo_", "hi_"), 1).otherwise(2)), "references")
+    met = _joined(seen.drop("needs", "n"), refs, "key", seen.count())
+    apart = ~_alike("", "lo_") & ~_alike("", "hi_")
+    # Both references are alike to themselves, so they are not counted here.
+    counted = met.groupBy("key").agg(F.count_if(apart).alias("others"), F.max("base").alias("base"),
+                                     F.max("needs").alias("needs"), F.max("all_rows").alias("n_rows"))
+    return counted.where("others + base >= needs").select("key", "n_rows")
+
+
+def _with_fields(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """(t, t2, s1, s2, place, key, needs): templates with variable fields of the units ``rows`` (t, t2, place)."""
+    wanted = materialize(rows.groupBy("t", "t2").agg(F.collect_set("place").alias("places")), "suspects").select(
+        F.col("t").alias("u"), F.col("t2").alias("u2"), "places")
+    first, second = _text_key(F.col("text"))
+    texts = docs.select(F.col(text).alias("text")).where("text <> ''").join(
+        wanted, (first == F.col("u")) & (second == F.col("u2"))).select("text", "places")
+    lead = _lead(F.col("n"))
+    found = units(texts, "text", "places").select(
+        "t", "t2", "s1", "s2", "place", "n", lead.alias("lead"),
+        F.xxhash64("n", F.slice("w", F.lit(1), lead)).alias("leaf"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    # A text's units once, however many rows have it.
+    found = materialize(found.dropDuplicates(["t", "place"]), "words")
+    each = found.select("t", "place", "s1", "s2", "n", "lead", "leaf", F.posexplode("h").alias("pos", "word")).where("pos >= lead")
+    each = each.withColumn("at", F.xxhash64("leaf", "pos", "word"))
+    often = materialize(each.groupBy("at").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= LEVELS[0]), "often")
+    total = int(found.agg(F.sum(F.col("n") - F.col("lead"))).first()[0] or 0)
+    kept = _joined(each.select("t", "place", "pos", "at"), often, "at", total).groupBy("t", "place").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "at", "n_rows"))).alias("kept"))
+    most = F.greatest(F.lit(1), F.floor(F.col("n") / 5))
+    fixed = lambda level: F.filter("kept", lambda k: k["n_rows"] >= level)
+    template = lambda level: F.xxhash64(F.lit("fields"), "leaf", F.transform(fixed(level), lambda k: k["at"]))
+    keys = F.array(*[F.when(F.col("n") - F.col("lead") - F.size(fixed(level)) <= most, template(level)) for level in LEVELS])
+    return (found.drop("h").join(kept, ["t", "place"]).where(F.size("kept") >= F.col("n") - F.col("lead") - most)
+            .select("t", "t2", "s1", "s2", "place", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"),
+                    F.lit(LEAST).alias("needs")))
+
+
+def dropped_places(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t, t2, places): units to drop, for texts that have any."""
-    # The key is computed once, for the file; a filter before it would compute it twice.
-    rows = materialize(units(docs, text), "units").where("key IS NOT NULL")
-    keys = rows.groupBy("key").agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a < b").select("key")
-    shared = materialize(rows.join(keys, "key", "left_semi"), "shared")
-    gone = (shared.groupBy("key").agg(F.count_distinct("family").alias("families"), F.count_distinct("t").alias("texts"))
-            .where((F.col("families") >= least_families) & (F.col("families") >= F.lit(least_share) * F.col("texts")))
-            .select("key"))
-    return (shared.join(gone, "key", "left_semi").groupBy("t", "t2")
-            .agg(F.array_sort(F.collect_set("place")).alias("places")))
+    rows = materialize(_keyed(units(docs, text)), "units")
+    total = rows.count()
+    both = rows.groupBy("leaf").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n_rows"))
+    leaves = materialize(both.where("a < b").select("leaf", "n_rows"), "leaves")
+    shared = materialize(_joined(rows, leaves, "leaf", total).drop("n_rows"), "shared")
+    gone = materialize(recurring(shared.select("key", "needs", "t", "s1", "s2")), "gone")
+    found = materialize(_joined(shared, gone, "key", total).select("t", "t2", "place", "key"), "found")
+    # What is left, in leaves that still hold units enough for a template.
+    open_units = materialize(_without_keys(shared.where(F.col("n") >= SHORT), gone, total).select("t", "t2", "place", "leaf"), "open")
+    full = materialize(open_units.groupBy("leaf").agg(F.count("*").alias("n_rows"), F.min("t").alias("a"), F.max("t").alias("b"))
+                       .where((F.col("n_rows") >= LEAST) & (F.col("a") < F.col("b"))).select("leaf", "n_rows"), "full")
+    suspects = _joined(open_units, full, "leaf", total).select("t", "t2", "place")
+    general = materialize(_with_fields(docs, suspects, text), "general")
+    gone = materialize(recurring(general.select("key", "needs", "t", "s1", "s2")), "gone")
+    more = _joined(general.select("t", "t2", "place", "key"), gone, "key", max(general.count(), 1))
+    places = found.select("t", "t2", "place").unionByName(more.select("t", "t2", "place"))
+    return materialize(places.groupBy("t", "t2").agg(F.array_sort(F.collect_set("place")).alias("places")), "places")
+
+
+def _without_keys(rows: DataFrame, gone: DataFrame, total: int) -> DataFrame:
+    """Rows whose key is not ``gone``; heavy keys as in ``_joined``."""
+    heavy = gone.where(F.col("n_rows") * _HEAVY > total)
+    rest = rows.join(F.broadcast(heavy.select("key")), "key", "left_anti") if not heavy.isEmpty() else rows
+    return rest.join(gone.select("key"), "key", "left_anti")
 
 
 def _without(text: Column, places: Column) -> Column:
@@ -96,7 +220,7 @@ def _without(text: Column, places: Column) -> Column:
     def gone(part: Column, at: Column) -> Column:
         near = lambda low, high: F.exists(places, lambda p: (p >= at + low) & (p <= at + high))
         return F.array_contains(places, at) | (
-            near(-_NEAR, -1) & near(1, _NEAR) & (F.size(_words(_masked(part))) < LEAST_WORDS))
+            near(-_NEAR, -1) & near(1, _NEAR) & (F.size(_words(part)) < SHORT))
 
     def line(content: Column, number: Column) -> Column:
         first = number.cast("bigint") * _LINE
@@ -108,19 +232,24 @@ def _without(text: Column, places: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
 
 
-def drop_templates(docs: DataFrame, text: str = "text", changed: str | None = None, **options) -> DataFrame:
+def drop_templates(docs: DataFrame, text: str = "text", changed: str | None = None) -> DataFrame:
     """``docs`` with recurring templates dropped from ``text``; one row per input row, other columns unchanged.
 
     Null and empty texts stay as they are; so does every text without a
     dropped unit, to the byte.  A text of boilerplate only becomes empty.
-    ``changed`` names a column for the number of units dropped by template.
+    Repeated rows are one document.  ``changed`` names a column for the number
+    of units dropped by template; an existing column of that name is replaced.
+    Working columns cannot clash: the caller's travel in one struct.
     """
-    places = dropped_places(docs, text, **options).select(
-        F.col("t").alias("__t"), F.col("t2").alias("__t2"), F.col("places").alias("__places"))
-    first, second = _text_key(F.col(text))
-    joined = docs.join(places, (first == F.col("__t")) & (second == F.col("__t2")), "left")
-    cleaned = F.when(F.col("__places").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("__places")))
-    columns = [cleaned.alias(c) if c == text else F.col(c) for c in docs.columns if c != changed]
+    places = dropped_places(docs, text)
+    columns = [c for c in docs.columns if c != changed]
+    others = [c for c in columns if c != text]
+    rows = docs.select(packed(docs, others).alias("row"), F.col(f"`{text}`").alias("whole"))
+    first, second = _text_key(F.col("whole"))
+    joined = rows.join(places, (first == F.col("t")) & (second == F.col("t2")), "left")
+    cleaned = F.when(F.col("places").isNull(), F.col("whole")).otherwise(_without(F.col("whole"), F.col("places")))
+    own = dict(zip(others, unpacked("row", others), strict=True)) | {text: cleaned.alias(text)}
+    result = [own[c] for c in columns]
     if changed:
-        columns.append(F.coalesce(F.size("__places"), F.lit(0)).cast("bigint").alias(changed))
-    return joined.select(*columns)
+        result.append(F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias(changed))
+    return joined.select(*result)
