@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from dustpan.llm.rows import packed, unpacked
 from dustpan.storage import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
@@ -35,16 +36,24 @@ RULES = {
 }
 
 
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+
+
 def with_base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines.
 
     Words are what white space leaves; a null or empty text has none, and zeros
-    throughout.  Existing columns of these names are replaced.
+    throughout.  Existing columns of these names are replaced; others of any
+    name are kept.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-    other = [c for c in docs.columns if c not in (*names, text)]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(*other, whole.alias("__t")).select(
+    other = [c for c in docs.columns if c not in (*STATISTICS, text)]
+    rows = docs.select(packed(docs, other).alias("row"), F.col(f"`{text}`").alias("text"))
+    return _counted(rows).select(*unpacked("row", other), *STATISTICS)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(row, statistics) of (row, text)."""
+    cut = rows.select("row", F.coalesce("text", F.lit("")).alias("__t")).select(
         "*", F.filter(F.split("__t", WHITE), lambda w: w != "").alias("__w"),
         F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__l"))
     runs = F.greatest(F.size("__w") - 2, F.lit(0))
@@ -62,7 +71,7 @@ def with_base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)))
     covered = F.size(F.array_distinct(F.flatten(F.filter(neighbours, lambda x: x.isNotNull()))))
     return sorted_.select(
-        *other, F.size("__w").cast("bigint").alias("n_words"),
+        "row", F.size("__w").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("__t", WHITE, "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("__t", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint").alias("n_dup_lines"),
@@ -140,10 +149,14 @@ def apply_rules(docs: DataFrame, text: str = "text", least: int = LEAST_ROWS, sp
     """``docs`` without ``text``, with the base statistics, base_failed and kept, one row per input row.
 
     ``docs`` has ``lang`` and ``source``.  ``kept`` is false where base_failed,
-    or where a statistic lies outside its group's limits.
+    or where a statistic lies outside its group's limits.  Existing columns of
+    the results' names are replaced, others of any name are kept.
     """
-    rows = materialize(with_base_statistics(docs, text).withColumn("base_failed", base_failed()), "statistics")
-    # One row per group, with a column pair per rule.
+    other = [c for c in docs.columns if c not in (*STATISTICS, text, "base_failed", "kept")]
+    rows = _counted(docs.select(packed(docs, other).alias("row"), F.col(f"`{text}`").alias("text")))
+    lang, source = (F.col(f"row.c{other.index(c)}").alias(c) for c in ("lang", "source"))
+    rows = materialize(rows.select("*", lang, source, base_failed().alias("base_failed")), "statistics")
+    # One row per group, with a column pair per rule; written, so that a hot group can be dealt to several tasks.
     wide = thresholds(rows, least, spread).groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source")).agg(*[
         F.max(F.when(F.col("rule") == rule, F.col(side))).alias(f"__{rule}_{side}")
         for rule in RULES for side in ("low", "high")])
@@ -152,5 +165,5 @@ def apply_rules(docs: DataFrame, text: str = "text", least: int = LEAST_ROWS, sp
     for rule in RULES:
         value = _per_mille(rule)
         inside &= F.coalesce(value <= F.col(f"__{rule}_high"), F.lit(True)) & F.coalesce(value >= F.col(f"__{rule}_low"), F.lit(True))
-    joined = rows.join(wide, same, "left")
-    return joined.select(*rows.columns, (~F.col("base_failed") & inside).alias("kept"))
+    joined = rows.join(materialize(wide, "limits"), same, "left")
+    return joined.select(*unpacked("row", other), *STATISTICS, "base_failed", (~F.col("base_failed") & inside).alias("kept"))

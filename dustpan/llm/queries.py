@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from dustpan.llm import (align, brown, centroids, chat, minhash, mixing, oracle, pieces, qda, quality_rules,
                          template_lines, toxicity, warc, winnow)
@@ -25,10 +26,14 @@ def conversation_events(rows: DataFrame) -> DataFrame:
 
     Every row opens its message with half of its text and streams the rest;
     assistant messages were first drafted otherwise and generated again, user
-    messages mistyped and edited.
+    messages mistyped and edited.  Every row is a message of its own, in order
+    of turn, role and text with nulls first, so repeated rows and rows of one
+    or no turn stay apart; a null conv_id is a conversation of its own, a null
+    text an empty one.  Other columns are not looked at.
     """
-    ranked = rows.select(
-        "conv_id", F.col("turn").alias("msg"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", text))
+    ranked = rows.select("conv_id", place.cast("bigint").alias("msg"), "role", text.alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     head, tail = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
     event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))

@@ -29,6 +29,24 @@ def test_conversations_read_back(spark, sf_dir):
         assert tuple(got[i])[:5] == (i, len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)), len(learned), sha(learned))
 
 
+def test_rows_of_one_turn_stay_apart(spark):
+    """Repeated rows, ties, null turns, roles, texts and conversations: every row is a message of its own."""
+    told = [(1, 0, "user", "hello"), (1, 0, "user", "there"), (1, 1, "assistant", "abcuvw"), (1, 1, "assistant", "abcuvw"),
+            (1, 1, "assistant", "defxyz"), (1, None, "user", "no turn"), (1, None, "assistant", None), (1, 2, None, "no role"),
+            (None, 0, "user", None), (None, 0, "user", "x"), (2, None, None, None), (3, 0, "user", "w " * 50_000)]
+    rows = spark.createDataFrame([(*r, 7) for r in told], "conv_id long, turn long, role string, text string, msg long")
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(chat.render(chat.fold(queries.conversation_events(rows)))).collect()}
+    want = {}
+    first = lambda v: (v is not None, v or 0)
+    for conv in {r[0] for r in told}:
+        turns = sorted((r[1:] for r in told if r[0] == conv), key=lambda r: (first(r[0]), (r[1] is not None, r[1] or ""), r[2] or ""))
+        learned = "".join(t or "" for _, role, t in turns if role == "assistant")
+        want[conv] = (len(turns), sha("".join(f"{r or ''}\n{t or ''}\n" for _, r, t in turns)), len(learned), sha(learned))
+    assert got == want
+    none = chat.digests(chat.render(chat.fold(queries.conversation_events(rows.limit(0)))))
+    assert none.collect() == []
+
+
 def test_events_fold(spark):
     log = [(1, 1, "start", 1, "user", "hel"), (1, 2, "delta", 1, None, "lo"), (1, 3, "start", 2, "assistant", "bad"),
            (1, 4, "delta", 2, None, " answer"), (1, 5, "start", 3, "user", "why?"), (1, 6, "regenerate", 2, None, None),
@@ -102,6 +120,58 @@ def test_rules_equal_brute_force(spark, sf_dir, odd, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+def plain_kept(rows):
+    """Verdicts from statistics (lang, source, n_words, ..., n_lines), with exact counts per bucket."""
+    def bucket(v):
+        power = max(v.bit_length() - 6, 0)
+        return v if v < 64 else power * 32 + (v >> power)
+
+    def limits(values, rule):
+        counts, top = sorted(Counter(map(bucket, values)).items()), len(values)
+        low = lambda b: b if b < 64 else (b - (b // 32 - 1) * 32) << (b // 32 - 1)
+        upto, at = 0, {}
+        for b, n in counts:
+            upto += n
+            for q in (25, 50, 75):
+                if upto * 100 >= top * q:
+                    at.setdefault(q, low(b))
+        _, _, step, has_lower = quality_rules.RULES[rule]
+        high = at[50] + max(quality_rules.SPREAD * (at[75] - at[50]), step)
+        return (at[50] - max(quality_rules.SPREAD * (at[50] - at[25]), step) if has_lower else None), high
+
+    value = lambda r, rule: 0 if not r[quality_rules.RULES[rule][1]] else (
+        1000 * r[quality_rules.RULES[rule][0]] // r[quality_rules.RULES[rule][1]])
+    kept = []
+    for r in rows:
+        fine = not r["base_failed"]
+        for rule in quality_rules.RULES:
+            for group in (lambda o: (o["lang"], o["source"]), lambda o: o["lang"], lambda o: 0):
+                same = [value(o, rule) for o in rows if group(o) == group(r)]
+                if len(same) >= quality_rules.LEAST_ROWS or group(r) == 0:
+                    break
+            low, high = limits(same, rule)
+            fine &= value(r, rule) <= high and (low is None or value(r, rule) >= low)
+        kept.append(fine)
+    return kept
+
+
+def test_verdicts_equal_plain_quantiles(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = quality_rules.apply_rules(docs).collect()
+    assert [r["kept"] for r in rows] == plain_kept(rows)
+    assert {r["kept"] for r in rows} == {True, False}
+
+
+def test_rules_take_columns_of_any_name(spark):
+    row = (1, "a b c " * 30, "en", "s", "x", 1, 2, 3, 4, 5, "y")
+    docs = spark.createDataFrame([row] * 3, "doc_id long, text string, lang string, source string, __w string, kept int, __t int, "
+                                            "base_failed int, n_words int, c0 int, row string")
+    got = quality_rules.apply_rules(docs)
+    assert got.columns == ["doc_id", "lang", "source", "__w", "__t", "c0", "row", *quality_rules.STATISTICS, "base_failed", "kept"]
+    assert {tuple(r)[:8] for r in got.collect()} == {(1, "en", "s", "x", 3, 5, "y", 90)}
+    assert "kept" in quality_rules.with_base_statistics(docs).columns
+
+
 def test_sketch_buckets_keep_order_and_precision(spark):
     rows = spark.range(0, 200_000, 37).select("id", quality_rules.bucket(F.col("id")).alias("b"))
     rows = rows.select("id", "b", quality_rules.bucket_floor(F.col("b")).alias("low")).orderBy("id").collect()
