@@ -8,8 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from dustpan.llm import oracle, queries, warc
-from tests.compare import spark_bag, sql_bag
+from dustpan.llm import warc
 
 SCHEMA = "page_id long, url string, html string, refers_to string"
 NESTED = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99:0>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
@@ -38,10 +37,6 @@ def rows():
         (None, None, "q" * 2000, None), (-7, "u", "é" * 500, None)]
 
 
-def test_query_equals_sql(spark, sf_dir, sql):
-    assert spark_bag(queries.op13_warc(spark, sf_dir)) == sql_bag(sql, oracle.all_oracles()["op13_warc"])
-
-
 def test_odd_pages_come_back(spark, rows):
     got = warc.archive_round_trip(spark.createDataFrame(rows, SCHEMA))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == expected(rows)
