@@ -1,11 +1,21 @@
 """Language model scores from a Brown class-based bigram model.
 
-Words are put into classes by exchange clustering: each unit in turn moves to
-the class that raises the likelihood of the class bigrams most, until nothing
-moves.  A unit is one of the ``TOP`` most frequent words, or all other words
-with one ending (their last three bytes without punctuation, hashed to one of
-``ENDINGS``), which move as one, so every word has a class, unseen ones too.
-The end of a text is a class of its own.  With c(w) the training count of w,
+Words are put into classes by exchange clustering: a word moves to the class
+that raises the likelihood of the class bigrams most.  It begins with the
+``TOP`` most frequent words, one after the other on the driver against their
+bounded table of bigrams, until nothing moves; all other words with one ending
+(their last three bytes without punctuation, hashed to one of ``ENDINGS``) move
+there as one.  From these classes on, each of the ``HOT`` most frequent words
+is exchanged for itself: a round counts the classes to the left and right of
+every such word in all texts, finds its best class against the small matrix of
+class bigrams, and moves half of the words, the other half in the next round.
+Every such word is looked at in every round; it moves if that is ``WORTH`` it.
+Rounds go on while the likelihood rises by ``LEAST_RISE`` of its distance from
+that of words without any order; a round that does not raise it is undone.
+Rarer and unseen words have the class of their ending.  The end of a text is a
+class of its own.
+
+With c(w) the training count of w,
 
     P(w | before) = (c(w) + 1) * M[class before, class of w],
     M[k, j] = mixed * T[k, j] / (N_j + V_j + u_j) + (1 - mixed) / (N + V + u),
@@ -13,9 +23,10 @@ The end of a text is a class of its own.  With c(w) the training count of w,
 where T is the class transition probability, smoothed towards the classes'
 shares, and N_j, V_j, u_j are the tokens, distinct words and places for unseen
 words of class j.  It adds up to one over all words and the unseen of each
-class.  Because a word enters only by log(c(w) + 1), a text's score needs exact
-counts but no table of all words: the ``HOT`` most frequent words travel to all
-tasks (a bounded table), the others are joined, added up per text beforehand.
+class.  Because a word enters only by log(c(w) + 1) and its class, a text's
+score needs exact counts but no table of all words: the hot words travel to all
+tasks (a bounded table), counts of the others are joined, added up per text
+beforehand.
 
 All counts are over all training texts.  The driver gets the unit bigrams
 (at most UNITS squared), the bounded tables, and nothing that grows with the texts.
@@ -38,18 +49,33 @@ from dustpan.storage import materialize
 TOP, ENDINGS, HOT, CLASSES = 768, 255, 400_000, 40
 UNITS = TOP + ENDINGS + 1
 MIXED, PRIOR_WEIGHT = 0.95, 20.0
+LEAST_RISE = 0.01
+# A move must gain so much for each token, well above what rounding makes of equal figures.
+LEAST_GAIN = 1e-9
+# A word's own class must be worth naming: of so many classes one fits a rare word well by chance.
+WORTH = 2 * math.log(CLASSES)
 # The end of a text, as a word and as the last unit.
 END = np.uint64(0x454E44)
 # Entries a task gathers before it adds equal ones up.
 _PENDING = 1_000_000
 
 
-class Model(NamedTuple):
-    top: np.ndarray      # sorted hashes of the top words
-    classes: np.ndarray  # class per unit
-    logs: np.ndarray     # log10 M
+class Classes(NamedTuple):
     hot: np.ndarray      # sorted hashes of the hot words
-    hot_logs: np.ndarray  # log10(c + 1) of each
+    of_hot: np.ndarray   # class of each
+    of_ending: np.ndarray  # class per ending, for all other words
+
+    def of(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, place among the hot words, whether it is one) of each word."""
+        at, there = find(self.hot, words.hashes)
+        own = self.of_hot[at] if len(self.hot) else np.zeros(len(at), np.int64)
+        return np.where(there, own, self.of_ending[endings(words)]), at, there
+
+
+class Model(NamedTuple):
+    classes: Classes
+    logs: np.ndarray      # log10 M
+    hot_logs: np.ndarray  # log10(c + 1) of each hot word
     end_log: float
     total: int           # N
     distinct: int        # V
@@ -124,25 +150,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")))
 
 
-def _most_frequent(counts: DataFrame, limit: int) -> int:
-    """The smallest bound b so that at most ``limit`` words have n >= b."""
+def _most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, count, ending) of the ``limit`` most frequent words, of equal ones those of smaller hash; sorted by hash."""
     level = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect()
-    bound, words = 1 << 62, 0
+    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    least, words, last = 1 << 62, 0, None
     for row in sorted(levels, key=lambda r: -r["level"]):  # a few hundred rows
-        words += row["words"]
-        if words > limit:
+        if words + row["words"] > limit:
+            last = row
             break
-        bound = row["n"]
-    return bound
-
-
-def _sorted_words(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = counts.where(F.col("n") >= bound).select("word", "n").toArrow()
-    words, n = (np.asarray(rows.column(k).combine_chunks()) for k in ("word", "n"))
-    words = words.view(np.uint64)
-    order = np.argsort(words)
-    return words[order], n[order]
+        least, words = row["least"], words + row["words"]
+    chosen = counts.where(F.col("n") >= least)
+    if last is not None:
+        part = counts.where((F.col("n") >= last["least"]) & (F.col("n") < least))
+        chosen = chosen.unionByName(part.orderBy(F.desc("n"), "word").limit(limit - words))
+    rows = chosen.select("word", "n", "ending").toArrow()
+    found, n, ending = (np.asarray(rows.column(k).combine_chunks()) for k in ("word", "n", "ending"))
+    found = found.view(np.uint64)
+    order = np.argsort(found)
+    return found[order], n[order], ending[order]
 
 
 def unit_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
@@ -166,8 +192,8 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
-    """Class per unit; the last unit keeps the last class to itself."""
+def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
+    """Class per unit, exchanged until nothing moves; the last unit keeps the last class to itself."""
     units = len(bigrams)
     weight = bigrams.sum(axis=0) + bigrams.sum(axis=1)
     order = np.argsort(-weight[:-1], kind="stable")
@@ -177,7 +203,8 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     member[np.arange(units), own] = 1
     table = member.T @ bigrams @ member
     index = np.arange(classes)
-    for _ in range(sweeps):
+    least = LEAST_GAIN * (1 + bigrams.sum())
+    while True:  # every move raises the likelihood
         moved = 0
         for u in order:
             if not weight[u]:
@@ -194,9 +221,10 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
             cell = table[index, index]
             gain += _xlogx(cell + right[:classes] + left[:classes] + loop) + _xlogx(cell)
             gain -= _xlogx(cell + right[:classes]) + _xlogx(cell + left[:classes])
-            for sums, more in ((rows.sum(axis=1), right.sum() + loop), (cols.sum(axis=1), left.sum() + loop)):
+            # Wherever the word goes, the classes around it keep their steps to and from it.
+            for sums, more in ((rows.sum(axis=1) + left[:classes], right.sum() + loop), (cols.sum(axis=1) + right[:classes], left.sum() + loop)):
                 gain -= _xlogx(sums + more) - _xlogx(sums)
-            best = k if gain[k] >= gain.max() - 1e-9 else int(gain.argmax())
+            best = k if gain[k] >= gain.max() - least else int(gain.argmax())
             table[best] += right
             table[:, best] += left
             table[best, best] += loop
@@ -208,33 +236,168 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 12) -> np.ndarray:
     return own
 
 
+# Words whose gains are worked out together.
+_CHUNK = 1024
+
+
+def context_counts(docs: DataFrame, classes: Classes) -> DataFrame:
+    """(key, n): class bigrams (negative keys) and, per hot word, the classes to its left and right.
+
+    With W = CLASSES + 1 a bigram (a, b) has the key -1 - (a * W + b); the word
+    at place p has p * 2W + a for class a before it, and p * 2W + W + b for b after it.
+    """
+    wide = CLASSES + 1
+
+    def run(batches):
+        matrix = np.zeros(wide * wide, np.int64)
+        held, size = [], 0
+
+        def added():
+            keys, counts = (np.concatenate(p) for p in zip(*held, strict=True))
+            keys, _, counts = _add_up(keys, keys, counts)
+            return keys, counts
+
+        def batch(keys, counts):
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+
+        for block in in_blocks(lambda b: b)(batches):
+            words = words_of(block.column("text"))
+            own, at, there = classes.of(words)
+            before, after = steps(own, words.bound, wide - 1)
+            matrix += np.bincount(before * wide + after, minlength=wide * wide)
+            text = owner(words.bound)
+            place = np.arange(len(own)) + text  # each text has one step more than words
+            left, right = before[place][there], after[place + 1][there]
+            word = at[there].astype(np.int64) * (2 * wide)
+            keys, counts = np.unique(np.concatenate([word + left, word + wide + right]), return_counts=True)
+            held.append((keys, counts))
+            size += len(keys)
+            if size > _PENDING:
+                held = [added()]
+                size = len(held[0][0])
+                if size > _PENDING // 2:
+                    yield batch(*held[0])
+                    held, size = [], 0
+        if held:
+            yield batch(*added())
+        seen = np.flatnonzero(matrix)
+        yield batch(-1 - seen, matrix[seen])
+
+    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def gains(word: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Gain in likelihood of each class (column) for each word (row of ``own``, its class), as if it alone moved.
+
+    Word ``word[i]`` has ``n[i]`` steps from class ``at[i]``, or, from
+    CLASSES + 1 on, to class ``at[i] - CLASSES - 1``; ``table`` counts them.
+    """
+    k, wide, m = CLASSES, CLASSES + 1, np.arange(len(own))
+    around = np.zeros((len(own), 2 * wide))
+    around[word, at] = n
+    left, right = around[:, :wide], around[:, wide:]
+    gain = np.zeros((len(own), k))
+    for before, sums, mine, other in ((True, table.T, left, right), (False, table, right, left)):
+        side = (at < wide) == before
+        i, a, steps_ = word[side], at[side] % wide, n[side][:, None]
+        # Steps between class a and every class, without those of the word itself.
+        base = (table[a, :k] if before else table[:k, a].T).astype(float)
+        inside = a == own[i]
+        base[inside] -= other[i[inside], :k]
+        base[np.arange(len(i)), own[i]] -= steps_[:, 0]
+        base = np.maximum(base, 0)  # a word beside itself is counted on both sides
+        np.add.at(gain, i, _xlogx(base + steps_) - _xlogx(base))
+        total = mine.sum(axis=1)
+        whole = np.repeat(sums.sum(axis=1)[None, :k], len(own), axis=0)
+        whole[m, own] -= total
+        gain -= _xlogx(whole + total[:, None]) - _xlogx(whole)
+    cell = np.repeat(np.diag(table)[None, :k], len(own), axis=0)
+    cell[m, own] -= left[m, own] + right[m, own]
+    cell, l, r = np.maximum(cell, 0), left[:, :k], right[:, :k]
+    return gain + _xlogx(cell + l + r) + _xlogx(cell) - _xlogx(cell + l) - _xlogx(cell + r)
+
+
+def best_classes(counts: DataFrame, of_hot: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, class) of the hot words that gain by a move; a word's counts are two rows of classes at most."""
+    wide = CLASSES + 1
+    words = counts.where("key >= 0").groupBy(F.expr(f"key div {2 * wide}").alias("word")).agg(
+        F.collect_list(F.struct((F.col("key") % (2 * wide)).alias("at"), "n")).alias("around"))
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, _CHUNK):
+                part = batch.slice(start, _CHUNK)
+                word, around = np.asarray(part.column("word")), part.column("around")
+                flat = around.flatten()
+                size = np.diff(np.asarray(around.offsets))
+                own, rows = of_hot[word], np.arange(len(word))
+                gain = gains(np.repeat(rows, size), np.asarray(flat.field("at")), np.asarray(flat.field("n")).astype(float), own, table)
+                best = gain.argmax(axis=1)
+                moves = gain[rows, best] > gain[rows, own] + max(WORTH, LEAST_GAIN * (1 + table.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(word[moves]), pa.array(best[moves])], names=["word", "best"])
+
+    rows = words.mapInArrow(run, "word bigint, best bigint").toArrow()  # at most HOT rows
+    return tuple(np.asarray(rows.column(k).combine_chunks()) for k in ("word", "best"))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams, but for a part that no exchange changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def refine(docs: DataFrame, classes: Classes) -> tuple[Classes, np.ndarray]:
+    """Classes after all rounds of exchange, and the matrix of their bigrams."""
+    wide, round_, kept, kept_table = CLASSES + 1, 0, classes, None
+    half = (mix(classes.hot) & np.uint64(1)).astype(np.int64)
+    while True:
+        counts = materialize(context_counts(docs, classes), "contexts")
+        table = np.zeros(wide * wide)
+        for r in counts.where("key < 0").collect():  # CLASSES + 1 squared
+            table[-1 - r["key"]] = r["n"]
+        table = table.reshape(wide, wide)
+        if kept_table is not None:
+            rise = likelihood(table) - likelihood(kept_table)
+            if rise <= 0:
+                return kept, kept_table
+            if rise < LEAST_RISE * abs(likelihood(table) + _xlogx(table.sum())):
+                return classes, table
+        kept, kept_table = classes, table
+        word, best = best_classes(counts, classes.of_hot, table)
+        moving = half[word] == round_ % 2
+        if not len(word):
+            return kept, kept_table
+        of_hot = classes.of_hot.copy()
+        of_hot[word[moving]] = best[moving]
+        classes, round_ = classes._replace(of_hot=of_hot), round_ + 1
+
+
 def train(docs: DataFrame, counts: DataFrame, mixed: float = MIXED) -> Model:
     """The model of ``docs`` (column text) with their word counts."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = total["n"] or 0, total["v"]
     inner = counts.where("ending >= 0")
-    bound = _most_frequent(inner, TOP)
-    top, top_n = _sorted_words(inner, bound)
+    hot, hot_n, hot_ending = _most_frequent(inner, HOT)
+    top = np.sort(hot[np.lexsort((hot.view(np.int64), -hot_n))[:TOP]])
     bigrams = unit_bigrams(docs, top)
-    classes = exchange(bigrams, CLASSES)
-    # Tokens and distinct words of each unit.
-    n, v = np.zeros(UNITS), np.zeros(UNITS)
-    n[:len(top)], v[:len(top)] = top_n, 1
-    for r in inner.where(F.col("n") < bound).groupBy("ending").agg(F.sum("n"), F.count("*")).collect():
-        n[TOP + r[0]], v[TOP + r[0]] = r[1], r[2]
+    units = exchange(bigrams, CLASSES)
+    of_ending = units[TOP:UNITS - 1]
+    at, there = find(top, hot)
+    classes, table = refine(docs, Classes(hot, np.where(there, units[np.minimum(at, UNITS - 1)], of_ending[hot_ending]), of_ending))
+    # Tokens and distinct words of each class.
+    wide = CLASSES + 1
+    n, v = (np.bincount(classes.of_hot, w, minlength=wide).astype(float) for w in (hot_n, np.ones(len(hot))))
+    for r in inner.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # ENDINGS rows
+        mine = hot_ending == r["ending"]
+        n[of_ending[r["ending"]]] += r["n"] - hot_n[mine].sum()
+        v[of_ending[r["ending"]]] += r["v"] - mine.sum()
     ends = bigrams[:, -1].sum()
     n[-1], v[-1] = ends, min(ends, 1)
-    member = np.zeros((UNITS, CLASSES + 1))
-    member[np.arange(UNITS), classes] = 1
-    unseen = (member[TOP:UNITS - 1].sum(axis=0) > 0).astype(float)
-    mass = n @ member + v @ member + unseen
+    mass = n + v + np.isin(np.arange(wide), of_ending)
     share = mass / max(mass.sum(), 1.0)
-    table = member.T @ bigrams @ member
     step = (table + PRIOR_WEIGHT * share) / (table.sum(axis=1, keepdims=True) + PRIOR_WEIGHT)
     with np.errstate(divide="ignore"):
         logs = np.log10(mixed * step / np.maximum(mass, 1.0) + (1 - mixed) / max(mass.sum(), 1.0))
-    hot, hot_n = _sorted_words(inner, _most_frequent(inner, HOT))
-    return Model(top, classes, logs, hot, np.log10(hot_n + 1.0), math.log10(ends + 1), tokens, distinct)
+    return Model(classes, logs, np.log10(hot_n + 1.0), math.log10(ends + 1), tokens, distinct)
 
 
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Column | None = None) -> DataFrame:
@@ -254,15 +417,14 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", training: Co
 
     def run(batches):
         model, row = shared.value, TaskContext.get().partitionId() << 40
-        end_class = model.classes[-1]
         for block in in_blocks(lambda b: b)(batches):
             words = words_of(block.column("text"))
             rows, size = row + np.arange(block.num_rows), np.diff(words.bound)
             row += block.num_rows
-            before, after = steps(model.classes[units_of(words, model.top)], words.bound, end_class)
+            own, at, there = model.classes.of(words)
+            before, after = steps(own, words.bound, CLASSES)
             moves = per_text(model.logs[before, after], words.bound + np.arange(len(words.bound)))
-            at, there = find(model.hot, words.hashes)
-            value = np.where(there, model.hot_logs[at], 0.0) if len(model.hot) else np.zeros(len(there))
+            value = np.where(there, model.hot_logs[at], 0.0) if len(model.hot_logs) else np.zeros(len(there))
             logs = per_text(value, words.bound) + model.end_log
             known = np.bincount(owner(words.bound)[there], minlength=block.num_rows) + (model.end_log > 0)
             # Other words once per text, with their count.
