@@ -1,69 +1,107 @@
-"""New files compared with the index of known contents as they arrive."""
+"""New files compared with the known contents as they arrive.
+
+What is known lives in the stream's own state, keyed and kept in RocksDB: the
+(path, content) pairs announced so far, and the contents that have a first
+file.  A micro-batch therefore looks up and writes as many keys as it has rows,
+however many files have arrived before; the table of results is only appended
+to and never read by the stream.
+
+A content with a third of all files is no hot key.  Announcements are told
+apart by path and content, which spreads them.  Then each slice of a batch
+sends only its first file per content on to that content's key; the others are
+copies already and pass through lanes dealt by path.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from zlib import crc32
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARRIVAL = "hash string, ord bigint, path string, size bigint, status string"
-BUCKETS = 256
-
-
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int")
-
-
-def _known(batch: DataFrame, index: str, batch_id: int, buckets: int) -> DataFrame:
-    """Index rows the batch may meet: earlier batches, and only its own buckets.
-
-    At most ``buckets`` numbers are collected; they prune folders of the index.
-    A replayed batch does not see itself.
+# Lanes for files known to be copies before their content is looked up.
+LANES = 64
+
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A commit writes a batch's changes, not the whole store.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _dealt(slices: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per slice and content the first file is a candidate (lane -1), every other one a copy in a lane."""
+    for rows in slices:
+        rows = rows.sort_values(["ord", "path"], kind="stable")
+        lanes = [crc32(path.encode("utf-8", "surrogatepass")) % LANES for path in rows["path"]]
+        rows["lane"] = pd.Series(lanes, rows.index, dtype="int32").where(rows["hash"].duplicated(), -1)
+        rows["content"] = rows["hash"].where(rows["lane"] < 0, "")
+        yield rows
+
+
+def _judged(key: tuple, slices: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Status of a lane's copies, or of a content's candidates, at most one per slice."""
+    lane, _ = key
+    if lane >= 0:
+        for rows in slices:
+            yield rows.drop(columns=["lane", "content"]).assign(status="duplicate")
+        return
+    rows = pd.concat(list(slices)).sort_values(["ord", "path"], kind="stable").drop(columns=["lane", "content"])
+    status = ["duplicate"] * len(rows)
+    if not state.exists:
+        status[0] = "new"
+        state.update((int(rows["ord"].iloc[0]),))
+    yield rows.assign(status=status)
+
+
+def judge(arrivals: DataFrame) -> DataFrame:
+    """Add ``status`` to a stream of files: 'new' for the first file of a content, else 'duplicate'.
+
+    The first file is the one that arrived first, and the smallest (ord, path)
+    of those that arrived in the same batch.  A path announced again with the
+    same content is dropped; files without a hash could not be read and are
+    nobody's copy, so they are dropped too.
     """
-    touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]
-    return (indexed_files(batch.sparkSession, index)
-            .where((F.col("batch") < batch_id) & F.col("bucket").isin(touched)))
-
-
-def judge_batch(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Add ``status``: 'new' for the first file of a content, else 'duplicate'.
-
-    A path announced again with the same content is dropped, within the batch
-    and against the index.
-    """
-    fresh = batch.groupBy("path", "hash").agg(F.min("ord").alias("ord"), F.max("size").alias("size"))
-    fresh = fresh.join(known.select("path", "hash"), ["path", "hash"], "left_anti")
-    first = fresh.groupBy("hash").agg(F.min("ord").alias("first"))
-    seen = known.select("hash").join(first.select("hash"), "hash", "left_semi").distinct()
-    judged = fresh.join(first, "hash").join(seen.withColumn("seen", F.lit(True)), "hash", "left")
-    is_new = F.col("seen").isNull() & (F.col("ord") == F.col("first"))
-    return judged.select("hash", "ord", "path", "size",
-                         F.when(is_new, "new").otherwise("duplicate").alias("status"))
-
-
-def update_index(batch: DataFrame, batch_id: int, index: str, buckets: int = BUCKETS) -> None:
-    """Write a batch's own part of the index; replaying it replaces that part."""
-    judged = judge_batch(batch, _known(batch, index, batch_id, buckets))
-    # Rebalanced by bucket: small buckets are one file, a hot one is split.
-    (judged.withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{index}/batch={batch_id}"))
-
-
-def watch_duplicates(arrivals: DataFrame, index: str, checkpoint: str, buckets: int = BUCKETS):
-    """Start a query over a stream of hashed files that keeps the index up to date.
-
-    Each micro-batch owns one part of the index, so a restart neither loses nor
-    repeats files.
+    fresh = arrivals.where("hash IS NOT NULL").select("hash", "ord", "path", "size").dropDuplicates(["path", "hash"])
+    dealt = fresh.mapInPandas(_dealt, "hash string, ord bigint, path string, size bigint, lane int, content string")
+    return dealt.groupBy("lane", "content").applyInPandasWithState(_judged, ARRIVAL, "first bigint", "append", "NoTimeout")
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Settings a query takes over when it starts; the session has its own back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def watch_duplicates(arrivals: DataFrame, index: str, checkpoint: str):
+    """Start a query over a stream of hashed files that adds each batch's files with their status to the index.
+
+    Each micro-batch owns one part of the index, and its state is that of the
+    checkpoint, so a batch that is run again writes the same part again: a
+    restart neither loses nor repeats files.
     """
     spark = arrivals.sparkSession
-    # An empty first part, so that the first batch finds an index to read.
-    spark.createDataFrame([], ARRIVAL).write.mode("overwrite").parquet(f"{index}/batch=-1/bucket=-1")
-    return (arrivals.writeStream
-            .foreachBatch(lambda batch, batch_id: update_index(batch, batch_id, index, buckets))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    # An empty first part, so that the index can be read before anything arrives.
+    spark.createDataFrame([], ARRIVAL).write.mode("overwrite").parquet(f"{index}/batch=-1")
+    with _settings(spark, _STATE):
+        return (judge(arrivals).writeStream
+                .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{index}/batch={n}"))
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def indexed_files(spark: SparkSession, index: str) -> DataFrame:
-    return spark.read.schema(ARRIVAL + ", batch bigint, bucket int").parquet(index)
+    return spark.read.schema(ARRIVAL + ", batch bigint").parquet(index)
 
 
 def incremental_summary(indexed: DataFrame) -> DataFrame:
