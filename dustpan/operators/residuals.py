@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dustpan.fixtures import PATTERN_COLUMNS
-from dustpan.functions.glob import anchor_of, glob_predicate, glob_to_regex
+from dustpan.functions.glob import anchors_of, fragments_of, glob_predicate, glob_to_regex
 from dustpan.functions.text import is_blank, strip
 from dustpan.plans.ordered import with_row_number
 from dustpan.storage import materialize
@@ -80,16 +80,17 @@ def _globs(patterns: DataFrame) -> list | None:
     return None if len(rows) > INLINE_PATTERNS else sorted((r[0], r[1]) for r in rows)
 
 
-_COMPILED = T.StructType([
-    T.StructField("regex", T.StringType()), T.StructField("side", T.StringType()),
-    T.StructField("skip", T.IntegerType()), T.StructField("text", T.StringType())])
+_ANCHOR = T.StructType([T.StructField("side", T.StringType()), T.StructField("skip", T.IntegerType()),
+                        T.StructField("text", T.StringType())])
+_COMPILED = T.StructType([T.StructField("regex", T.StringType()), T.StructField("anchors", T.ArrayType(_ANCHOR)),
+                          T.StructField("fragments", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(_COMPILED)
 def _compiled(globs: pd.Series) -> pd.DataFrame:
-    anchors = [anchor_of(g) for g in globs]
-    return pd.DataFrame({"regex": globs.map(glob_to_regex), "side": [a[0] for a in anchors],
-                         "skip": [a[1] for a in anchors], "text": [a[2] for a in anchors]})
+    return pd.DataFrame({"regex": globs.map(glob_to_regex),
+                         "anchors": [[dict(zip(("side", "skip", "text"), a)) for a in anchors_of(g)] for g in globs],
+                         "fragments": globs.map(fragments_of)})
 
 
 def _cut(side: str, skip: int, size: int) -> Column:
@@ -100,37 +101,67 @@ def _cut(side: str, skip: int, size: int) -> Column:
     return F.when(F.length(name) >= skip + size, F.concat(F.lit(f"{side}{skip}:"), cut))
 
 
-def matching_pairs(names: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(name, pid) of every match, for any number of patterns.
+def _pieces(size: int) -> Column:
+    """All runs of ``size`` characters of a name."""
+    starts = F.sequence(F.lit(1), F.length("name") - (size - 1))
+    runs = F.transform(starts, lambda at: F.concat(F.lit("f:"), F.substring("name", at, F.lit(size))))
+    return F.when(F.length("name") >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
-    A glob with literal text at a fixed distance from an end is joined on it.
-    The others are tested in one pass over the names as long as they are few,
-    else they meet every name.
+
+def _keyed_globs(globs: DataFrame) -> DataFrame:
+    """(pid, File_Pattern, regex, keys): every text that a matching name must contain, at its place or anywhere."""
+    compiled = globs.select("pid", "File_Pattern", _compiled("File_Pattern").alias("c")).select("pid", "File_Pattern", "c.*")
+    placed = F.transform("anchors", lambda a: F.concat(a["side"], a["skip"].cast("string"), F.lit(":"), a["text"]))
+    loose = F.transform("fragments", lambda f: F.concat(F.lit("f:"), f))
+    return compiled.select("pid", "File_Pattern", "regex", "anchors", "fragments", F.concat(placed, loose).alias("keys"))
+
+
+def matching_pairs(names: DataFrame, globs: DataFrame) -> DataFrame:
+    """(name, pid) of every match of distinct globs (pid, File_Pattern), however many there are.
+
+    An inverted index of the names: each glob is looked up by the rarest of the
+    texts that its matches must contain, which is a text at a fixed distance
+    from an end, or a fragment anywhere.  Names are counted per text, so a text
+    that most names share is only used by globs that have no other.  A glob
+    without any literal character is tested in one pass over the names, or, if
+    there are many such, meets every name: it matches nearly all of them.
     """
     distinct = names.select("name").distinct()
-    globs = patterns.select("File_Pattern").distinct().select("File_Pattern", _compiled("File_Pattern").alias("c"))
-    key = F.when(F.col("side") == "*", "*").otherwise(F.concat("side", "skip", F.lit(":"), "text"))
-    globs = materialize(globs.select("File_Pattern", "c.*").withColumn("anchor", key), "globs")
-    # Shapes are bounded by the anchor limits: at most 2 x 9 x 8 of them.
-    shapes = globs.where("side <> '*'").select("side", "skip", F.length("text")).distinct().collect()
-    floating = globs.where("side = '*'").select("File_Pattern").limit(INLINE_PATTERNS + 1).collect()
-    meet_all = len(floating) > INLINE_PATTERNS
-    keys = [_cut(*shape) for shape in sorted(shapes)] + ([F.lit("*")] if meet_all else [])
-    hits = distinct.select("name", F.lit("").alias("File_Pattern")).limit(0)
-    if keys:
-        keyed = distinct.select("name", F.explode(F.array_compact(F.array(*keys))).alias("anchor"))
-        hits = (keyed.join(globs.select("anchor", "regex", "File_Pattern"), "anchor")
-                .where(F.expr("name rlike regex")).select("name", "File_Pattern"))
-    if floating and not meet_all:
-        tests = F.array(*[F.when(glob_predicate(F.col("name"), g[0]), F.lit(g[0])) for g in floating])
-        hits = hits.unionByName(distinct.select("name", F.explode(F.array_compact(tests)).alias("File_Pattern")))
-    return hits.join(patterns.select("pid", "File_Pattern"), "File_Pattern").select("name", "pid")
+    globs = materialize(_keyed_globs(globs), "globs")
+    # Shapes are bounded by the anchor limits (at most 2 x 9 x 8) and by FRAGMENT.
+    shapes = globs.select(F.explode("anchors").alias("a")).select(
+        "a.side", "a.skip", F.length("a.text")).distinct().collect()
+    sizes = globs.select(F.explode("fragments").alias("f")).select(F.length("f")).distinct().collect()
+    bare = globs.where(F.size("keys") == 0)
+    inline = bare.select("pid", "File_Pattern").limit(INLINE_PATTERNS + 1).collect()
+    meet_all = len(inline) > INLINE_PATTERNS
+    cuts = F.array_compact(F.array(*[_cut(*shape) for shape in sorted(shapes)]).cast("array<string>"))
+    parts = [cuts, *[_pieces(size) for size, in sorted(sizes)], F.array(F.lit("*")) if meet_all else F.array().cast("array<string>")]
+    keyed = distinct.select("name", F.explode(F.concat(*parts)).alias("key"))
+    # Counted before the shuffle; only texts that some glob asks for are kept.
+    asked = globs.select("pid", F.explode("keys").alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "key", "left").groupBy("pid").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("key")).alias("l"), "key")).alias("best"))
+    chosen = rarest.where("best.n > 0").select("pid", "best.key")
+    if meet_all:
+        chosen = chosen.unionByName(bare.select("pid", F.lit("*").alias("key")))
+    chosen = materialize(chosen.join(globs.select("pid", "regex"), "pid"), "chosen")
+    hits = keyed.join(chosen, "key").where(F.expr("name rlike regex")).select("name", "pid")
+    if inline and not meet_all:
+        tests = F.array(*[F.when(glob_predicate(F.col("name"), g), F.lit(pid)) for pid, g in inline])
+        hits = hits.unionByName(distinct.select("name", F.explode(F.array_compact(tests)).alias("pid")))
+    return hits
+
+
+def _leading(patterns: DataFrame) -> DataFrame:
+    """Distinct globs, each with the first pid that has it."""
+    return patterns.groupBy("File_Pattern").agg(F.min("pid").alias("pid"))
 
 
 def first_of_many(entries: DataFrame, active: DataFrame) -> DataFrame:
     """(name, pid) of the first match; of equal globs only the first can win."""
-    leading = active.groupBy("File_Pattern").agg(F.min("pid").alias("pid"))
-    return matching_pairs(entries, leading).groupBy("name").agg(F.min("pid").alias("pid"))
+    return matching_pairs(entries, _leading(active)).groupBy("name").agg(F.min("pid").alias("pid"))
 
 
 def with_first_pattern(entries: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -138,7 +169,8 @@ def with_first_pattern(entries: DataFrame, patterns: DataFrame) -> DataFrame:
     active = enabled_patterns(patterns)
     globs = _globs(active)
     if globs is None:
-        return entries.join(first_of_many(entries, active), "name", "left")
+        # Written, so that a name of very many entries can be dealt to several tasks in the join.
+        return entries.join(materialize(first_of_many(entries, active), "first"), "name", "left")
     tests = [F.when(glob_predicate(F.col("name"), glob), F.lit(pid)) for pid, glob in globs]
     return entries.withColumn("pid", F.coalesce(*tests, F.lit(None)).cast("bigint"))
 
@@ -156,26 +188,29 @@ def non_residual(entries: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def pattern_audit(entries: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Reach of every pattern on its own, first-match order and Enabled ignored."""
+    """Reach of every pattern on its own, first-match order and Enabled ignored; no rows for no patterns."""
     globs = _globs(patterns)
     if globs is None:
         # Names are counted before they meet the patterns, so hot names stay one row.
-        counted = entries.groupBy("name").agg(F.count("*").alias("n"))
-        hits = (matching_pairs(counted, patterns).join(counted, "name")
-                .groupBy("pid").agg(F.sum("n").alias("hits")))
-        total = entries.agg(F.count("*").alias("total")).first()["total"]
-        hits = hits.withColumn("total", F.lit(total).cast("bigint"))
-        counts = patterns.select("pid").join(hits, "pid", "left").select(
-            "pid", F.coalesce("hits", F.lit(0)).alias("hits"),
-            F.lit(total).cast("bigint").alias("total"))
-    else:
+        counted = materialize(entries.groupBy("name").agg(F.count("*").alias("n")), "names")
+        leading = _leading(patterns)
+        # Added up per distinct glob, so that patterns of a glob are joined to one row each.
+        hits = (matching_pairs(counted, leading).join(counted, "name").groupBy("pid").agg(F.sum("n").alias("hits"))
+                .join(leading, "pid").select("File_Pattern", "hits"))
+        total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        counts = patterns.select("pid", "File_Pattern").join(materialize(hits, "hits"), "File_Pattern", "left").select(
+            "pid", F.coalesce("hits", F.lit(0)).alias("hits"), F.lit(total).cast("bigint").alias("total"))
+    elif globs:
         one_pass = entries.agg(
             F.count("*").alias("total"),
             *[F.count_if(glob_predicate(F.col("name"), glob)).alias(f"p{pid}") for pid, glob in globs])
         pairs = F.array(*[F.struct(F.lit(pid).cast("bigint").alias("pid"), F.col(f"p{pid}").alias("hits"))
                           for pid, _ in globs])
         counts = one_pass.select("total", F.explode(pairs).alias("h")).select("total", "h.*")
+    else:
+        none = F.lit(0).cast("bigint")
+        counts = patterns.select("pid", none.alias("hits"), none.alias("total"))
     return counts.join(patterns.select("pid", "File_Pattern", "Safe_To_Delete"), "pid").select(
-        "pid", "File_Pattern", "hits", (F.col("hits") / F.col("total")).alias("share"),
+        "pid", "File_Pattern", "hits", F.try_divide("hits", "total").alias("share"),
         ((F.col("hits") == F.col("total")) & (F.col("total") > 0)).alias("matches_all"),
         (F.col("Safe_To_Delete") == "Yes").alias("strict_preset"))

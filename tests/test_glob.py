@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dustpan.functions.glob import anchor_of, glob_predicate, glob_to_regex
+from dustpan.functions.glob import anchors_of, fragments_of, glob_predicate, glob_to_regex
 from dustpan.operators import residuals
 
 TRICKY = ["*", "?", "[!b]*", "[]a]", "[!]a]", "[a-c-e]", "[b-a]", "[!b-a]", "a|b", "a&&b", "[a&&b]", "[a[b]", "[",
@@ -40,11 +40,18 @@ def test_predicate_equals_standard_matcher(spark):
 
 @settings(max_examples=500, deadline=None)
 @given(st.text("ab*?[]!-.", max_size=14), st.text("ab*?[]!-.", max_size=14))
-def test_anchor_is_necessary(glob, name):
-    side, skip, text = anchor_of(glob)
-    if fnmatchcase(name, glob) and side != "*":
-        start = skip if side == "h" else len(name) - skip - len(text)
-        assert start >= 0 and name[start:start + len(text)] == text
+def test_anchors_and_fragments_are_necessary(glob, name):
+    if fnmatchcase(name, glob):
+        for side, skip, text in anchors_of(glob):
+            start = skip if side == "h" else len(name) - skip - len(text)
+            assert start >= 0 and name[start:start + len(text)] == text
+        assert all(text in name for text in fragments_of(glob))
+
+
+@pytest.mark.parametrize("glob, want", [
+    ("*", []), ("", []), ("??[ab]*", []), ("*a*", ["a"]), ("a?bc*", ["bc"]), ("*abcd*x", ["abc", "bcd"]), ("[!a]bcd[e]", ["bcd"])])
+def test_fragments(glob, want):
+    assert fragments_of(glob) == want
 
 
 @pytest.mark.parametrize("inline", [0, 3, 80])
@@ -61,3 +68,25 @@ def test_many_patterns_equal_first_match(spark, monkeypatch, inline):
     assert got == want
     audit = {r["pid"]: r["hits"] for r in residuals.pattern_audit(names, patterns).collect()}
     assert audit == {i: sum(fnmatchcase(n, g) for n in NAMES) for i, g in enumerate(globs)}
+
+
+def test_floating_globs_meet_few_names(spark, monkeypatch):
+    """Globs without an anchor are looked up by a rare fragment: candidates stay near the matches."""
+    names = spark.createDataFrame([(f"common{i:04}part",) for i in range(3000)], "name string")
+    globs = spark.createDataFrame([(i, f"*mon{i:04}p*") for i in range(1000)], "pid bigint, File_Pattern string")
+    seen = []
+    keep = residuals.materialize
+    monkeypatch.setattr(residuals, "materialize", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    pairs = {(r["name"], r["pid"]) for r in residuals.matching_pairs(names, globs).collect()}
+    assert pairs == {(f"common{i:04}part", i) for i in range(1000)}
+    chosen = dict(seen)["chosen"]
+    met = names.select("name", F.explode(residuals._pieces(3)).alias("key")).join(chosen, "key").count()
+    assert met <= 20 * 1000  # all pairs would be 3,000,000
+
+
+def test_audit_without_patterns_or_entries(spark):
+    patterns = spark.createDataFrame([], "pid bigint, File_Pattern string, Safe_To_Delete string")
+    names = spark.createDataFrame([("a",)], "name string")
+    assert residuals.pattern_audit(names, patterns).collect() == []
+    one = spark.createDataFrame([(1, "a*", "Yes")], patterns.schema)
+    assert [tuple(r) for r in residuals.pattern_audit(names.limit(0), one).collect()] == [(1, "a*", 0, None, False, True)]
