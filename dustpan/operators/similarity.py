@@ -4,21 +4,25 @@ All pairs of a hot family would be quadratic, so the result names each file's
 family (connected component of the "alike" relation) instead of pairs:
 
 1. equal feature sets collapse to one representative;
-2. representatives get keys that alike ones share;
+2. representatives get keys that alike ones share, each only with partners
+   that can still be alike: for texts the key holds the partner's size class as
+   well, and only where sizes and places leave enough in common;
 3. in crowded keys members are compared with one leader per round, which
    joins a hot family at one comparison per member and key;
 4. all keys are then joined exactly, but only across the families found so
-   far: members of a key's largest family never meet each other;
+   far: members of a key's largest family never meet each other, and vectors
+   of a key that is still crowded by others get longer keys instead;
 5. components of the verified links give the families.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,9 +65,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _labelled(keys: DataFrame, links: DataFrame | None) -> DataFrame:
     """Keys with the family of each id so far; an unlinked id is its own."""
-    if links is None:
+    return _with_families(keys, None if links is None else connected_components(links))
+
+
+def _with_families(keys: DataFrame, families: DataFrame | None) -> DataFrame:
+    if families is None:
         return keys.withColumn("label", F.col("id"))
-    families = connected_components(links)
     return keys.join(families, "id", "left").withColumn("label", F.coalesce("family", "id")).drop("family")
 
 
@@ -86,34 +93,64 @@ def _leader_links(keys: DataFrame, distance: Callable, limit: float, crowded: Da
     return links
 
 
+def _second(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c).alias(c + "2") for c in rows.columns])
+
+
+def _pair() -> list[Column]:
+    return [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """(key, largest, families, others): a key's largest family, and how many rows are not in it."""
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    return counts.groupBy("key").agg(F.max_by("label", "n").alias("largest"), F.count("*").alias("families"),
+                                     (F.sum("n") - F.max("n")).alias("others"))
+
+
 def _cross_pairs(rows: DataFrame, fits: Column) -> DataFrame:
-    """Pairs that share a key but not a family.
+    """Pairs of a seeking and an owning row that share a key but not a family.
 
     Per key the largest family only meets the others, so no hot family is
-    paired with itself; the few rows are the buffered side of the join.
+    paired with itself; the few rows are the buffered side of the joins.
     """
-    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = (counts.groupBy("key").agg(F.max_by("label", "n").alias("largest"), F.count("*").alias("families"))
-               .where("families > 1").select("key", "largest"))
+    # Written, so that adaptive execution can split a crowded key's rows.
+    largest = materialize(_largest(rows).where("families > 1").select("key", "largest"), "largest")
     tagged = rows.join(largest, "key").withColumn("minor", F.col("label") != F.col("largest")).drop("largest")
-    minors = tagged.where("minor").drop("minor")
-    minors = minors.select(*[F.col(c).alias(c + "2") for c in minors.columns])
-    met = tagged.join(minors, (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2"))
-                      & (~F.col("minor") | (F.col("id") < F.col("id2"))) & fits)
-    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    meet = (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & fits
+    seeking, owning = tagged.where("seeks"), _second(tagged.where("owns"))
+    with_minors = seeking.join(owning.where("minor2"), meet)
+    with_majors = seeking.where("minor").join(owning.where("NOT minor2"), meet)
+    return with_minors.select(*_pair()).unionByName(with_majors.select(*_pair())).distinct()
+
 
+def _links(keys: DataFrame, fits: Column, distance: Callable, limit: float, crowd: int,
+           finer: Callable[[DataFrame, int], DataFrame | None] | None = None) -> DataFrame:
+    """(a, b) links whose components are those of all pairs within ``limit`` sharing a key.
 
-def _links(keys: DataFrame, fits: Column, distance: Callable, limit: float, crowd: int) -> DataFrame:
-    """(a, b) links whose components are those of all pairs within ``limit`` sharing a key."""
+    ``keys``: id, key, seeks, owns, and what ``fits`` compares (the owning
+    row's columns end in 2).  ``finer(ids, level)``, if given, has longer keys
+    for ids whose key stays crowded by rows outside its largest family, or None.
+    """
     crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("n"))
                           .where(F.col("n") > crowd).select("key"), "crowded")
     if crowded.isEmpty():
-        other = keys.select(*[F.col(c).alias(c + "2") for c in keys.columns])
-        pairs = (keys.join(other, (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")) & fits)
-                 .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct())
+        pairs = (keys.where("seeks").join(_second(keys.where("owns")), (F.col("key") == F.col("key2")) & fits)
+                 .select(*_pair()).distinct())
         return distance(pairs).where(F.col("d") <= limit).select("a", "b")
     known = _leader_links(keys, distance, limit, crowded)
-    rows = materialize(_labelled(keys, known), "labelled")
+    families = None if known is None else connected_components(known)
+    rows = materialize(_with_families(keys, families), "labelled")
+    level = 1
+    while finer:
+        stubborn = materialize(_largest(rows).where(F.col("others") > crowd).select("key"), "stubborn")
+        longer = None if stubborn.isEmpty() else finer(
+            rows.join(stubborn, "key", "left_semi").select("id").distinct(), level)
+        if longer is None:
+            break
+        rest = rows.join(stubborn, "key", "left_anti")
+        rows = materialize(rest.unionByName(_with_families(longer, families)), "labelled")
+        level += 1
     found = distance(_cross_pairs(rows, fits)).where(F.col("d") <= limit).select("a", "b")
     return found if known is None else found.unionByName(known)
 
@@ -166,8 +203,22 @@ def _jaccard_distance(sets: DataFrame) -> Callable:
     return distance
 
 
+def _size_class(n: Column) -> Column:
+    """Classes of set sizes: exact up to 8, then a quarter wider each."""
+    wide = F.floor(F.log(n / 8.0) / math.log(1.25)) + 8
+    return F.when(n <= 8, n).otherwise(wide).cast("bigint")
+
+
 def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, key, n) of the exact prefix filter: alike sets share one of their rarest features."""
+    """(id, key, n, most, reach, seeks, owns) of the exact prefix filter, with size classes in the key.
+
+    Alike sets share one of their rarest features.  Where x first meets y, the
+    two have at most ``rest`` features in common, the shareable ones from there
+    on in either set, and they need t / (1 + t) * (n_x + n_y).  So each entry
+    knows the largest partner it can have (``reach``), and the smaller set
+    seeks the larger one in the size classes up to ``most``; entries that can
+    have no partner at all are not made.
+    """
     exploded = sets.select("id", F.size("features").alias("n"), F.explode("features").alias("s"))
     # Features of a single set cannot be shared; they only use up prefix places.
     common = exploded.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
@@ -177,7 +228,22 @@ def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
     places = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
     take = F.least(F.col("n"), places) - (F.col("n") - F.size("shared"))
     prefix = F.slice("shared", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))
-    return ranked.select("id", "n", F.explode(prefix).alias("p")).select("id", F.col("p.s").alias("key"), "n")
+    entries = ranked.select("id", F.col("n").cast("bigint").alias("n"), F.size("shared").alias("size"), F.posexplode(prefix))
+    rest = F.col("size") - F.col("pos")
+    reach = F.floor(rest * ((1 + threshold) / threshold) - F.col("n") + 1e-9)
+    entries = entries.select("id", "n", F.col("col.s").alias("s"), reach.alias("reach"),
+                             F.least(F.floor(F.col("n") / threshold + 1e-9), reach).alias("most"))
+    own, last = _size_class(F.col("n")), _size_class(F.greatest("most", "n"))
+    spread_out = entries.select("*", own.alias("own"), F.explode(F.sequence(own, last)).alias("slot")).select(
+        "id", F.xxhash64("s", "slot").alias("key"), "n", "most", "reach", (F.col("most") >= F.col("n")).alias("seeks"),
+        ((F.col("slot") == F.col("own")) & (F.col("reach") >= F.col("n") * threshold - 1e-9)).alias("owns"))
+    return spread_out.where("seeks OR owns")
+
+
+def _can_be_alike() -> Column:
+    """The smaller set seeks, the larger owns, and each is within the other's reach."""
+    smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
+    return smaller & (F.col("n2") <= F.col("most")) & (F.col("n") <= F.col("reach2"))
 
 
 def near_duplicates(files: DataFrame, threshold: float = 0.4, words: int = 3,
@@ -192,8 +258,7 @@ def near_duplicates(files: DataFrame, threshold: float = 0.4, words: int = 3,
     keyed = rows.where(F.size("features") > 0).select("id", "features", "key")
     sets, mapping = _representatives(keyed)
     keys = materialize(_prefix_keys(sets, threshold), "keys")
-    sizes_fit = (F.col("n") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n"))
-    links = _links(keys, sizes_fit, _jaccard_distance(sets), 1 - threshold, crowd)
+    links = _links(keys, _can_be_alike(), _jaccard_distance(sets), 1 - threshold, crowd)
     member = rows.select("id", "path", "hash").join(_families(mapping, links), "id")
     # Contents per family: copies of one content are counted before they meet.
     contents = member.groupBy("family", "hash").agg(F.count("*").alias("n"))
@@ -224,18 +289,31 @@ def _angle_distance(vectors: DataFrame) -> Callable:
 
 
 def _plane_keys(vectors: DataFrame, bands: int, bits: int, seed: int = 7) -> DataFrame:
-    """(id, key) from the sides of ``bits`` random planes per band."""
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sides(features: pd.Series) -> pd.Series:
-        if not len(features):
-            return pd.Series([], dtype=object)
-        x = np.stack(features.to_numpy())
-        planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))
-        above = (x @ planes > 0).reshape(len(x), bands, bits)
-        return pd.Series(list((above * (1 << np.arange(bits, dtype="int64"))).sum(axis=2)))
+    """(id, key, seeks, owns) from the sides of ``bits`` random planes per band."""
+    kind = vectors.schema["id"].dataType.simpleString()
 
-    return vectors.select("id", F.posexplode(sides("features")).alias("band", "code")) \
-                  .select("id", F.xxhash64("band", "code").alias("key"))
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None  # drawn once per task
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))
+            above = (x @ planes > 0).reshape(len(x), bands, bits)
+            codes = (above * (1 << np.arange(bits, dtype="int64"))).sum(axis=2)
+            cuts = pa.array(np.arange(len(x) + 1) * bands, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(cuts, codes.reshape(-1))],
+                                             names=["id", "codes"])
+
+    coded = vectors.select("id", "features").mapInArrow(sides, f"id {kind}, codes array<bigint>")
+    both = F.lit(True)
+    return coded.select("id", F.posexplode("codes").alias("band", "code")).select(
+        "id", F.xxhash64(F.lit(bits), "band", "code").alias("key"), both.alias("seeks"), both.alias("owns"))
+
+
+# Planes added per band where a bucket stays crowded by unlike vectors, and the most per band.
+FINER_BITS, MOST_BITS = 8, 30
 
 
 def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95,
@@ -244,6 +322,8 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95,
 
     Planes per band grow with the number of vectors, and bands are chosen so
     that a pair at the limit is missed with probability ``miss`` at most.
+    Vectors of a bucket that is crowded by unlike ones get longer keys in more
+    bands, again with ``miss``, instead of being paired there.
     """
     unit = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
@@ -251,10 +331,17 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95,
             .select("id", F.transform(unit, lambda x: x / F.col("__norm")).alias("features")))
     points, mapping = _representatives(materialize(spread(rows).withColumn("key", _set_key()), "vectors"))
     limit = math.acos(min_cosine)
-    bits = min(max(math.ceil(math.log2(max(points.count(), 2))), 8), 30)
-    agree = (1 - limit / math.pi) ** bits
-    bands = math.ceil(math.log(miss) / math.log(1 - agree))
-    keys = materialize(_plane_keys(points, bands, bits), "keys")
-    families = _families(mapping, _links(keys, F.lit(True), _angle_distance(points), limit, crowd))
+    bits = min(max(math.ceil(math.log2(max(points.count(), 2))), 8), MOST_BITS)
+
+    def keys_of(some: DataFrame, bits: int) -> DataFrame:
+        agree = (1 - limit / math.pi) ** bits
+        return _plane_keys(some, math.ceil(math.log(miss) / math.log(1 - agree)), bits)
+
+    def finer(ids: DataFrame, level: int) -> DataFrame | None:
+        wanted = bits + level * FINER_BITS
+        return keys_of(points.join(ids, "id", "left_semi"), wanted) if wanted <= MOST_BITS else None
+
+    links = _links(materialize(keys_of(points, bits), "keys"), F.col("id") < F.col("id2"), _angle_distance(points), limit, crowd, finer)
+    families = _families(mapping, links)
     sizes = families.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
     return families.join(sizes, "family").select("id", "family", "members")

@@ -82,3 +82,72 @@ def test_vector_families(spark, crowd):
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id bigint, vector array<double>")
     got = {r["id"]: r["family"] for r in similarity.near_duplicate_vectors(df, crowd=crowd).collect()}
     assert got == {i: f for i, f in family.items() if list(family.values()).count(f) > 1}
+
+
+def counted(monkeypatch, name):
+    """Pairs handed to a distance, as they are formed."""
+    formed, real = [], getattr(similarity, name)
+
+    def wrapped(rows):
+        distance = real(rows)
+        return lambda pairs: formed.append(pairs.count()) or distance(pairs)
+
+    monkeypatch.setattr(similarity, name, wrapped)
+    return formed
+
+
+@pytest.mark.parametrize("crowd", [10, 5_000])
+def test_hopeless_texts_are_not_paired(spark, monkeypatch, crowd):
+    """1,500 short texts with a common beginning that cannot be alike."""
+    formed = counted(monkeypatch, "_jaccard_distance")
+    docs = [f"alpha beta gamma w{n}" for n in range(1500)] + ["one two three four five six", "one two three four five sixth"]
+    df = spark.createDataFrame([(i, f"/{i}", d, d) for i, d in enumerate(docs)], "ord bigint, path string, hash string, text string")
+    got = {r["path"] for r in similarity.near_duplicates(df, 0.4, crowd=crowd).collect()}
+    assert got == {"/1500", "/1501"} and sum(formed) < 10 * len(docs)
+
+
+def test_sizes_and_places_bound_partners(spark):
+    """Every alike pair meets in a key, on random sets of all sizes."""
+    rng = random.Random(3)
+    sets = {i: sorted(rng.sample(range(12 if i % 2 else 40), rng.randint(1, 12))) for i in range(150)}
+    rows = spark.createDataFrame(list(sets.items()), "id bigint, features array<bigint>")
+    for threshold in (0.3, 0.5, 0.75):
+        keys = similarity._prefix_keys(rows, threshold)
+        pairs = keys.where("seeks").join(similarity._second(keys.where("owns")),
+                                         (keys["key"] == similarity.F.col("key2")) & similarity._can_be_alike())
+        met = {tuple(r) for r in pairs.select(*similarity._pair()).distinct().collect()}
+        alike = {(i, j) for i in sets for j in sets if i < j
+                 and len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= threshold}
+        assert alike <= met
+
+
+def test_unlike_vectors_of_one_bucket_are_not_paired(spark, monkeypatch):
+    """A crowd on the same side of all planes of the first band, in other directions otherwise."""
+    formed, n = counted(monkeypatch, "_angle_distance"), 1500
+    rng = np.random.default_rng(2)
+    limit, bits = np.arccos(0.95), 11
+    bands = int(np.ceil(np.log(1e-6) / np.log(1 - (1 - limit / np.pi) ** bits)))
+    planes = np.random.default_rng(7).standard_normal((64, bands * bits))[:, :bits]
+    rows = rng.standard_normal((n, 64)) * 3
+    rows += (1 - rows @ planes) @ np.linalg.inv(planes.T @ planes) @ planes.T
+    rows[n // 2:n // 2 + 20] = rows[0] + rng.standard_normal((20, 64)) * 0.02
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id bigint, vector array<double>")
+    got = {r["id"]: r["family"] for r in similarity.near_duplicate_vectors(df, crowd=100).collect()}
+    assert got == {i: 0 for i in [0, *range(n // 2, n // 2 + 20)]}
+    assert np.triu(unit @ unit.T >= 0.95, 1).sum() == 21 * 20 // 2
+    assert sum(formed) < 20 * n
+
+
+def test_vector_links_on_given_table_equal_brute_force(spark):
+    from dustpan.plans import registry
+    folder = "/root/testdata/sf0.01"
+    rows = registry.fx.feature_vectors(spark, folder).collect()
+    x = np.array([r["vector"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = [r["id"] for r in rows]
+    pairs = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1)))]
+    family = components(ids, pairs)
+    got = {r["id"]: r["family"] for r in registry.near_duplicate_vectors(spark, folder).collect()}
+    found = sum(got.get(a) == got.get(b) == family[a] for a, b in pairs)
+    assert found >= 0.999 * len(pairs)
