@@ -48,3 +48,15 @@ def test_filters_precede_hashing(spark, sf_dir):
 def test_only_needed_columns_are_read(spark, sf_dir):
     read = plan_of(fx.url_paths(spark, sf_dir)).split("ReadSchema: ")[1]
     assert read.startswith("struct<url:string>")
+
+
+def test_entry_works_without_the_text_operators():
+    """Their package may be gone, empty, or short of a library."""
+    import subprocess
+    import sys
+    hide = "import sys; sys.modules[{0!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and 'pipeline' not in q"
+    for name in ("dustpan.llm", "sentencepiece", "corpus_pipeline"):
+        code = hide.format(name)
+        if name == "corpus_pipeline":  # the operators do not need it, only the query does
+            code = code.replace(" and 'pipeline' not in q", "")
+        assert subprocess.run([sys.executable, "-c", code], cwd=".").returncode == 0
