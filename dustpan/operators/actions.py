@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import errno
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dustpan.functions.paths import depth_of, parent_of
 from dustpan.operators.emptydirs import below
+from dustpan.operators.journal import RESULTS, Journal, planned
 from dustpan.operators.roots import ancestors_of
 from dustpan.sources.lister import list_entries
 from dustpan.storage import materialize
 
-RESULTS = "path string, entry_type string, outcome string, error string"
-
 
 def apply_selection(report: DataFrame, chosen: DataFrame) -> DataFrame:
     return report.join(chosen.select("path").distinct(), "path", "left_semi")
@@ -78,42 +77,6 @@ def _remove_empty(path: str) -> str:
     return "deleted"
 
 
-def _act(items: DataFrame, action: Callable[[str], str], dry_run: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            done = []
-            for path, kind, present in zip(rows["path"], rows["entry_type"], rows["present"], strict=True):
-                outcome, error = "planned", None
-                if not dry_run:
-                    try:
-                        outcome = action(path)
-                        if outcome == "absent" and present:
-                            outcome = "deleted"
-                    except OSError as err:
-                        outcome, error = "failed", f"{type(err).__name__}: {err.strerror or err}"
-                done.append((path, kind, outcome, error))
-            yield pd.DataFrame(done, columns=["path", "entry_type", "outcome", "error"])
-
-    spark = items.sparkSession
-    if not dry_run and spark.conf.get("spark.speculation", "false") == "true":
-        raise RuntimeError("two attempts of one task must not delete side by side: switch spark.speculation off")
-    # The manifest is fixed first, and the results are written once: reading
-    # them never repeats the action.  It also says what was there at the start,
-    # so that a repeated task knows an absent item for its own work.
-    manifest = materialize(_with_presence(items.select("path", "entry_type")), "manifest")
-    tasks = spark.sparkContext.defaultParallelism
-    dealt = manifest.repartition(tasks, F.xxhash64("path"))
-    return materialize(dealt.mapInPandas(run, RESULTS), "results")
-
-
-def _with_presence(items: DataFrame) -> DataFrame:
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.assign(present=[os.path.lexists(path.split("\0")[0]) for path in rows["path"]])
-
-    return items.mapInPandas(look, "path string, entry_type string, present boolean")
-
-
 def _with_links(items: DataFrame) -> DataFrame:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -122,64 +85,84 @@ def _with_links(items: DataFrame) -> DataFrame:
     return items.select("path", "entry_type").mapInPandas(look, "path string, entry_type string, is_link boolean")
 
 
-def apply_deletes(items: DataFrame, dry_run: bool = True) -> DataFrame:
+def _items(rows: DataFrame) -> DataFrame:
+    """(path, entry_type and, if given, device) of distinct items."""
+    columns = ["path", "entry_type", *(["device"] if "device" in rows.columns else [])]
+    return rows.select(columns).distinct()
+
+
+def apply_deletes(items: DataFrame, dry_run: bool = True, journal: Journal | None = None) -> DataFrame:
     """Delete files, and directories with all they hold; one result row per item.
 
     A directory is listed first; what it holds goes spread over all tasks,
-    files and links before directories, and directories deepest first.
+    files and links before directories, and directories deepest first.  A
+    ``device`` column deals the items by device.  With the ``journal`` of an
+    attempt that broke off, the job goes on where it was.
     """
-    items = materialize(items.select("path", "entry_type").distinct(), "items")
+    if dry_run:
+        return planned(materialize(_items(items), "items"))
+    journal = journal or Journal(items.sparkSession)
+    items = journal.fixed("items", lambda: _items(items))
     dirs = items.where(F.col("entry_type") == "dir")
-    if dry_run or dirs.isEmpty():
-        return _act(items, _remove_named, dry_run)
     # A link to a directory is not followed: its target's files are not below it.
-    tops = _with_links(dirs).where("not is_link").select(F.lit(0).alias("root_idx"), F.col("path").alias("root"))
-    inside = materialize(list_entries(tops).where("entry_type <> 'root'").select("path", "entry_type"), "inside")
-    done = _act(inside.where("entry_type <> 'dir'").distinct(), _remove_file, False)
-    done = done.unionByName(_act(items.where("entry_type <> 'dir'").join(inside, "path", "left_anti"), _remove_named, False))
-    folders = inside.where("entry_type = 'dir'").unionByName(dirs.select("path", "entry_type")).distinct()
-    folders = materialize(folders.withColumn("depth", depth_of("path")), "folders")
+    tops = lambda: _with_links(dirs).where("not is_link").select(F.lit(0).alias("root_idx"), F.col("path").alias("root"))
+    inside = journal.fixed("inside", lambda: list_entries(tops()).where("entry_type <> 'root'").select("path", "entry_type"))
+    done = journal.act("below", lambda: inside.where("entry_type <> 'dir'").distinct(), _remove_file)
+    done = done.unionByName(journal.act("named", lambda: items.where("entry_type <> 'dir'").join(inside, "path", "left_anti"), _remove_named))
+    folders = journal.fixed("folders", lambda: inside.where("entry_type = 'dir'").unionByName(dirs.select("path", "entry_type"))
+                            .distinct().withColumn("depth", depth_of("path")))
     for row in folders.select("depth").distinct().orderBy(F.desc("depth")).collect():  # levels of the trees
         level = folders.where(F.col("depth") == row["depth"])
-        done = done.unionByName(_act(level, _remove_empty, False))
+        done = done.unionByName(journal.act(f"depth={row['depth']}", lambda level=level: level, _remove_empty))
     return done.join(items.select("path"), "path", "left_semi")
 
 
-def apply_purge(cascade: DataFrame, dry_run: bool = True) -> DataFrame:
+def apply_purge(cascade: DataFrame, dry_run: bool = True, journal: Journal | None = None) -> DataFrame:
     """Remove a cascade plan round by round, so children go before their parents."""
-    rounds = [r[0] for r in cascade.select("round").distinct().orderBy("round").collect()]
-    spark = cascade.sparkSession
-    plan = materialize(cascade.select("path", F.lit("dir").alias("entry_type"), "round"), "cascade")
-    results = spark.createDataFrame([], RESULTS)
-    for number in rounds:  # levels of the deepest empty chain
-        results = results.unionByName(_act(plan.where(F.col("round") == number), _remove_empty, dry_run))
+    rows = lambda: cascade.select("path", F.lit("dir").alias("entry_type"), "round")
+    if dry_run:
+        return planned(materialize(rows(), "cascade"))
+    journal = journal or Journal(cascade.sparkSession)
+    plan = journal.fixed("cascade", rows)
+    results = cascade.sparkSession.createDataFrame([], RESULTS)
+    for number in [r[0] for r in plan.select("round").distinct().orderBy("round").collect()]:  # levels of the deepest empty chain
+        results = results.unionByName(journal.act(
+            f"round={number}", lambda number=number: plan.where(F.col("round") == number), _remove_empty))
     return results
 
 
-def apply_quarantine(plan: DataFrame, dry_run: bool = True) -> DataFrame:
-    """Rename still-empty directories to their quarantine names."""
-    names = plan.select("path", "quarantine_path").withColumn("entry_type", F.lit("dir"))
-
-    def rename(pair: str) -> str:
-        old, new = pair.split("\0")
-        if os.path.isdir(new) and not os.path.exists(old):
-            return "renamed"
-        if not os.path.isdir(old):
-            return "absent"
-        if os.listdir(old):
-            return "occupied"
-        os.rename(old, new)
+def _rename(pair: str) -> str:
+    old, new = pair.split("\0")
+    if os.path.isdir(new) and not os.path.exists(old):
         return "renamed"
+    if not os.path.isdir(old):
+        return "absent"
+    if os.listdir(old):
+        return "occupied"
+    os.rename(old, new)
+    return "renamed"
+
 
-    paired = names.select(F.concat("path", F.lit("\0"), "quarantine_path").alias("path"), "entry_type")
-    done = _act(paired, rename, dry_run)
+def apply_quarantine(plan: DataFrame, dry_run: bool = True, journal: Journal | None = None) -> DataFrame:
+    """Rename still-empty directories to their quarantine names."""
+    pairs = lambda: plan.select(
+        F.concat("path", F.lit("\0"), "quarantine_path").alias("path"), F.lit("dir").alias("entry_type"))
+    done = planned(pairs()) if dry_run else (journal or Journal(plan.sparkSession)).act("rename", pairs, _rename)
     both = F.split("path", "\0")
-    return done.select(both[0].alias("path"), both[1].alias("quarantine_path"), "outcome", "error")
+    return done.select(both[0].alias("path"), both[1].alias("quarantine_path"), "outcome", "error", "ts")
+
+
+def remove_quarantined(renamed: DataFrame, dry_run: bool = True, journal: Journal | None = None) -> DataFrame:
+    rows = lambda: renamed.select(F.col("quarantine_path").alias("path"), F.lit("dir").alias("entry_type"))
+    return planned(rows()) if dry_run else (journal or Journal(renamed.sparkSession)).act("remove", rows, _remove_empty)
 
 
-def remove_quarantined(renamed: DataFrame, dry_run: bool = True) -> DataFrame:
-    return _act(renamed.select(F.col("quarantine_path").alias("path"), F.lit("dir").alias("entry_type")),
-                _remove_empty, dry_run)
+def audit_rows(results: DataFrame, deleted_dir: str = "deleted_dir") -> DataFrame:
+    """Audit rows (ts, kind, path, error) of what was done or failed; absent and planned items are no events."""
+    kind: Column = (F.when(F.col("outcome") == "failed", "failed")
+                    .when((F.col("outcome") == "deleted") & (F.col("entry_type") == "dir"), deleted_dir)
+                    .when(F.col("outcome") == "deleted", "deleted_file"))
+    return results.select("ts", kind.alias("kind"), "path", "error").where("kind IS NOT NULL")
 
 
 def deletion_summary(results: DataFrame) -> DataFrame:

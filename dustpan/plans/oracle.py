@@ -165,6 +165,21 @@ def all_oracles() -> dict[str, str]:
         "apply_deletes": _with(FA, GROUPS, URLS) + """SELECT path, 'deleted' AS outcome, CAST(NULL AS VARCHAR) AS error
             FROM fa JOIN grp USING (hash) WHERE ord <> first_ord
             UNION ALL SELECT DISTINCT path, 'absent', NULL FROM urls""",
+        # whole jobs
+        "purge_tree": _with(CASCADE) + """SELECT path, CASE WHEN path IN (SELECT path FROM cascade) THEN 'purged_dir' ELSE 'left' END
+            AS state FROM fb""",
+        "quarantine_tree": _with(EMPTY) + """SELECT path, 'left' AS state FROM fb WHERE path NOT IN (SELECT path FROM empty)
+            UNION ALL SELECT path, unnest(['renamed', 'purged_dir']) FROM empty""",
+        "delete_tree": _with(FB) + """SELECT path, CASE WHEN path NOT LIKE '%.org' OR depth > 1 THEN 'left'
+              WHEN entry_type = 'dir' THEN 'deleted_dir' ELSE 'deleted_file' END AS state
+            FROM fb WHERE depth = 1 OR split_part(path, '/', 2) NOT LIKE '%.org'""",
+        "find_duplicates_tree": _with(FA, PATTERNS) + """,
+            clean AS (SELECT * FROM fa WHERE path NOT IN (SELECT path FROM first_match)),
+            twins AS (SELECT hash, min(path) AS kept FROM clean GROUP BY hash HAVING count(*) > 1)
+            SELECT path, hash, size, CASE WHEN path = kept THEN 'KEEP' ELSE 'DELETE' END AS action FROM clean JOIN twins USING (hash)""",
+        "catalogue_changes": _with(FA) + """SELECT path, CASE WHEN lang = 'fr' THEN 'gone' WHEN size >= 1500 THEN 'changed' ELSE 'same' END
+              AS status, size AS size_before, CASE WHEN lang = 'fr' THEN NULL WHEN size >= 4000 THEN size + 1 ELSE size END AS size_after FROM fa
+            UNION ALL SELECT path || '.copy', 'added', NULL, size FROM fa WHERE lang = 'es'""",
         # projections and filters
         "path_parts": _with(FA) + """SELECT path, name, parent, regexp_extract(name, '^.+\\.([^.]+)$', 1) AS extension,
             CAST(len(path) - len(replace(path, '/', '')) AS BIGINT) AS depth, '/' || device AS top FROM fa""",
@@ -195,6 +210,11 @@ def all_oracles() -> dict[str, str]:
             names AS (SELECT '/' || event_type || '/e' || user_id || '.u' || event_id AS path,
                         'e' || user_id || '.u' || event_id AS name FROM events)
             SELECT path, min(pid) AS pid FROM names JOIN loaded ON name GLOB File_Pattern WHERE {_ON} GROUP BY path""",
+        "residual_matches_floating": """WITH coded AS (SELECT event_id, user_id, md5(user_id || ':' || hour(ts)) AS code FROM events),
+            globs AS (SELECT min(event_id) AS pid, CASE WHEN user_id % 2 = 0 THEN '*' || code[1:4] || '*'
+              ELSE '*' || code[1:3] || '?' || code[4] || '*' END AS pattern FROM coded GROUP BY 2),
+            names AS (SELECT '/' || event_type || '/' || md5(event_id::VARCHAR) || '.log' AS path, md5(event_id::VARCHAR) || '.log' AS name FROM events)
+            SELECT path, min(pid) AS pid FROM names JOIN globs ON name GLOB pattern GROUP BY path""",
         "non_residual": _with(FA, PATTERNS) + "SELECT path, size FROM fa WHERE path NOT IN (SELECT path FROM first_match)",
         "size_candidates": _with(FA) + """SELECT path, size FROM fa WHERE size IN
             (SELECT size FROM fa GROUP BY size HAVING count(*) > 1)""",
@@ -324,4 +344,5 @@ def all_oracles() -> dict[str, str]:
         "incremental_duplicates": _with(FA) + """SELECT hash, count(*) AS copies, count(*) - 1 AS redundant_files
             FROM fa GROUP BY hash HAVING count(*) > 1""",
     }
+    sql["incremental_duplicates_long"] = sql["incremental_duplicates"]
     return sql

@@ -14,6 +14,7 @@ from dustpan.functions import text as tx
 from dustpan.functions.hashing import content_hash, dealt_for_reading, hash_files
 from dustpan.functions.paths import basename, depth_of, extension_of, parent_of, self_and_ancestors
 from dustpan.operators import actions, dedup, emptydirs, profile, residuals, retention, roots, similarity
+from dustpan.plans import pipelines
 from dustpan.sources import audit, catalogue, lister, patterns_csv
 from dustpan.storage import materialize, new_location, new_mounted_dir
 from dustpan.streaming import incremental
@@ -194,6 +195,82 @@ def apply_deletes(spark, sf):
         inside(target).alias("path"), "outcome", "error")
 
 
+# -- whole jobs over real trees --------------------------------------------------
+
+def _job(spark, **folders) -> pipelines.Session:
+    return pipelines.Session(SESSION, audit=new_location(spark, "audit"), journal=new_mounted_dir(spark, "journal"), **folders)
+
+
+def written_folders(spark, sf) -> tuple[str, DataFrame]:
+    """The tree of addresses as real folders and files, and the scan root."""
+    target = new_mounted_dir(spark, "tree")
+    materialize(lister.write_tree(tree(spark, sf).withColumn("content", F.lit("")), target), "written")
+    return target, lister.roots_of(spark, [target])
+
+
+def _left_and_told(spark, target: str, top: DataFrame, job: pipelines.Session) -> DataFrame:
+    """(path, state): what is left in a tree, and what the audit trail tells of the rest."""
+    told = audit.read_audit(spark, job.audit).select(F.col("path"), F.col("kind").alias("state"))
+    left = lister.list_entries(top).select("path", F.lit("left").alias("state"))
+    return left.unionByName(told).select(inside(target).alias("path"), "state")
+
+
+@query
+def purge_tree(spark, sf):
+    """Empty folders of a real tree go round by round."""
+    target, top = written_folders(spark, sf)
+    job = _job(spark)
+    pipelines.purge_empty_dirs(top, dry_run=False, session=job)
+    return _left_and_told(spark, target, top, job)
+
+
+@query
+def quarantine_tree(spark, sf):
+    """Leaf-empty folders of a real tree are renamed, then removed."""
+    target, top = written_folders(spark, sf)
+    job = _job(spark)
+    pipelines.quarantine_and_purge(top, SESSION, dry_run=False, session=job)
+    rows = _left_and_told(spark, target, top, job)
+    return rows.withColumn("path", F.regexp_replace("path", r"\.purge\.[0-9a-f]{8}$", ""))
+
+
+@query
+def delete_tree(spark, sf):
+    """Whole folders of a real tree are deleted with all they hold: those of the '.org' hosts."""
+    target, top = written_folders(spark, sf)
+    job = _job(spark)
+    hosts = lister.list_entries(top).where(F.col("path").endswith(".org") & (F.col("parent") == target))
+    pipelines.delete_chosen(hosts, hosts, dry_run=False, session=job)
+    return _left_and_told(spark, target, top, job)
+
+
+@query
+def find_duplicates_tree(spark, sf):
+    """Keep/delete plan of a real tree, in a second session that only reads what has changed."""
+    target, top = document_tree(spark, sf)
+    folder = new_location(spark, "catalogue")
+    pipelines.find_duplicates(top, patterns(spark), session=_job(spark, catalogue=folder))
+    second = _job(spark, catalogue=folder)._replace(session_id="s2")
+    plan = pipelines.find_duplicates(top, patterns(spark), session=second, since=SESSION)
+    return plan.select(inside(target).alias("path"), "hash", "size", "action")
+
+
+@query
+def catalogue_changes(spark, sf):
+    """A later session has lost the French files, gained copies of the Spanish ones, and found larger files changed."""
+    folder = new_location(spark, "catalogue")
+    rows = files(spark, sf).select("device", "path", "parent", "name", "size", "hash", "mtime")
+    catalogue.write_catalogue(rows, folder, SESSION)
+    lang = F.split_part("path", F.lit("/"), F.lit(3))
+    later = rows.where(lang != "fr")
+    new = rows.where(lang == "es").withColumn("path", F.concat("path", F.lit(".copy")))
+    touched = F.when(F.col("size") >= 1500, F.col("mtime") + F.make_dt_interval(hours=F.lit(1))).otherwise(F.col("mtime"))
+    grown = F.when(F.col("size") >= 4000, F.col("size") + 1).otherwise(F.col("size"))
+    catalogue.write_catalogue(later.withColumns({"mtime": touched, "size": grown}).unionByName(new), folder, "s2")
+    return catalogue.catalogue_changes(catalogue.read_catalogue(spark, folder, SESSION),
+                                       catalogue.read_catalogue(spark, folder, "s2"))
+
+
 # -- projections and filters ---------------------------------------------------
 
 @query
@@ -268,6 +345,19 @@ def residual_matches_many(spark, sf):
                     .select("path", "pid")
 
 
+@query
+def residual_matches_floating(spark, sf):
+    """First match among thousands of globs that have their literal text anywhere in the name."""
+    events = fx.table(spark, sf, "events")
+    code = F.md5(F.concat_ws(":", "user_id", F.hour("ts")).cast("binary"))
+    glob = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("*"), F.substring(code, 1, 4), F.lit("*"))).otherwise(
+        F.concat(F.lit("*"), F.substring(code, 1, 3), F.lit("?"), F.substring(code, 4, 1), F.lit("*")))
+    table = events.select(F.col("event_id").alias("pid"), glob.alias("File_Pattern"), F.lit("Yes").alias("Enabled"))
+    name = F.concat(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(".log"))
+    names = events.select(F.concat(F.lit("/"), "event_type", F.lit("/"), name).alias("path"), name.alias("name"))
+    return residuals.with_first_pattern(names, table).where("pid IS NOT NULL").select("path", "pid")
+
+
 @query
 def non_residual(spark, sf):
     return residuals.non_residual(files(spark, sf), patterns(spark)).select("path", "size")
@@ -565,12 +655,26 @@ def near_duplicate_vectors(spark, sf):
     return similarity.near_duplicate_vectors(fx.feature_vectors(spark, sf))
 
 
-@query
-def incremental_duplicates(spark, sf):
-    """The hashed inventory arrives file by file; the index ends equal to the batch result."""
+def _arrivals(spark, sf, batches: int) -> DataFrame:
+    """The hashed inventory arrives in batches, larger files announced twice; the index ends equal to the batch result."""
     inbox, base = new_location(spark, "inbox"), new_location(spark, "watch")
-    rows = files(spark, sf).select("hash", "ord", "path", "size")
-    rows.repartition("path").write.parquet(inbox)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    incremental.watch_duplicates(stream, f"{base}/index", f"{base}/checkpoint", buckets=16).awaitTermination()
+    rows = materialize(files(spark, sf).select("hash", "ord", "path", "size"), "hashed")
+    # A stated number of files, which follows the rows, so that there are as many batches at every size.
+    parts = batches * max(1, rows.count() // (batches * 1_000_000))
+    again = rows.where("size >= 1500").withColumn("turn", F.lit(1))
+    announced = rows.withColumn("turn", F.lit(0)).unionByName(again)
+    announced.repartition(parts, "path", "turn").drop("turn").write.parquet(inbox)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts // batches).parquet(inbox)
+    incremental.watch_duplicates(stream, f"{base}/index", f"{base}/checkpoint").awaitTermination()
     return incremental.incremental_summary(incremental.indexed_files(spark, f"{base}/index"))
+
+
+@query
+def incremental_duplicates(spark, sf):
+    return _arrivals(spark, sf, 10)
+
+
+@query
+def incremental_duplicates_long(spark, sf):
+    """Fifty batches: what a batch costs does not follow what came before it."""
+    return _arrivals(spark, sf, 50)

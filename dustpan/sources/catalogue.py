@@ -46,3 +46,17 @@ def write_devices(devices: DataFrame, folder: str, session_id: str) -> None:
 
 def read_devices(spark: SparkSession, folder: str, session_id: str) -> DataFrame:
     return _read(spark, folder).where(F.col("session_id") == session_id)
+
+
+def catalogue_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, status, size_before, size_after): what two sessions' inventories differ in, and what they share.
+
+    'added' and 'gone' paths are in one of them only; 'changed' ones differ in
+    size or time of modification; the others are the 'same'.
+    """
+    side = lambda rows, name: rows.select(
+        "path", F.struct("size", "mtime").alias(name)).dropDuplicates(["path"])
+    both = side(before, "b").join(side(after, "a"), "path", "full_outer")
+    status = (F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "gone")
+              .when(F.col("b").eqNullSafe(F.col("a")), "same").otherwise("changed"))
+    return both.select("path", status.alias("status"), F.col("b.size").alias("size_before"), F.col("a.size").alias("size_after"))

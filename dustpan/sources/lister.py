@@ -23,7 +23,7 @@ from dustpan.functions.paths import basename, depth_of, parent_of
 from dustpan.storage import new_location
 
 LISTING = ("root_idx int, path string, entry_type string, link_target string, "
-           "size bigint, mtime timestamp_ntz, error string")
+           "size bigint, mtime timestamp_ntz, created timestamp_ntz, error string")
 _BATCH = 5000
 
 
@@ -31,10 +31,16 @@ def _reason(err: OSError) -> str:
     return f"{type(err).__name__}: {err.strerror or err}"
 
 
+def _moment(seconds):
+    return datetime.fromtimestamp(seconds, timezone.utc).replace(tzinfo=None)
+
+
 def _row(root_idx, path, kind, target=None, info=None, error=None):
-    mtime = info and datetime.fromtimestamp(info.st_mtime, timezone.utc).replace(tzinfo=None)
+    mtime = info and _moment(info.st_mtime)
+    # Not every file system tells when a file was created.
+    born = getattr(info, "st_birthtime", None)
     size = info.st_size if info and kind == "file" else None
-    return root_idx, path, kind, target, size, mtime, error
+    return root_idx, path, kind, target, size, mtime, born and _moment(born), error
 
 
 def _link_row(root_idx, entry):
@@ -72,7 +78,7 @@ def _readable(row):
         return row
     except UnicodeEncodeError:
         shown = os.fsencode(row[1]).decode("utf-8", "backslashreplace")
-        return (row[0], shown, "other", *row[3:6], "name is not valid text")
+        return (row[0], shown, "other", *row[3:7], "name is not valid text")
 
 
 def _visit(root_idx, path, is_root):
@@ -102,7 +108,7 @@ def _walk(budget: int):
         def flush():
             frame = pd.DataFrame(rows, columns=columns)
             frame["size"] = frame["size"].astype("Int64")
-            frame["mtime"] = pd.to_datetime(frame["mtime"])
+            frame["mtime"], frame["created"] = pd.to_datetime(frame["mtime"]), pd.to_datetime(frame["created"])
             rows.clear()
             return frame
 
@@ -155,7 +161,7 @@ def list_entries(roots: DataFrame, budget: int = 100_000) -> DataFrame:
     return (spark.read.parquet(base).where("not pending").drop("pending", "is_root", "round")
             .select("root_idx", "path", parent_of("path").alias("parent"),
                     basename("path").alias("name"), depth_of("path").alias("depth"),
-                    "entry_type", "link_target", "size", "mtime", "error"))
+                    "entry_type", "link_target", "size", "mtime", "created", "error"))
 
 
 def regular_files(inventory: DataFrame) -> DataFrame:

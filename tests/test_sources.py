@@ -1,5 +1,9 @@
 """Pattern files, audit text and catalogues in their odd forms."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from dustpan.fixtures import PATTERN_COLUMNS
 from dustpan.operators import residuals
 from dustpan.sources import audit, catalogue, patterns_csv
@@ -62,6 +66,47 @@ def test_audit_text(spark):
                    ("other", None, None), ("other", None, None), ("unreadable", "/x", None)]
 
 
+def test_audit_text_of_others(spark):
+    """Error texts mostly repeat the path; layouts without a path are no events."""
+    lines = {"Failed to delete /a: b: [Errno 13] Permission denied: '/a: b'": ("failed", "/a: b", "[Errno 13] Permission denied: '/a: b'"),
+             "Error scanning /x: boom": ("unscanned", "/x", "boom"), "Error checking /x: y: z": ("unchecked", "/x", "y: z"),
+             "Error processing /it's: [Errno 2] gone: \"/it's\"": ("unhashed", "/it's", "[Errno 2] gone: \"/it's\""),
+             "Deleted: /d: e": ("purged_dir", "/d: e", None), "  Failed: /p - q - no": ("failed_item", "/p", "q - no"),
+             "Failed to delete 3 item(s)": ("other", None, None), "Deleted 2 pattern row(s)": ("other", None, None),
+             "Added directory: /r": ("root", "/r", None), "Found empty: ": ("other", None, None)}
+    df = spark.createDataFrame([(f"[2025-01-02 03:04:05] {x}",) for x in lines], "line string")
+    assert [tuple(r)[1:4] for r in audit.parse_audit(df).collect()] == list(lines.values())
+
+
+def test_audit_text_is_read_back(spark):
+    """Parsing undoes writing, for every layout, on paths and errors of awkward characters."""
+    rng = random.Random(6)
+    bits = ["a", "b c", ": ", " - ", ":", "\n", "\r", "'", '"', "\\", "\\n", "é", "\u2028", "\u0085", "/", "😀", "{", "}", "\t", "[", "\x01"]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 7)))
+    rows = []
+    for layout in audit.LAYOUTS:
+        for _ in range(400):
+            path = "/" + text()
+            error = rng.choice([text() + rng.choice("xyz'"), f"[Errno 1] no: '{path}'", f"no: '{text()}'"]) if layout.between else None
+            rows.append((layout.kind, path, error))
+    df = spark.createDataFrame(rows, "kind string, path string, error string").withColumn(
+        "ts", F.expr("timestamp_ntz'2025-01-02 03:04:05'"))
+    lines = df.select("kind", "path", "error", audit.audit_line(F.col("ts"), F.col("kind"), F.col("path"), F.col("error")).alias("line"))
+    told = {r["line"]: (r["kind"], r["path"], r["error"]) for r in lines.collect()}
+    assert not any(c in line for line in told for c in "\n\r")
+    got = {r["raw"]: (r["kind"], r["path"], r["error"]) for r in audit.parse_audit(
+        spark.createDataFrame([(x,) for x in told], "line string")).collect()}
+    assert got == told
+
+
+def test_audit_of_a_job_is_told_once(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp_ntz'2025-01-01 00:00:00' ts, 'failed' kind, '/a' path, 'e' error")
+    for session, job in (("007", "purge"), ("007", "purge"), ("007", "other"), ("008", "purge"), ("007", None)):
+        audit.write_audit(rows, str(tmp_path / "audit"), session, job)
+    found = [r["session_id"] for r in audit.read_audit(spark, str(tmp_path / "audit")).collect()]
+    assert sorted(found) == ["007", "007", "007", "008"]
+
+
 def test_audit_appends(spark, tmp_path):
     rows = spark.sql("SELECT timestamp_ntz'2025-01-01 00:00:00' ts, 'failed' kind, '/a' path, 'e' error")
     for session in ("s1", "s2", "s2"):
