@@ -344,5 +344,6 @@ def all_oracles() -> dict[str, str]:
         "incremental_duplicates": _with(FA) + """SELECT hash, count(*) AS copies, count(*) - 1 AS redundant_files
             FROM fa GROUP BY hash HAVING count(*) > 1""",
     }
+    sql["list_files_source"] = sql["list_files"]
     sql["incremental_duplicates_long"] = sql["incremental_duplicates"]
     return sql

@@ -15,7 +15,7 @@ from dustpan.functions.hashing import content_hash, dealt_for_reading, hash_file
 from dustpan.functions.paths import basename, depth_of, extension_of, parent_of, self_and_ancestors
 from dustpan.operators import actions, dedup, emptydirs, profile, residuals, retention, roots, similarity
 from dustpan.plans import pipelines
-from dustpan.sources import audit, catalogue, lister, patterns_csv
+from dustpan.sources import audit, catalogue, lister, patterns_csv, tree_source
 from dustpan.storage import materialize, new_location, new_mounted_dir
 from dustpan.streaming import incremental
 
@@ -99,6 +99,14 @@ def list_files(spark, sf):
     return lister.list_files(top).select(inside(target).alias("path"), "name", "size")
 
 
+@query
+def list_files_source(spark, sf):
+    """The same through the data source, which tests the type itself."""
+    target, _ = document_tree(spark, sf)
+    found = tree_source.read_tree(spark, [target]).where("entry_type = 'file' AND error IS NULL")
+    return found.select(inside(target).alias("path"), "name", "size")
+
+
 @query
 def list_entries(spark, sf):
     target = new_mounted_dir(spark, "tree")

@@ -138,6 +138,10 @@ def register(spark: SparkSession) -> None:
 
 
 def read_tree(spark: SparkSession, paths: list[str], **options) -> DataFrame:
-    """Everything below the paths, which are left out themselves; ``root_idx`` is a path's place in the list."""
+    """Everything below the paths, which are left out themselves; ``root_idx`` is a path's place in the list.
+
+    Unless ``splits`` is given, there are four subtrees for each of the session's cores.
+    """
     register(spark)
-    return spark.read.format("tree").options(roots=json.dumps(paths), **options).load()
+    given = {"splits": 4 * spark.sparkContext.defaultParallelism, **options}
+    return spark.read.format("tree").options(roots=json.dumps(paths), **given).load()
