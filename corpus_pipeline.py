@@ -3,6 +3,11 @@
 toxicity, line dedup, near-dedup, mixing, encoding.  A stage takes the table its
 predecessor left and the folder of the given tables; all but the last return
 the columns of ``documents``.
+
+Every stage keeps further columns of any name and takes an empty table.  A null
+text counts as an empty one and stays null: it is never toxic, has no lines,
+is a copy of nothing, and has no ids.  Repeated rows are scored and cleaned
+alike, and near-dedup keeps one row of an id; rows with a null id all stay.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near-dedup", drop_near_copies),
           ("mixing", mix), ("encoding", encode)]
 
-# A trained classifier and sketches are not expressed in SQL; tests compare with brute force.
+# A trained classifier and sketches are not expressed in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
