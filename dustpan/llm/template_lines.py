@@ -18,7 +18,7 @@ in ``LEAST`` documents that are otherwise different.  Units of fewer than
 ``SHORT`` words have no fields but those with digits, must begin or end a line,
 and need ``LEAST_SHORT`` documents.  Copies and near copies of one document are
 one document: each text has a sketch, the least hash of its words in each of
-sixteen classes, and a document is different from two reference documents of
+sixteen classes of hashes, and a document is different from two reference documents of
 the template where it agrees with neither in more than half of the classes.  A
 passage weighs in this by its share of the texts' words, so it does not matter
 how many texts have it.
@@ -31,8 +31,6 @@ that none of them lands in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +51,14 @@ _WHITE = r"[\x20\x09-\x0D]+"
 _SENTENCE = r"(?<=[.!?])(?=\x20)"
 
 
-def _words(unit: Column) -> Column:
-    """Words of a unit."""
-    plain = F.when(unit.rlike(r"[\x09-\x0D]"), F.regexp_replace(unit, _WHITE, " ")).otherwise(unit)
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+def _plain(unit: Column) -> Column:
+    """A unit with spaces for all white space, and none at its ends."""
+    return F.trim(F.when(unit.rlike(r"[\x09-\x0D]"), F.regexp_replace(unit, _WHITE, " ")).otherwise(unit))
+
+
+def _words(plain: Column) -> Column:
+    """Words of a plain unit; one empty word if it has none."""
+    return F.when(plain.contains("  "), F.filter(F.split(plain, " "), lambda w: w != "")).otherwise(F.split(plain, " "))
 
 
 def _masked(words: Column, unit: Column) -> Column:
@@ -76,14 +78,19 @@ def _text_key(text: Column) -> list[Column]:
 
 
 def _sketch(hashes: str) -> list[Column]:
-    """Two longs, a byte per class: of the least word hash that ends in the class's number."""
-    def byte(k: int) -> Column:
-        least = F.array_min(F.filter(hashes, lambda x: x.bitwiseAND(_BINS - 1) == k))
-        return F.coalesce(F.shiftrightunsigned(least, 4).bitwiseAND(255), F.lit(0).cast("bigint"))
+    """Two longs, a byte per class of hashes (their first four bits): of the class's least hash, 0 if it has none.
+
+    ``hashes`` is sorted, so a class's least hash stands where the class changes.
+    """
+    kind = lambda x: F.shiftright(x, 60)
+    least = F.filter(hashes, lambda x, i: (i == 0) | (kind(x) != kind(F.get(hashes, i - 1))))
+
+    def packed_bytes(first: int) -> Column:
+        place = lambda x: (kind(x) - first).cast("int")
+        return F.aggregate(least, F.lit(0).cast("bigint"), lambda sum_, x: F.when(
+            (place(x) >= 0) & (place(x) < _BINS // 2), sum_.bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(255), place(x) * 8))).otherwise(sum_))
 
-    half = _BINS // 2
-    pack = lambda bins: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(byte(k), 8 * (k % half)) for k in bins])
-    return [pack(range(half)).alias("s1"), pack(range(half, _BINS)).alias("s2")]
+    return [packed_bytes(-_BINS // 2).alias("s1"), packed_bytes(0).alias("s2")]
 
 
 def _alike(one: str, other: str) -> Column:
@@ -105,17 +112,21 @@ def units(docs: DataFrame, text: str = "text", places: str | None = None) -> Dat
     wanted = F.col(places) if places else F.lit(None)
     whole = docs.select(F.col(text).alias("text"), wanted.alias("wanted")).where("text <> ''")
     # Of each text once, before its lines are exploded.
-    hashed = whole.select("text", "wanted", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = whole.select("text", "wanted", F.sort_array(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))).alias("h"))
     named = hashed.select(*_text_key(F.col("text")), *_sketch("h"), "wanted", F.split("text", "\n").alias("lines"))
-    lines = named.select("t", "t2", "s1", "s2", "wanted", F.posexplode("lines").alias("line", "content"))
+    # Outer, as otherwise the optimizer tests for empty arrays, and splits twice for that; there are none.
+    lines = named.select("t", "t2", "s1", "s2", "wanted", F.posexplode_outer("lines").alias("line", "content"))
     lines = lines.select("t", "t2", "s1", "s2", "wanted", "line", F.split("content", _SENTENCE).alias("parts"))
-    parts = lines.select("t", "t2", "s1", "s2", "wanted", "line", F.size("parts").alias("of"), F.posexplode("parts").alias("unit", "part"))
-    parts = parts.select(
-        "t", "t2", "s1", "s2", "wanted", (F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")).alias("place"),
-        ((F.col("unit") == 0) | (F.col("unit") == F.col("of") - 1)).alias("edge"), "part")
+    # Told in the array: its size, asked for later, would carry the whole array along with each of its parts.
+    told = F.transform("parts", lambda part, i: F.struct(part.alias("part"), ((i == 0) | (i == F.size("parts") - 1)).alias("edge")))
+    lines = lines.select("t", "t2", "s1", "s2", "wanted", "line", told.alias("told"))
+    parts = lines.select("t", "t2", "s1", "s2", "wanted", "line", F.posexplode_outer("told").alias("unit", "u"))
+    parts = parts.where(F.col("u.part").rlike(r"[^\x20\x09-\x0D]")).select(
+        "t", "t2", "s1", "s2", "wanted", (F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")).alias("place"), "u.edge", "u.part")
     if places:
         parts = parts.where(F.array_contains("wanted", F.col("place")))
-    cut = parts.select("t", "t2", "s1", "s2", "place", "edge", "part", _words(F.col("part")).alias("raw")).where("size(raw) > 0")
+    plain = parts.select("t", "t2", "s1", "s2", "place", "edge", _plain(F.col("part")).alias("part"))
+    cut = plain.select("t", "t2", "s1", "s2", "place", "edge", "part", _words(F.col("part")).alias("raw"))
     cut = cut.select("t", "t2", "s1", "s2", "place", "edge", _masked(F.col("raw"), F.col("part")).alias("w"))
     return cut.select("t", "t2", "s1", "s2", "place", F.size("w").alias("n"), "w", "edge")
 
@@ -125,7 +136,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
     key = F.xxhash64("n", "w")
     leaf = F.when(F.col("n") >= SHORT, F.xxhash64(F.lit("leaf"), "n", F.slice("w", F.lit(1), _lead(F.col("n"))))).otherwise(key)
     needs = F.when(F.col("n") >= SHORT, LEAST).when(F.col("edge"), LEAST_SHORT)
-    return rows.select("t", "t2", "s1", "s2", "place", "n", key.alias("key"), leaf.alias("leaf"), needs.alias("needs")).where("needs IS NOT NULL")
+    return rows.select("t", "t2", "s1", "s2", "place", "n", key.alias("key"), leaf.alias("leaf"), needs.alias("needs"))
 
 
 def _joined(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
@@ -189,7 +200,8 @@ def _with_fields(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 
 def dropped_places(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t, t2, places): units to drop, for texts that have any."""
-    rows = materialize(_keyed(units(docs, text)), "units")
+    # Filtered when read: a filter before it would work out all words twice.
+    rows = materialize(_keyed(units(docs, text)), "units").where("needs IS NOT NULL")
     total = rows.count()
     both = rows.groupBy("leaf").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n_rows"))
     leaves = materialize(both.where("a < b").select("leaf", "n_rows"), "leaves")
@@ -220,7 +232,7 @@ def _without(text: Column, places: Column) -> Column:
     def gone(part: Column, at: Column) -> Column:
         near = lambda low, high: F.exists(places, lambda p: (p >= at + low) & (p <= at + high))
         return F.array_contains(places, at) | (
-            near(-_NEAR, -1) & near(1, _NEAR) & (F.size(_words(part)) < SHORT))
+            near(-_NEAR, -1) & near(1, _NEAR) & (F.size(_words(_plain(part))) < SHORT))
 
     def line(content: Column, number: Column) -> Column:
         first = number.cast("bigint") * _LINE

@@ -32,8 +32,8 @@ def _units(text):
 
 def _sketch(text):
     hashes = [_hash(w) for w in text.split(" ")]
-    least = [min((h for h in hashes if h & 15 == k), default=0) for k in range(16)]
-    return [(h >> 4) & 255 for h in least]
+    least = [min((h for h in hashes if h >> 60 == k), default=None) for k in range(-8, 8)]
+    return [0 if h is None else h & 255 for h in least]
 
 
 def _recurring(uses, needs, sketch, order):
