@@ -13,8 +13,9 @@ def plan_of(df):
 
 
 LAZY = sorted(set(registry.all_queries()) - {
-    "incremental_duplicates", "near_duplicates", "near_duplicate_vectors", "list_files", "list_entries", "hash_tree",
-    "error_ledger", "apply_deletes"})
+    "incremental_duplicates", "incremental_duplicates_long", "near_duplicates", "near_duplicate_vectors", "list_files",
+    "list_files_source", "list_entries", "hash_tree", "error_ledger", "apply_deletes", "purge_tree", "quarantine_tree",
+    "delete_tree", "find_duplicates_tree"})
 
 
 @pytest.mark.parametrize("name", LAZY)
