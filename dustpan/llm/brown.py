@@ -289,8 +289,8 @@ def context_counts(docs: DataFrame, classes: Classes) -> DataFrame:
 def gains(word: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Gain in likelihood of each class (column) for each word (row of ``own``, its class), as if it alone moved.
 
-    Word ``word[i]`` has ``n[i]`` steps from class ``at[i]``, or, from
-    CLASSES + 1 on, to class ``at[i] - CLASSES - 1``; ``table`` counts them.
+    Word ``word[i]`` (ascending) has ``n[i]`` steps from class ``at[i]``, or,
+    from CLASSES + 1 on, to class ``at[i] - CLASSES - 1``; ``table`` counts them.
     """
     k, wide, m = CLASSES, CLASSES + 1, np.arange(len(own))
     around = np.zeros((len(own), 2 * wide))
@@ -306,7 +306,9 @@ def gains(word: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray, tabl
         base[inside] -= other[i[inside], :k]
         base[np.arange(len(i)), own[i]] -= steps_[:, 0]
         base = np.maximum(base, 0)  # a word beside itself is counted on both sides
-        np.add.at(gain, i, _xlogx(base + steps_) - _xlogx(base))
+        if len(i):
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            gain[i[first]] += np.add.reduceat(_xlogx(base + steps_) - _xlogx(base), first, axis=0)
         total = mine.sum(axis=1)
         whole = np.repeat(sums.sum(axis=1)[None, :k], len(own), axis=0)
         whole[m, own] -= total
