@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dustpan.operators.roots import prefix_lookup
@@ -64,15 +65,21 @@ def throughput(work: DataFrame, every: str = "1 minute", seconds: int = 60) -> D
 
 def completion_estimate(rates: DataFrame, total_files: int, total_bytes: int,
                         seconds: int = 60) -> DataFrame:
-    """Seconds still to go at the mean rate of the windows in which work was done."""
+    """Seconds still to go at the mean rate of the windows in which work was done.
+
+    Work left times time spent passes the range of a long, so it is multiplied
+    as doubles; the totals may be of any size.
+    """
     done = rates.agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"),
                      (F.count("*") * seconds).alias("spent"))
-    left_files = F.greatest(F.lit(total_files) - F.col("files"), F.lit(0))
-    left_bytes = F.greatest(F.lit(total_bytes) - F.col("bytes"), F.lit(0))
+
+    def to_go(total: int, what: str) -> Column:
+        left = F.greatest(F.lit(Decimal(total)) - F.col(what).cast("decimal(20,0)"), F.lit(0))
+        return left.cast("double") * F.col("spent") / F.col(what)
+
     return done.select(
         F.col("files").alias("files_done"), F.col("bytes").alias("bytes_done"),
-        F.greatest(left_files * F.col("spent") / F.col("files"),
-                   left_bytes * F.col("spent") / F.col("bytes")).alias("eta_seconds"))
+        F.greatest(to_go(total_files, "files"), to_go(total_bytes, "bytes")).alias("eta_seconds"))
 
 
 def job_gate(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
