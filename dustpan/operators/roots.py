@@ -71,8 +71,15 @@ def attribute_to_root(entries: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def found_under_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """One row per entry and containing root, as separate scans of each would list."""
-    listed = roots.select(as_ancestor(clean_path("root")).alias("root"), F.col("root_idx").alias("idx")).distinct()
+    """One row per entry and containing root, as separate scans of each would list.
+
+    A folder listed again is the same root: it is scanned once, under its first
+    index.  So an entry has at most as many rows as it has ancestors, however
+    long the list is.
+    """
+    # In a struct, as an unknown index comes first, like in ``union_roots``.
+    listed = (roots.groupBy(as_ancestor(clean_path("root")).alias("root"))
+              .agg(F.min(F.struct(F.col("root_idx").alias("idx")))["idx"].alias("idx")))
     parents = entries.select(F.col("parent").alias("path"))
     pairs = (ancestors_of(parents).join(listed, F.col("ancestor") == F.col("root"))
              .select(F.col("path").alias("parent"), F.col("idx").alias("root_idx")))

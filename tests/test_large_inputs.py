@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dustpan.operators import profile
+from dustpan.operators import profile, roots
 
 
 def test_estimate_of_a_job_beyond_long(spark):
@@ -12,3 +12,15 @@ def test_estimate_of_a_job_beyond_long(spark):
         row = profile.completion_estimate(rates, 10**8, total).first()
         assert (row["files_done"], row["bytes_done"]) == (6_000_000, 300_000_000_000)
         assert row["eta_seconds"] == (total - 3 * 10**11) * 2_400_000 / (3 * 10**11)
+
+
+def test_repeated_roots_do_not_repeat_entries(spark):
+    """A root listed 1000 times is scanned once, under its first index; an unknown index still comes first."""
+    entries = spark.createDataFrame([(f"/h/a/f{i}", "/h/a", "file") for i in range(50)] + [("/h/b", "/h", "dir"), ("/k/f", "/k", "file")],
+                                    "path string, parent string, entry_type string")
+    listed = spark.createDataFrame([(i + 7, "/h//" if i % 2 else "/h") for i in range(1000)] + [(3, "/h/a"), (None, "/k"), (1, "/k")],
+                                   "root_idx long, root string")
+    found = roots.found_under_roots(entries, listed)
+    assert found.count() == 50 * 2 + 1 + 1
+    got = {r["path"]: r["root_idx"] for r in roots.union_roots(found, found).collect()}
+    assert got == {**{f"/h/a/f{i}": 3 for i in range(50)}, "/h/b": 7, "/k/f": None}
