@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dustpan.fixtures import PATTERN_COLUMNS
-from dustpan.functions.glob import anchors_of, fragments_of, glob_predicate, glob_to_regex
+from dustpan.functions.glob import anchors_of, fragments_of, glob_predicate, glob_to_regex, is_stretch, stretches_of
 from dustpan.functions.text import is_blank, strip
 from dustpan.plans.ordered import with_row_number
 from dustpan.storage import materialize
@@ -20,6 +22,9 @@ ENABLED_TEXTS = ("yes", "true", "1")
 # stay compiled; more are joined.
 INLINE_PATTERNS = 80
 
+# Shapes of stretches that names are cut into, the ones most globs ask for; other globs are looked up by fragments.
+STRETCH_SHAPES = 8
+
 
 def is_enabled() -> Column:
     return F.lower(F.coalesce(F.col("Enabled"), F.lit("Yes"))).isin(*ENABLED_TEXTS)
@@ -82,15 +87,19 @@ def _globs(patterns: DataFrame) -> list | None:
 
 _ANCHOR = T.StructType([T.StructField("side", T.StringType()), T.StructField("skip", T.IntegerType()),
                         T.StructField("text", T.StringType())])
+_STRETCH = T.StructType([T.StructField("shape", T.StringType()), T.StructField("text", T.StringType())])
 _COMPILED = T.StructType([T.StructField("regex", T.StringType()), T.StructField("anchors", T.ArrayType(_ANCHOR)),
-                          T.StructField("fragments", T.ArrayType(T.StringType()))])
+                          T.StructField("fragments", T.ArrayType(T.StringType())),
+                          T.StructField("stretches", T.ArrayType(_STRETCH)), T.StructField("is_stretch", T.BooleanType())])
 
 
 @F.pandas_udf(_COMPILED)
 def _compiled(globs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"regex": globs.map(glob_to_regex),
                          "anchors": [[dict(zip(("side", "skip", "text"), a)) for a in anchors_of(g)] for g in globs],
-                         "fragments": globs.map(fragments_of)})
+                         "fragments": globs.map(fragments_of),
+                         "stretches": [[dict(zip(("shape", "text"), s)) for s in stretches_of(g)] for g in globs],
+                         "is_stretch": globs.map(is_stretch)})
 
 
 def _cut(side: str, skip: int, size: int) -> Column:
@@ -108,12 +117,46 @@ def _pieces(size: int) -> Column:
     return F.when(F.length("name") >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+def _holed(shape: str) -> Column:
+    """All windows of a name in this shape, without the characters in its holes."""
+    starts = F.sequence(F.lit(1), F.length("name") - (len(shape) - 1))
+    runs = [(run.start(), len(run.group())) for run in re.finditer("c+", shape)]
+    cuts = F.transform(starts, lambda at: F.concat(
+        F.lit(f"{shape}:"), *[F.substring("name", at + skip, F.lit(size)) for skip, size in runs]))
+    return F.when(F.length("name") >= len(shape), F.array_distinct(cuts)).otherwise(F.array().cast("array<string>"))
+
+
 def _keyed_globs(globs: DataFrame) -> DataFrame:
-    """(pid, File_Pattern, regex, keys): every text that a matching name must contain, at its place or anywhere."""
-    compiled = globs.select("pid", "File_Pattern", _compiled("File_Pattern").alias("c")).select("pid", "File_Pattern", "c.*")
+    """(pid, File_Pattern, regex, keys): texts that a matching name must contain, at their place or anywhere.
+
+    ``sure`` is the key that all names having it match by, if there is one.
+    """
+    compiled = materialize(globs.select("pid", "File_Pattern", _compiled("File_Pattern").alias("c"))
+                           .select("pid", "File_Pattern", "c.*"), "compiled")
+    shapes = (compiled.select(F.explode("stretches").alias("s")).groupBy("s.shape").agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "shape").limit(STRETCH_SHAPES).collect())
+    usable = lambda s: s["shape"].isin(*[r["shape"] for r in shapes])
+    stretches = F.filter("stretches", usable)
+    # A stretch is at least as rare as the fragments inside it.
+    covered = (F.size("stretches") > 0) & (F.size(stretches) == F.size("stretches"))
+    fragments = F.when(covered, F.array().cast("array<string>")).otherwise(F.col("fragments"))
     placed = F.transform("anchors", lambda a: F.concat(a["side"], a["skip"].cast("string"), F.lit(":"), a["text"]))
-    loose = F.transform("fragments", lambda f: F.concat(F.lit("f:"), f))
-    return compiled.select("pid", "File_Pattern", "regex", "anchors", "fragments", F.concat(placed, loose).alias("keys"))
+    spelt = F.transform(stretches, lambda s: F.concat(s["shape"], F.lit(":"), s["text"]))
+    loose = F.transform(fragments, lambda f: F.concat(F.lit("f:"), f))
+    return compiled.select("pid", "File_Pattern", "regex", "anchors", fragments.alias("fragments"), stretches.alias("stretches"),
+                           F.concat(placed, spelt, loose).alias("keys"), F.when(F.col("is_stretch") & covered, spelt[0]).alias("sure"))
+
+
+def _keys_of_names(names: DataFrame, globs: DataFrame, *more: Column) -> DataFrame:
+    """(name, key) of the distinct names, in the forms that keys of these globs have."""
+    # Forms are bounded by the anchor limits (at most 2 x 9 x 8), by FRAGMENT and by STRETCH_SHAPES.
+    anchors = globs.select(F.explode("anchors").alias("a")).select(
+        "a.side", "a.skip", F.length("a.text")).distinct().collect()
+    sizes = globs.select(F.explode("fragments").alias("f")).select(F.length("f")).distinct().collect()
+    shapes = globs.select(F.explode("stretches").alias("s")).select("s.shape").distinct().collect()
+    cuts = F.array_compact(F.array(*[_cut(*anchor) for anchor in sorted(anchors)]).cast("array<string>"))
+    parts = [cuts, *[_pieces(size) for size, in sorted(sizes)], *[_holed(shape) for shape, in sorted(shapes)], *more]
+    return names.select("name", F.explode(F.concat(*parts)).alias("key"))
 
 
 def matching_pairs(names: DataFrame, globs: DataFrame) -> DataFrame:
@@ -121,33 +164,32 @@ def matching_pairs(names: DataFrame, globs: DataFrame) -> DataFrame:
 
     An inverted index of the names: each glob is looked up by the rarest of the
     texts that its matches must contain, which is a text at a fixed distance
-    from an end, or a fragment anywhere.  Names are counted per text, so a text
-    that most names share is only used by globs that have no other.  A glob
-    without any literal character is tested in one pass over the names, or, if
-    there are many such, meets every name: it matches nearly all of them.
+    from an end, a stretch between stars with the holes that '?' and classes
+    leave in it, or a fragment anywhere.  Where a glob has a choice, names are
+    counted per text, so a text that most names share is only used by globs
+    that have no other.  A glob without any literal character is tested in one
+    pass over the names, or, if there are many such, meets every name: it
+    matches nearly all of them.
     """
     distinct = names.select("name").distinct()
     globs = materialize(_keyed_globs(globs), "globs")
-    # Shapes are bounded by the anchor limits (at most 2 x 9 x 8) and by FRAGMENT.
-    shapes = globs.select(F.explode("anchors").alias("a")).select(
-        "a.side", "a.skip", F.length("a.text")).distinct().collect()
-    sizes = globs.select(F.explode("fragments").alias("f")).select(F.length("f")).distinct().collect()
     bare = globs.where(F.size("keys") == 0)
     inline = bare.select("pid", "File_Pattern").limit(INLINE_PATTERNS + 1).collect()
     meet_all = len(inline) > INLINE_PATTERNS
-    cuts = F.array_compact(F.array(*[_cut(*shape) for shape in sorted(shapes)]).cast("array<string>"))
-    parts = [cuts, *[_pieces(size) for size, in sorted(sizes)], F.array(F.lit("*")) if meet_all else F.array().cast("array<string>")]
-    keyed = distinct.select("name", F.explode(F.concat(*parts)).alias("key"))
     # Counted before the shuffle; only texts that some glob asks for are kept.
-    asked = globs.select("pid", F.explode("keys").alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    choosing = globs.where(F.size("keys") > 1)
+    asked = choosing.select("pid", F.explode("keys").alias("key"))
+    counts = _keys_of_names(distinct, choosing).groupBy("key").agg(F.count("*").alias("n"))
     rarest = asked.join(counts, "key", "left").groupBy("pid").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("key")).alias("l"), "key")).alias("best"))
     chosen = rarest.where("best.n > 0").select("pid", "best.key")
+    chosen = chosen.unionByName(globs.where(F.size("keys") == 1).select("pid", F.col("keys")[0].alias("key")))
     if meet_all:
         chosen = chosen.unionByName(bare.select("pid", F.lit("*").alias("key")))
-    chosen = materialize(chosen.join(globs.select("pid", "regex"), "pid"), "chosen")
-    hits = keyed.join(chosen, "key").where(F.expr("name rlike regex")).select("name", "pid")
+    tested = F.when(F.col("sure") == F.col("key"), F.lit(None)).otherwise(F.col("regex")).alias("regex")
+    chosen = materialize(chosen.join(globs.select("pid", "regex", "sure"), "pid").select("pid", "key", tested), "chosen")
+    keyed = _keys_of_names(distinct, globs, F.array(F.lit("*")) if meet_all else F.array().cast("array<string>"))
+    hits = keyed.join(chosen, "key").where(F.expr("regex IS NULL OR name rlike regex")).select("name", "pid")
     if inline and not meet_all:
         tests = F.array(*[F.when(glob_predicate(F.col("name"), g), F.lit(pid)) for pid, g in inline])
         hits = hits.unionByName(distinct.select("name", F.explode(F.array_compact(tests)).alias("pid")))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dustpan.functions.glob import anchors_of, fragments_of, glob_predicate, glob_to_regex
+from dustpan.functions.glob import anchors_of, fragments_of, glob_predicate, glob_to_regex, is_stretch, stretches_of
 from dustpan.operators import residuals
 
 TRICKY = ["*", "?", "[!b]*", "[]a]", "[!]a]", "[a-c-e]", "[b-a]", "[!b-a]", "a|b", "a&&b", "[a&&b]", "[a[b]", "[",
@@ -90,3 +90,45 @@ def test_audit_without_patterns_or_entries(spark):
     assert residuals.pattern_audit(names, patterns).collect() == []
     one = spark.createDataFrame([(1, "a*", "Yes")], patterns.schema)
     assert [tuple(r) for r in residuals.pattern_audit(names.limit(0), one).collect()] == [(1, "a*", 0, None, False, True)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("ab*?[]!-.", max_size=14), st.text("ab*?[]!-.", max_size=14))
+def test_stretches_are_necessary_and_sometimes_all(glob, name):
+    windows = {(shape, "".join(c for c, kind in zip(name[at:], shape, strict=False) if kind == "c"))
+               for shape, _ in stretches_of(glob) for at in range(len(name) - len(shape) + 1)}
+    matches = fnmatchcase(name, glob)
+    if matches:
+        assert windows.issuperset(stretches_of(glob))
+    if is_stretch(glob):
+        assert matches == windows.issuperset(stretches_of(glob))
+
+
+@pytest.mark.parametrize("glob, want", [
+    ("*", []), ("a*", []), ("*abcd*", [("cccc", "abcd")]), ("*abc?d*", [("ccc.c", "abcd")]), ("*?ab[xy]c?*", [("cc.c", "abc")]),
+    ("a?b*", [("c.c", "ab")]), ("*abcdefghi*", [("c" * 8, "abcdefgh"), ("c" * 8, "bcdefghi")]), ("*a*bcd*", [("ccc", "bcd")])])
+def test_stretches(glob, want):
+    assert stretches_of(glob) == want
+
+
+@pytest.mark.parametrize("shapes", [0, 1, 8])
+def test_short_globs_meet_few_names(spark, monkeypatch, shapes):
+    """Globs whose fragments most names have are looked up by all their characters, holes included."""
+    monkeypatch.setattr(residuals, "STRETCH_SHAPES", shapes or 1)
+    if not shapes:
+        monkeypatch.setattr(residuals, "stretches_of", lambda glob: [])
+    rng = random.Random(3)
+    names = ["".join(rng.choice("0123") for _ in range(12)) for _ in range(300)]
+    codes = sorted({"".join(rng.choice("0123") for _ in range(6)) for _ in range(300)})
+    globs = [f"*{c}*" if i % 2 else f"*{c[:4]}?{c[4:]}*" for i, c in enumerate(codes)]
+    seen = []
+    keep = residuals.materialize
+    monkeypatch.setattr(residuals, "materialize", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    table = spark.createDataFrame(list(enumerate(globs)), "pid bigint, File_Pattern string")
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = [tuple(r) for r in residuals.matching_pairs(rows, table).collect()]
+    want = {(n, i) for n in names for i, g in enumerate(globs) if fnmatchcase(n, g)}
+    assert set(pairs) == want and len(pairs) == len(want)
+    if shapes == 8:
+        keyed = residuals._keys_of_names(rows, dict(seen)["globs"])
+        assert keyed.join(dict(seen)["chosen"], "key").count() == len(want)  # by fragments some 6,000 each shape
