@@ -81,3 +81,57 @@ def test_session_settings_are_given_back(spark):
     with incremental._settings(spark, incremental._STATE):
         assert spark.conf.get(name) == incremental._STATE[name]
     assert spark.conf.get(name) == before
+
+
+def test_state_partitions_follow_the_cores(spark, tmp_path):
+    """Each is opened and committed in every batch, so 200 of them for a few rows are most of the work."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200")
+    try:
+        arrive(spark, tmp_path, 0, [("x", 1, "/1", 5)])
+        steps = run(spark, tmp_path)
+        assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, before)
+    for step in steps:
+        assert all(op["numShufflePartitions"] <= spark.sparkContext.defaultParallelism for op in step["stateOperators"])
+
+
+def test_a_hot_new_content_has_one_first_file(spark, tmp_path):
+    """Spread over the files of one batch, repeats included, and known in the next."""
+    for n in range(3):
+        arrive(spark, tmp_path, n, [("hot", 1000 - 300 * n - k, f"/{n}/{k:03}", 1) for k in range(300)] + [("hot", 999, "/0/001", 1)])
+    run(spark, tmp_path, per_batch=3)
+    arrive(spark, tmp_path, 3, [("hot", 0, "/late", 1), ("hot", 1, "/2/000", 1), ("cold", 7, "/cold", 1)])
+    run(spark, tmp_path)
+    found = statuses(spark, tmp_path)
+    assert len(found) == 902
+    assert [f for f in found if f[2] == "new"] == [("/2/299", "hot", "new"), ("/cold", "cold", "new")]
+
+
+def test_state_partitions_follow_the_cores(spark, tmp_path):
+    """Each is opened and committed in every batch, so 200 of them for a few rows are most of the work."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200")
+    try:
+        arrive(spark, tmp_path, 0, [("x", 1, "/1", 5)])
+        steps = run(spark, tmp_path)
+        assert spark.conf.get(name) == "200"
+    finally:
+        spark.conf.set(name, before)
+    for step in steps:
+        assert all(op["numShufflePartitions"] <= spark.sparkContext.defaultParallelism for op in step["stateOperators"])
+
+
+def test_a_hot_new_content_has_one_first_file(spark, tmp_path):
+    """Spread over the files of one batch, repeats included, and known in the next."""
+    for n in range(3):
+        arrive(spark, tmp_path, n, [("hot", 1000 - 300 * n - k, f"/{n}/{k:03}", 1) for k in range(300)] + [("hot", 999, "/0/001", 1)])
+    run(spark, tmp_path, per_batch=3)
+    arrive(spark, tmp_path, 3, [("hot", 0, "/late", 1), ("hot", 1, "/2/000", 1), ("cold", 7, "/cold", 1)])
+    run(spark, tmp_path)
+    found = statuses(spark, tmp_path)
+    assert len(found) == 902
+    assert [f for f in found if f[2] == "new"] == [("/2/299", "hot", "new"), ("/cold", "cold", "new")]
