@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ from dustpan.storage import new_location
 LISTING = ("root_idx int, path string, entry_type string, link_target string, "
            "size bigint, mtime timestamp_ntz, created timestamp_ntz, error string")
 _BATCH = 5000
+# Texts of a tree to be written that a task holds as strings.
+_TOGETHER = 64
 
 
 def _reason(err: OSError) -> str:
@@ -178,25 +181,32 @@ def error_ledger(inventory: DataFrame) -> DataFrame:
     return inventory.where(F.col("error").isNotNull()).select("path", "entry_type", "error")
 
 
+def _writer(target: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            # A few texts at a time become strings; the batch itself is left as it came.
+            for at in range(0, rows.num_rows, _TOGETHER):
+                part = rows.slice(at, _TOGETHER)
+                for path, kind, content in zip(*(part.column(name).to_pylist() for name in ("path", "entry_type", "content")), strict=True):
+                    full = target + path
+                    if kind == "dir":
+                        os.makedirs(full, exist_ok=True)
+                        continue
+                    os.makedirs(os.path.dirname(full), exist_ok=True)
+                    with open(full, "wb") as handle:
+                        handle.write((content or "").encode("utf-8"))
+            yield pa.RecordBatch.from_pydict({"written": pa.array([rows.num_rows], pa.int64())})
+
+    return run
+
+
 def write_tree(entries: DataFrame, target: str) -> DataFrame:
     """Create the files and directories of an inventory below a mounted folder.
 
     ``entries`` needs path, entry_type and, for files, content (string).
     Re-runs overwrite, so a repeated task leaves the same tree.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for path, kind, content in zip(rows["path"], rows["entry_type"], rows["content"]):
-                full = target + path
-                if kind == "dir":
-                    os.makedirs(full, exist_ok=True)
-                    continue
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "wb") as handle:
-                    handle.write((content or "").encode("utf-8"))
-            yield pd.DataFrame({"written": [len(rows)]})
-
-    return entries.select("path", "entry_type", "content").mapInPandas(run, "written bigint")
+    return entries.select("path", "entry_type", "content").mapInArrow(_writer(target), "written bigint")
 
 
 def roots_of(spark: SparkSession, paths: list[str]) -> DataFrame:
