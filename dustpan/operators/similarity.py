@@ -277,6 +277,41 @@ def _angle(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(np.arccos(np.clip(np.einsum("ij,ij->i", x, y), -1.0, 1.0)))
 
 
+# Longs of a vector's sketch, and the chance that a pair at the limit differs in more of its bits than are let pass.
+SKETCH_LONGS, SKETCH_MISS = 4, 1e-9
+
+
+def _sketches(vectors: DataFrame, seed: int = 11) -> DataFrame:
+    """(id, sketch): the sides of random planes, 64 to a long; planes of their own, independent of the keys'."""
+    kind = vectors.schema["id"].dataType.simpleString()
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None  # drawn once per task
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+            if planes is None:
+                planes = np.random.default_rng(seed).standard_normal((x.shape[1], 64 * SKETCH_LONGS))
+            longs = np.packbits(x @ planes > 0, axis=1).view("int64")
+            cuts = pa.array(np.arange(len(x) + 1) * SKETCH_LONGS, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(cuts, longs.reshape(-1))],
+                                             names=["id", "sketch"])
+
+    return vectors.select("id", "features").mapInArrow(sides, f"id {kind}, sketch array<bigint>")
+
+
+def _differing(limit: float) -> int:
+    """Bits in which the sketches of a pair at the limit differ at most, but for a chance of SKETCH_MISS."""
+    bits, p = 64 * SKETCH_LONGS, limit / math.pi
+    tail = 0.0
+    for k in range(bits, 0, -1):
+        tail += math.comb(bits, k) * p**k * (1 - p)**(bits - k)
+        if tail > SKETCH_MISS:
+            return k
+    return 0
+
+
 def _angle_distance(vectors: DataFrame) -> Callable:
     left = vectors.select(F.col("id").alias("a"), F.col("features").alias("fa"))
     right = vectors.select(F.col("id").alias("b"), F.col("features").alias("fb"))
@@ -288,6 +323,24 @@ def _angle_distance(vectors: DataFrame) -> Callable:
     return distance
 
 
+def _sifted(vectors: DataFrame, limit: float, distance: Callable) -> Callable:
+    """``distance`` for pairs whose sketches are near; most pairs wider than ``limit`` are left out.
+
+    So vectors are only fetched for few pairs: a pair is a small row and a
+    vector is not.
+    """
+    sketches = materialize(_sketches(vectors), "sketches")
+    first = sketches.select(F.col("id").alias("a"), *[F.col("sketch")[k].alias(f"a{k}") for k in range(SKETCH_LONGS)])
+    second = sketches.select(F.col("id").alias("b"), *[F.col("sketch")[k].alias(f"b{k}") for k in range(SKETCH_LONGS)])
+    differing = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
+    most = _differing(limit)
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        return distance(pairs.join(first, "a").join(second, "b").where(differing <= most).select("a", "b"))
+
+    return sifted
+
+
 def _plane_keys(vectors: DataFrame, bands: int, bits: int, seed: int = 7) -> DataFrame:
     """(id, key, seeks, owns) from the sides of ``bits`` random planes per band."""
     kind = vectors.schema["id"].dataType.simpleString()
@@ -323,7 +376,8 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95,
     Planes per band grow with the number of vectors, and bands are chosen so
     that a pair at the limit is missed with probability ``miss`` at most.
     Vectors of a bucket that is crowded by unlike ones get longer keys in more
-    bands, again with ``miss``, instead of being paired there.
+    bands, again with ``miss``, instead of being paired there.  Sketches that
+    pairs are sifted by add SKETCH_MISS to it.
     """
     unit = F.transform("vector", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
@@ -341,7 +395,8 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95,
         wanted = bits + level * FINER_BITS
         return keys_of(points.join(ids, "id", "left_semi"), wanted) if wanted <= MOST_BITS else None
 
-    links = _links(materialize(keys_of(points, bits), "keys"), F.col("id") < F.col("id2"), _angle_distance(points), limit, crowd, finer)
+    distance = _sifted(points, limit, _angle_distance(points))
+    links = _links(materialize(keys_of(points, bits), "keys"), F.col("id") < F.col("id2"), distance, limit, crowd, finer)
     families = _families(mapping, links)
     sizes = families.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
     return families.join(sizes, "family").select("id", "family", "members")

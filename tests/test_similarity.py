@@ -1,9 +1,11 @@
 """Families against brute force, with crowded keys forced through leaders."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dustpan.operators import similarity
 
@@ -153,3 +155,21 @@ def test_vector_links_on_given_table_equal_brute_force(spark):
     got = {r["id"]: r["family"] for r in registry.near_duplicate_vectors(spark, folder).collect()}
     found = sum(got.get(a) == got.get(b) == family[a] for a, b in pairs)
     assert found >= 0.999 * len(pairs)
+
+
+def test_few_vectors_are_fetched_for_unlike_pairs(spark):
+    """Pairs are sifted by sketches: none within the limit is lost, and most others go before vectors are joined."""
+    rng = np.random.default_rng(4)
+    middles = rng.standard_normal((400, 32))
+    near = middles + 0.03 * rng.standard_normal((400, 32))
+    x = np.concatenate([middles, near])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    pairs = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 400).alias("b")).unionByName(
+        spark.range(400).selectExpr("id AS a", "400 + (id + 7) % 400 AS b"))
+    limit = math.acos(0.95)
+    found = {(r["a"], r["b"]): r["d"] for r in similarity._sifted(vectors, limit, similarity._angle_distance(vectors))(pairs).collect()}
+    assert all(abs(found[i, i + 400] - math.acos(min(1, float(x[i] @ x[i + 400])))) < 1e-6 for i in range(400))
+    assert len(found) < 420
+    # A pair at the limit itself differs in about a tenth of the bits.
+    assert 0.15 < similarity._differing(limit) / (64 * similarity.SKETCH_LONGS) < 0.3
