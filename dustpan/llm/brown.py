@@ -10,7 +10,8 @@ is exchanged for itself: a round counts the classes to the left and right of
 every such word in all texts, finds its best class against the small matrix of
 class bigrams, and moves half of the words, the other half in the next round.
 Every such word is looked at in every round; it moves if that is ``WORTH`` it.
-Rounds go on while the likelihood rises by ``LEAST_RISE`` of its distance from
+The texts are written once as places of their words,
+and rounds read those.  Rounds go on while the likelihood rises by ``LEAST_RISE`` of its distance from
 that of words without any order; a round that does not raise it is undone.
 Rarer and unseen words have the class of their ending.  The end of a text is a
 class of its own.
@@ -98,15 +99,12 @@ def find(sorted_hashes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.
     """(place, whether it is there) of each hash."""
     if not len(sorted_hashes):
         return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    at = np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)
+    order = np.argsort(hashes)  # neighbours are looked for one after the other, near each other in memory
+    at = np.empty(len(hashes), np.int64)
+    at[order] = np.minimum(np.searchsorted(sorted_hashes, hashes[order]), len(sorted_hashes) - 1)
     return at, sorted_hashes[at] == hashes
 
 
-def units_of(words: Words, top: np.ndarray) -> np.ndarray:
-    at, there = find(top, words.hashes)
-    return np.where(there, at, TOP + endings(words))
-
-
 def steps(values: np.ndarray, bound: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """(before, after) of all steps of all texts; each starts from and leads to ``end``."""
     where = bound[1:]
@@ -116,7 +114,7 @@ def steps(values: np.ndarray, bound: np.ndarray, end: int) -> tuple[np.ndarray,
 
 
 def _add_up(keys: np.ndarray, extra: np.ndarray, counts: np.ndarray):
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, extra, counts = keys[order], extra[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], extra[first], np.add.reduceat(counts, first) if len(keys) else counts
@@ -171,18 +169,52 @@ def _most_frequent(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarra
     return found[order], n[order], ending[order]
 
 
-def unit_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
-    """UNITS x UNITS counts of neighbouring units."""
+def places(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(words) of each text, four bytes a word: its place among the hot words, or -1 - ending of any other."""
     def run(batches):
-        total = np.zeros(UNITS * UNITS, np.int64)
         for block in in_blocks(lambda b: b)(batches):
             words = words_of(block.column("text"))
-            before, after = steps(units_of(words, top), words.bound, UNITS - 1)
+            at, there = find(hot, words.hashes)
+            value = np.where(there, at, -1 - endings(words)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([_binary(value, words.bound)], names=["words"])
+
+    return docs.mapInArrow(run, "words binary")
+
+
+def _binary(values: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """A binary column of numbers; entry i holds those of bound[i]:bound[i + 1]."""
+    offsets = (bound * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _numbers(column: pa.Array, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bound) of such a column."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    bound = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] // np.dtype(kind).itemsize
+    held = np.frombuffer(data, kind, bound[-1]) if bound[-1] else np.zeros(0, kind)
+    return held[bound[0]:], bound - bound[0]
+
+
+def _by_place(of_hot: np.ndarray, of_ending: np.ndarray) -> np.ndarray:
+    """What each number of ``places`` stands for; those of endings are negative and count from the end."""
+    return np.concatenate([of_hot, of_ending[::-1]])
+
+
+def unit_bigrams(texts: DataFrame, units: np.ndarray) -> np.ndarray:
+    """UNITS x UNITS counts of neighbouring units; ``units`` has the unit of each number of the texts (``places``)."""
+    def run(batches):
+        total = np.zeros(UNITS * UNITS, np.int64)
+        for block in in_blocks(lambda b: b, "words")(batches):
+            values, bound = _numbers(block.column("words"))
+            before, after = steps(units[values], bound, UNITS - 1)
             np.add.at(total, before * UNITS + after, 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["pair", "n"])
 
-    rows = docs.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(UNITS * UNITS)
     matrix[np.asarray(rows.column("pair").combine_chunks())] = np.asarray(rows.column("n").combine_chunks())
     return matrix.reshape(UNITS, UNITS)
@@ -237,53 +269,64 @@ def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
 
 
 # Words whose gains are worked out together.
-_CHUNK = 1024
+_CHUNK = 256
+# Contexts a task gathers before it counts equal ones.
+_GATHERED = 3_000_000
+# An entry is a class (less than 1 << 7) and its count in 16 bits; of a higher count it takes several.
+_MOST = 511
 
 
-def context_counts(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(key, n): class bigrams (negative keys) and, per hot word, the classes to its left and right.
+def contexts(texts: DataFrame, classes: Classes) -> DataFrame:
+    """(word, around, n): class bigrams and, per hot word, the classes to its left and right.
 
-    With W = CLASSES + 1 a bigram (a, b) has the key -1 - (a * W + b); the word
-    at place p has p * 2W + a for class a before it, and p * 2W + W + b for b after it.
+    With W = CLASSES + 1 a bigram (a, b) has the word -1 - (a * W + b) and the
+    count n.  Any other row is a word's place with ``around``, entries of
+    at + (count << 7), two bytes each: ``at`` is a for class a before it, and W + b
+    for b after it.  A word has a row for each time a task counts, not one for each class.
     """
     wide = CLASSES + 1
+    of = _by_place(classes.of_hot, classes.of_ending)
+
+    def counted(held):
+        keys = np.concatenate(held)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(np.append(first, len(keys)))
+        keys, times = keys[first], -(-n // _MOST)
+        if len(keys) and times.max() > 1:
+            last = np.cumsum(times) - 1
+            rest = n - (times - 1) * _MOST
+            keys, n = np.repeat(keys, times), np.full(int(times.sum()), _MOST)
+            n[last] = rest
+        word, at = np.divmod(keys, np.int32(2 * wide))
+        cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+        around = _binary((at + (n << 7)).astype(np.uint16), np.append(cuts, len(word)))
+        return pa.RecordBatch.from_arrays([pa.array(word[cuts]), around, pa.nulls(len(cuts), pa.int64())],
+                                          names=["word", "around", "n"])
 
     def run(batches):
         matrix = np.zeros(wide * wide, np.int64)
         held, size = [], 0
-
-        def added():
-            keys, counts = (np.concatenate(p) for p in zip(*held, strict=True))
-            keys, _, counts = _add_up(keys, keys, counts)
-            return keys, counts
-
-        def batch(keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-        for block in in_blocks(lambda b: b)(batches):
-            words = words_of(block.column("text"))
-            own, at, there = classes.of(words)
-            before, after = steps(own, words.bound, wide - 1)
+        for block in in_blocks(lambda b: b, "words")(batches):
+            values, bound = _numbers(block.column("words"))
+            own = of[values]
+            before, after = steps(own, bound, wide - 1)
             matrix += np.bincount(before * wide + after, minlength=wide * wide)
-            text = owner(words.bound)
-            place = np.arange(len(own)) + text  # each text has one step more than words
-            left, right = before[place][there], after[place + 1][there]
-            word = at[there].astype(np.int64) * (2 * wide)
-            keys, counts = np.unique(np.concatenate([word + left, word + wide + right]), return_counts=True)
-            held.append((keys, counts))
-            size += len(keys)
-            if size > _PENDING:
-                held = [added()]
-                size = len(held[0][0])
-                if size > _PENDING // 2:
-                    yield batch(*held[0])
-                    held, size = [], 0
-        if held:
-            yield batch(*added())
+            there = values >= 0
+            place = (np.arange(len(own)) + owner(bound))[there]  # each text has one step more than words
+            word = values[there] * np.int32(2 * wide)
+            held += [word + before[place].astype(np.int32), word + (wide + after[place + 1]).astype(np.int32)]
+            size += 2 * len(word)
+            if size > _GATHERED:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
         seen = np.flatnonzero(matrix)
-        yield batch(-1 - seen, matrix[seen])
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - seen).astype(np.int32)), pa.nulls(len(seen), pa.binary()), pa.array(matrix[seen])],
+                                         names=["word", "around", "n"])
 
-    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word int, around binary, n bigint")
 
 
 def gains(word: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -320,24 +363,38 @@ def gains(word: np.ndarray, at: np.ndarray, n: np.ndarray, own: np.ndarray, tabl
 
 
 def best_classes(counts: DataFrame, of_hot: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, class) of the hot words that gain by a move; a word's counts are two rows of classes at most."""
+    """(place, class) of the hot words that gain by a move.
+
+    The rows of a word come one after the other and are added up as they come,
+    so a task holds the words of one batch, however many rows they have.
+    """
     wide = CLASSES + 1
-    words = counts.where("key >= 0").groupBy(F.expr(f"key div {2 * wide}").alias("word")).agg(
-        F.collect_list(F.struct((F.col("key") % (2 * wide)).alias("at"), "n")).alias("around"))
+
+    def decided(word, around):
+        for start in range(0, len(word), _CHUNK):
+            part, own = around[start:start + _CHUNK], of_hot[word[start:start + _CHUNK]]
+            row, at = np.nonzero(part)
+            gain, rows = gains(row, at, part[row, at], own, table), np.arange(len(part))
+            best = gain.argmax(axis=1)
+            moves = gain[rows, best] > gain[rows, own] + max(WORTH, LEAST_GAIN * (1 + table.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(word[start:start + _CHUNK][moves].astype(np.int64)), pa.array(best[moves])],
+                                             names=["word", "best"])
 
     def run(batches):
+        last, sums = np.zeros(0, np.int32), np.zeros((0, 2 * wide))  # of the word whose rows may go on
         for batch in batches:
-            for start in range(0, batch.num_rows, _CHUNK):
-                part = batch.slice(start, _CHUNK)
-                word, around = np.asarray(part.column("word")), part.column("around")
-                flat = around.flatten()
-                size = np.diff(np.asarray(around.offsets))
-                own, rows = of_hot[word], np.arange(len(word))
-                gain = gains(np.repeat(rows, size), np.asarray(flat.field("at")), np.asarray(flat.field("n")).astype(float), own, table)
-                best = gain.argmax(axis=1)
-                moves = gain[rows, best] > gain[rows, own] + max(WORTH, LEAST_GAIN * (1 + table.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(word[moves]), pa.array(best[moves])], names=["word", "best"])
-
+            if not batch.num_rows:
+                continue
+            entries, bound = _numbers(batch.column("around"), np.uint16)
+            word, row = np.unique(np.concatenate([last, np.asarray(batch.column("word"))]), return_inverse=True)
+            around = np.zeros((len(word), 2 * wide))
+            around[:len(last)] = sums
+            np.add.at(around, (np.repeat(row[len(last):], np.diff(bound)), entries & 127), entries >> 7)
+            yield from decided(word[:-1], around[:-1])
+            last, sums = word[-1:], around[-1:].copy()
+        yield from decided(last, sums)
+
+    words = counts.where("word >= 0").select("word", "around").repartition("word").sortWithinPartitions("word")
     rows = words.mapInArrow(run, "word bigint, best bigint").toArrow()  # at most HOT rows
     return tuple(np.asarray(rows.column(k).combine_chunks()) for k in ("word", "best"))
 
@@ -347,15 +404,15 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
 
-def refine(docs: DataFrame, classes: Classes) -> tuple[Classes, np.ndarray]:
-    """Classes after all rounds of exchange, and the matrix of their bigrams."""
+def refine(texts: DataFrame, classes: Classes) -> tuple[Classes, np.ndarray]:
+    """Classes after all rounds of exchange over the texts (``places``), and the matrix of their bigrams."""
     wide, round_, kept, kept_table = CLASSES + 1, 0, classes, None
     half = (mix(classes.hot) & np.uint64(1)).astype(np.int64)
     while True:
-        counts = materialize(context_counts(docs, classes), "contexts")
+        counts = materialize(contexts(texts, classes), "contexts")
         table = np.zeros(wide * wide)
-        for r in counts.where("key < 0").collect():  # CLASSES + 1 squared
-            table[-1 - r["key"]] = r["n"]
+        for r in counts.where("word < 0").groupBy("word").agg(F.sum("n").alias("n")).collect():  # CLASSES + 1 squared
+            table[-1 - r["word"]] = r["n"]
         table = table.reshape(wide, wide)
         if kept_table is not None:
             rise = likelihood(table) - likelihood(kept_table)
@@ -380,11 +437,13 @@ def train(docs: DataFrame, counts: DataFrame, mixed: float = MIXED) -> Model:
     inner = counts.where("ending >= 0")
     hot, hot_n, hot_ending = _most_frequent(inner, HOT)
     top = np.sort(hot[np.lexsort((hot.view(np.int64), -hot_n))[:TOP]])
-    bigrams = unit_bigrams(docs, top)
+    texts = materialize(places(docs, hot), "places")
+    at, there = find(top, hot)
+    unit = np.where(there, at, TOP + hot_ending)
+    bigrams = unit_bigrams(texts, _by_place(unit, np.arange(TOP, UNITS - 1)))
     units = exchange(bigrams, CLASSES)
     of_ending = units[TOP:UNITS - 1]
-    at, there = find(top, hot)
-    classes, table = refine(docs, Classes(hot, np.where(there, units[np.minimum(at, UNITS - 1)], of_ending[hot_ending]), of_ending))
+    classes, table = refine(texts, Classes(hot, units[unit], of_ending))
     # Tokens and distinct words of each class.
     wide = CLASSES + 1
     n, v = (np.bincount(classes.of_hot, w, minlength=wide).astype(float) for w in (hot_n, np.ones(len(hot))))

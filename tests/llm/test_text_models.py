@@ -1,6 +1,7 @@
 """Scores: toxicity, quality, language model."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -230,3 +231,43 @@ def test_brown_scores_equal_plain_version(spark, sf_dir):
 def test_brown_takes_odd_rows(odd, empty):
     assert brown.scores(odd).count() == odd.count()
     assert brown.scores(empty).count() == 0
+
+
+class Task:
+    """Takes the function of a ``mapInArrow`` to run it here."""
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+
+def test_brown_round_has_a_row_per_word_in_bounded_memory():
+    """Two million words, one of them beside itself more often than an entry can count, in a round of exchange."""
+    rng = np.random.default_rng(3)
+    texts = [np.minimum(rng.zipf(1.2, 5_000) - 1, 20_000).astype(np.int32) for _ in range(400)]
+    texts += [np.zeros(3_000, np.int32), np.array([-1, 5, -3], np.int32), np.zeros(0, np.int32)]
+    own = rng.integers(0, brown.CLASSES, 20_001)
+    classes = brown.Classes(np.arange(20_001, dtype=np.uint64), own, rng.integers(0, brown.CLASSES, brown.ENDINGS))
+    given = [pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], names=["words"])]
+    task, wide = Task(), brown.CLASSES + 1
+    brown.contexts(task, classes)
+    tracemalloc.start()
+    rows = list(task.run(iter(given)))
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert sum(r.num_rows for r in rows) < 2 * 20_001 + wide * wide
+    got, table = np.zeros((20_001, 2 * wide)), np.zeros(wide * wide)
+    for r in rows:
+        for word, around, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
+            if word < 0:
+                table[-1 - word] += n
+            else:
+                entries = np.frombuffer(around, np.uint16)
+                np.add.at(got[word], entries & 127, entries >> 7)
+    want, steps = np.zeros_like(got), np.zeros(wide * wide)
+    for t in texts:
+        line = np.concatenate([[wide - 1], np.where(t >= 0, own[t], classes.of_ending[-1 - np.minimum(t, -1)]), [wide - 1]])
+        np.add.at(steps, line[:-1] * wide + line[1:], 1)
+        for word, before, after in ((t, line[:-2], 0), (t, line[2:], wide)):
+            np.add.at(want, (word[word >= 0], before[word >= 0] + after), 1)
+    assert (got == want).all() and (table == steps).all()
