@@ -23,7 +23,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,8 @@ from dustpan.storage import materialize, spread
 # Keys with more members than this are first linked through leaders.
 CROWDED = 512
 _ROUNDS = 3
+# So many ids are sent to all tasks, rather than the rows they pick being shuffled.
+_FEW = 1_000_000
 
 
 def _fingerprint(links: DataFrame):
@@ -74,10 +77,23 @@ def _with_families(keys: DataFrame, families: DataFrame | None) -> DataFrame:
     return keys.join(families, "id", "left").withColumn("label", F.coalesce("family", "id")).drop("family")
 
 
-def _leader_links(keys: DataFrame, distance: Callable, limit: float, crowded: DataFrame) -> DataFrame | None:
-    """Verified (a, b) links of members of crowded keys to their leaders."""
+def _met(keys: DataFrame) -> DataFrame:
+    """Keys that can make a pair, with their number of rows, ``together``; a key has one row of an id at most."""
+    own = Window.partitionBy("key")
+    counted = keys.withColumn("together", F.count("*").over(own)).withColumn("seekers", F.count_if("seeks").over(own)) \
+                  .withColumn("owners", F.count_if("owns").over(own))
+    return materialize(counted.where("together > 1 AND seekers > 0 AND owners > 0").drop("seekers", "owners"), "keys")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Distinct written ``ids``, marked for all tasks if they are few."""
+    ids = materialize(ids.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= _FEW else ids
+
+
+def _leader_links(members: DataFrame, distance: Callable, limit: float) -> DataFrame | None:
+    """Verified (a, b) links of members (id, key) of crowded keys to their leaders."""
     links = None
-    members = materialize(keys.select("id", "key").join(crowded, "key", "left_semi"), "members")
     for step in range(_ROUNDS):
         rows = materialize(_labelled(members, links), "labelled")
         draw = F.xxhash64("id", F.lit(step))
@@ -121,7 +137,7 @@ def _cross_pairs(rows: DataFrame, fits: Column) -> DataFrame:
     seeking, owning = tagged.where("seeks"), _second(tagged.where("owns"))
     with_minors = seeking.join(owning.where("minor2"), meet)
     with_majors = seeking.where("minor").join(owning.where("NOT minor2"), meet)
-    return with_minors.select(*_pair()).unionByName(with_majors.select(*_pair())).distinct()
+    return with_minors.select(*_pair()).unionByName(with_majors.select(*_pair()))
 
 
 def _links(keys: DataFrame, fits: Column, distance: Callable, limit: float, crowd: int,
@@ -132,35 +148,42 @@ def _links(keys: DataFrame, fits: Column, distance: Callable, limit: float, crow
     row's columns end in 2).  ``finer(ids, level)``, if given, has longer keys
     for ids whose key stays crowded by rows outside its largest family, or None.
     """
-    crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("n"))
-                          .where(F.col("n") > crowd).select("key"), "crowded")
+    keys = _met(keys)
+    seeking, owning = keys.where("seeks"), _second(keys.where("owns"))
+    crowded = keys.where(F.col("together") > crowd)
     if crowded.isEmpty():
-        pairs = (keys.where("seeks").join(_second(keys.where("owns")), (F.col("key") == F.col("key2")) & fits)
-                 .select(*_pair()).distinct())
+        pairs = seeking.join(owning, (F.col("key") == F.col("key2")) & fits).select(*_pair()).distinct()
         return distance(pairs).where(F.col("d") <= limit).select("a", "b")
-    known = _leader_links(keys, distance, limit, crowded)
+    known = _leader_links(materialize(crowded.select("id", "key"), "members"), distance, limit)
     families = None if known is None else connected_components(known)
     rows = materialize(_with_families(keys, families), "labelled")
+    few, many = rows.where(F.col("together") <= crowd), rows.where(F.col("together") > crowd)
     level = 1
     while finer:
-        stubborn = materialize(_largest(rows).where(F.col("others") > crowd).select("key"), "stubborn")
+        stubborn = materialize(_largest(many).where(F.col("others") > crowd).select("key"), "stubborn")
         longer = None if stubborn.isEmpty() else finer(
-            rows.join(stubborn, "key", "left_semi").select("id").distinct(), level)
+            many.join(stubborn, "key", "left_semi").select("id").distinct(), level)
         if longer is None:
             break
-        rest = rows.join(stubborn, "key", "left_anti")
-        rows = materialize(rest.unionByName(_with_families(longer, families)), "labelled")
+        rest = many.join(stubborn, "key", "left_anti")
+        many = materialize(rest.unionByName(_with_families(_met(longer), families)), "labelled")
         level += 1
-    found = distance(_cross_pairs(rows, fits)).where(F.col("d") <= limit).select("a", "b")
+    # Rows of a small key all meet; only a crowded one is worth knowing the largest family of.
+    meet = (F.col("key") == F.col("key2")) & (F.col("label") != F.col("label2")) & fits
+    pairs = few.where("seeks").join(_second(few.where("owns")), meet).select(*_pair()).unionByName(_cross_pairs(many, fits)).distinct()
+    found = distance(pairs).where(F.col("d") <= limit).select("a", "b")
     return found if known is None else found.unionByName(known)
 
 
 def _representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of the first id per ``key``, and (id, rep) for all ids."""
+    """Written ``rows`` of the first id per ``key``, and (id, rep) for all ids.
+
+    They are read as ``rows`` without the copies, and not written again.
+    """
     first = rows.groupBy("key").agg(F.min("id").alias("rep"))
     mapping = materialize(rows.select("id", "key").join(first, "key").select("id", "rep"), "reps")
-    chosen = rows.join(mapping.where("id = rep").select("id"), "id", "left_semi").drop("key")
-    return materialize(chosen, "chosen"), mapping
+    copies = mapping.groupBy("id").agg(F.max(F.col("id") == F.col("rep")).alias("first")).where("NOT first").select("id")
+    return rows.where("id IS NOT NULL").join(_few(copies), "id", "left_anti").drop("key"), mapping
 
 
 def _families(mapping: DataFrame, links: DataFrame) -> DataFrame:
@@ -203,6 +226,52 @@ def _jaccard_distance(sets: DataFrame) -> Callable:
     return distance
 
 
+# Longs of a set's sketch.
+SET_LONGS = 32
+
+
+def _set_sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, sketch): a bit per class of hashes, whether an odd number of the set's features is in it."""
+    kind, bits = sets.schema["id"].dataType.simpleString(), 64 * SET_LONGS
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sizes = np.asarray(pc.list_value_length(part.column("features")))
+                kinds = np.asarray(part.column("features").flatten()) & (bits - 1)
+                at = np.repeat(np.arange(len(sizes)), sizes) * bits + kinds
+                odd = (np.bincount(at, minlength=len(sizes) * bits) & 1).astype(np.uint8).reshape(len(sizes), bits)
+                cuts = pa.array(np.arange(len(sizes) + 1) * SET_LONGS, pa.int32())
+                longs = np.packbits(odd, axis=1).view("int64").reshape(-1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(cuts, longs)],
+                                                 names=["id", "n", "sketch"])
+
+    return sets.select("id", "features").mapInArrow(sketched, f"id {kind}, n bigint, sketch array<bigint>")
+
+
+def _sifted_jaccard(sets: DataFrame, threshold: float) -> Callable:
+    """Distance of the pairs whose sketches do not rule them out; features are only fetched for those.
+
+    Where sketches differ in a bit the sets differ in a feature, and sets that
+    are alike differ in (1 - t) / (1 + t) of their features at most, so no alike
+    pair is lost.
+    """
+    sketches = materialize(_set_sketches(sets), "sketches")
+    differing = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(SET_LONGS)), F.lit(0))
+    most = (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+    def distance(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        of = lambda some: some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id")))
+        held = sketches.join(_few(of(pairs)), "id", "left_semi")
+        first, second = (held.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab")
+        near = materialize(pairs.join(first, "a").join(second, "b").where(differing <= most).select("a", "b").distinct(), "sifted")
+        return _jaccard_distance(sets.join(_few(of(near)), "id", "left_semi"))(near)
+
+    return distance
+
+
 def _size_class(n: Column) -> Column:
     """Classes of set sizes: exact up to 8, then a quarter wider each."""
     wide = F.floor(F.log(n / 8.0) / math.log(1.25)) + 8
@@ -221,8 +290,9 @@ def _prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
     """
     exploded = sets.select("id", F.size("features").alias("n"), F.explode("features").alias("s"))
     # Features of a single set cannot be shared; they only use up prefix places.
-    common = exploded.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = (exploded.join(common, "s").groupBy("id", "n")
+    # Counted beside the rows, which are shuffled once for it; a feature has a narrow row per set, of hundreds that a set has.
+    common = exploded.withColumn("df", F.count("*").over(Window.partitionBy("s"))).where("df > 1")
+    ranked = (common.groupBy("id", "n")
               .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared")))
     # The small slack keeps rounding from shortening a prefix.
     places = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
@@ -257,8 +327,7 @@ def near_duplicates(files: DataFrame, threshold: float = 0.4, words: int = 3,
     rows = materialize(with_shingles(texts, words).withColumn("key", _set_key()), "features")
     keyed = rows.where(F.size("features") > 0).select("id", "features", "key")
     sets, mapping = _representatives(keyed)
-    keys = materialize(_prefix_keys(sets, threshold), "keys")
-    links = _links(keys, _can_be_alike(), _jaccard_distance(sets), 1 - threshold, crowd)
+    links = _links(_prefix_keys(sets, threshold), _can_be_alike(), _sifted_jaccard(sets, threshold), 1 - threshold, crowd)
     member = rows.select("id", "path", "hash").join(_families(mapping, links), "id")
     # Contents per family: copies of one content are counted before they meet.
     contents = member.groupBy("family", "hash").agg(F.count("*").alias("n"))
@@ -396,7 +465,7 @@ def near_duplicate_vectors(vectors: DataFrame, min_cosine: float = 0.95,
         return keys_of(points.join(ids, "id", "left_semi"), wanted) if wanted <= MOST_BITS else None
 
     distance = _sifted(points, limit, _angle_distance(points))
-    links = _links(materialize(keys_of(points, bits), "keys"), F.col("id") < F.col("id2"), distance, limit, crowd, finer)
+    links = _links(keys_of(points, bits), F.col("id") < F.col("id2"), distance, limit, crowd, finer)
     families = _families(mapping, links)
     sizes = families.groupBy("family").agg(F.count("*").alias("members")).where("members > 1")
     return families.join(sizes, "family").select("id", "family", "members")

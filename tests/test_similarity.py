@@ -173,3 +173,51 @@ def test_few_vectors_are_fetched_for_unlike_pairs(spark):
     assert len(found) < 420
     # A pair at the limit itself differs in about a tenth of the bits.
     assert 0.15 < similarity._differing(limit) / (64 * similarity.SKETCH_LONGS) < 0.3
+
+
+def test_sketches_lose_no_alike_sets(spark, monkeypatch):
+    """Sets at every likeness: those alike all come through, features are fetched for few others, whatever the sizes."""
+    rng, rows, pairs = random.Random(6), [], []
+    for n in [1, 2, 7, 40, 300, 900] * 15:
+        x = [rng.getrandbits(63) for _ in range(n)]
+        same = rng.randint(0, n)
+        y = x[:same] + [rng.getrandbits(63) for _ in range(rng.randint(0 if same else 1, n))]
+        rows += [(len(rows), x), (len(rows) + 1, y)]
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    far = [(a, (b + 2 * k) % len(rows)) for a, b in pairs if len(rows[a][1]) > 100 for k in (6, 12, 18)]
+    alike = {}
+    for a, b in pairs + far:
+        x, y = set(rows[a][1]), set(rows[b][1])
+        alike[a, b] = len(x & y) / len(x | y)
+    sets = spark.createDataFrame(rows, "id long, features array<long>")
+    formed = counted(monkeypatch, "_jaccard_distance")
+    found = similarity._sifted_jaccard(sets, 0.4)(spark.createDataFrame(pairs + far, "a long, b long"))
+    got = {(r["a"], r["b"]): 1 - r["d"] for r in found.collect()}
+    assert {p for p, j in alike.items() if j >= 0.4} <= set(got)
+    assert all(math.isclose(j, alike[p], abs_tol=1e-9) for p, j in got.items())
+    assert formed[0] < len(pairs) + 5
+
+
+def test_keys_without_partner_are_dropped(spark):
+    """Of prefix keys only those are written in which one set seeks and another owns."""
+    rows = [(1, 7, True, True), (2, 7, True, False), (3, 8, True, True), (4, 9, True, False), (5, 9, True, False), (6, 10, False, True)]
+    keys = similarity._met(spark.createDataFrame(rows, "id long, key long, seeks boolean, owns boolean"))
+    assert sorted(tuple(r) for r in keys.collect()) == [(1, 7, True, True, 2), (2, 7, True, False, 2)]
+
+
+def test_features_are_written_and_shuffled_once(spark, monkeypatch):
+    """The features of 400 unlike texts are written as one table, and ids pick what is fetched."""
+    written, real = [], similarity.materialize
+
+    def noted(df, name="table"):
+        out = real(df, name)
+        written.append((name, "features" in out.columns))
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", noted)
+    rng = random.Random(5)
+    docs = [" ".join(str(rng.randrange(9_000)) for _ in range(60)) for _ in range(400)]
+    docs.append(docs[0] + " more")
+    df = spark.createDataFrame([(i, f"/{i}", d, d) for i, d in enumerate(docs)], "ord bigint, path string, hash string, text string")
+    assert {r["path"] for r in similarity.near_duplicates(df, 0.4).collect()} == {"/0", "/400"}
+    assert [name for name, has in written if has] == ["features"]
