@@ -253,6 +253,9 @@ def _set_sketches(sets: DataFrame) -> DataFrame:
 def _sifted_jaccard(sets: DataFrame, threshold: float) -> Callable:
     """Distance of the pairs whose sketches do not rule them out; features are only fetched for those.
 
+    One pair of each set comes first, and pairs of sets that these links join
+    already are left out then: the pairs of a family are quadratic.
+
     Where sketches differ in a bit the sets differ in a feature, and sets that
     are alike differ in (1 - t) / (1 + t) of their features at most, so no alike
     pair is lost.
@@ -267,7 +270,13 @@ def _sifted_jaccard(sets: DataFrame, threshold: float) -> Callable:
         held = sketches.join(_few(of(pairs)), "id", "left_semi")
         first, second = (held.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x)) for x in "ab")
         near = materialize(pairs.join(first, "a").join(second, "b").where(differing <= most).select("a", "b").distinct(), "sifted")
-        return _jaccard_distance(sets.join(_few(of(near)), "id", "left_semi"))(near)
+        exact = lambda some: _jaccard_distance(sets.join(_few(of(some)), "id", "left_semi"))(some)
+        ahead = materialize(exact(materialize(near.groupBy("b").agg(F.min("a").alias("a")), "ahead")), "distances")
+        families = connected_components(ahead.where(F.col("d") <= 1 - threshold).select("a", "b"))
+        at_a, at_b = (families.select(F.col("id").alias(x), F.col("family").alias("f" + x)) for x in "ab")
+        open_ = near.join(at_a, "a", "left").join(at_b, "b", "left").where(
+            F.coalesce("fa", "a") != F.coalesce("fb", "b")).select("a", "b").join(ahead, ["a", "b"], "left_anti")
+        return ahead.unionByName(exact(materialize(open_, "open")))
 
     return distance
 
