@@ -42,13 +42,22 @@ LEAST, SHORT, LEAST_SHORT = 3, 5, 10
 LEVELS = tuple(3 * 4 ** k for k in range(16))
 FIELD = "<*>"
 # Units of a line are numbered below this.
-_LINE = 1 << 24
+_LINE_BITS = 24
+_LINE = 1 << _LINE_BITS
 # Short units so near to a dropped one on both sides go with it.
 _NEAR = 3
 _BINS, _HEAVY = 16, 1000
 
 _WHITE = r"[\x20\x09-\x0D]+"
-_SENTENCE = r"(?<=[.!?])(?=\x20)"
+# A word with a digit; tried at the beginnings of words only.
+_DIGITS = r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+"
+
+
+def _sentences(line: Column) -> Column:
+    """Sentences of a line; a line break marks where they end, as plain replacing and splitting are quicker than expressions."""
+    for end in ".!?":
+        line = F.replace(line, F.lit(f"{end} "), F.lit(f"{end}\n "))
+    return F.split(line, "\n")
 
 
 def _plain(unit: Column) -> Column:
@@ -56,16 +65,21 @@ def _plain(unit: Column) -> Column:
     return F.trim(F.when(unit.rlike(r"[\x09-\x0D]"), F.regexp_replace(unit, _WHITE, " ")).otherwise(unit))
 
 
-def _words(plain: Column) -> Column:
-    """Words of a plain unit; one empty word if it has none."""
-    return F.when(plain.contains("  "), F.filter(F.split(plain, " "), lambda w: w != "")).otherwise(F.split(plain, " "))
+def _squeezed(plain: Column) -> Column:
+    """A plain unit with one space between words."""
+    return F.when(plain.contains("  "), F.regexp_replace(plain, "  +", " ")).otherwise(plain)
+
+
+def _n_words(squeezed: Column) -> Column:
+    """Words of a squeezed unit; 1 if it has none."""
+    return F.octet_length(squeezed) - F.octet_length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1
 
 
-def _masked(words: Column, unit: Column) -> Column:
-    """Words with a digit as fields, unless they are more than half."""
-    masked = F.transform(words, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
-    fields = F.size(F.filter(words, lambda w: w.rlike("[0-9]")))
-    return F.when(unit.rlike("[0-9]") & (fields * 2 <= F.size(words)), masked).otherwise(words)
+def _masked(squeezed: Column, n: Column) -> Column:
+    """A squeezed unit with fields for words with a digit, unless they are more than half of its ``n`` words."""
+    fields = F.regexp_count(squeezed, F.lit(_DIGITS))
+    masked = F.when(fields * 2 <= n, F.regexp_replace(squeezed, _DIGITS, FIELD)).otherwise(squeezed)
+    return F.when(squeezed.rlike("[0-9]"), masked).otherwise(squeezed)
 
 
 def _lead(n: Column) -> Column:
@@ -77,20 +91,28 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t"), F.hash(text).alias("t2")]
 
 
-def _sketch(hashes: str) -> list[Column]:
-    """Two longs, a byte per class of hashes (their first four bits): of the class's least hash, 0 if it has none.
+def _hashes(text: Column) -> Column:
+    """Sorted hashes of a text's words, and before the hashes of each class (their first four bits) its lower bound."""
+    bounds = F.array(*[F.lit(k << 60) for k in range(-_BINS // 2, _BINS // 2)])
+    return F.sort_array(F.concat(F.transform(F.split(text, " "), lambda w: F.xxhash64(w)), bounds))
+
+
+def _least(hashes: str) -> Column:
+    """What follows each class's lower bound in ``_hashes``: its least hash, or the next bound, or null."""
+    return F.array(*[F.get(hashes, F.array_position(hashes, F.lit(k << 60)).cast("int")) for k in range(-_BINS // 2, _BINS // 2)])
 
-    ``hashes`` is sorted, so a class's least hash stands where the class changes.
-    """
-    kind = lambda x: F.shiftright(x, 60)
-    least = F.filter(hashes, lambda x, i: (i == 0) | (kind(x) != kind(F.get(hashes, i - 1))))
+
+def _sketch(least: str) -> list[Column]:
+    """Two longs, a byte per class: of the class's least hash, 0 if it has none."""
+    half = _BINS // 2
+    in_class = lambda x, i: F.shiftright(x, 60) == i - half
+    byte = F.transform(least, lambda x, i: F.when(in_class(x, i), x.bitwiseAND(255)).otherwise(F.lit(0).cast("bigint")))
 
     def packed_bytes(first: int) -> Column:
-        place = lambda x: (kind(x) - first).cast("int")
-        return F.aggregate(least, F.lit(0).cast("bigint"), lambda sum_, x: F.when(
-            (place(x) >= 0) & (place(x) < _BINS // 2), sum_.bitwiseOR(F.call_function("shiftleft", x.bitwiseAND(255), place(x) * 8))).otherwise(sum_))
+        last_first = F.reverse(F.slice(byte, first + 1, half))
+        return F.aggregate(last_first, F.lit(0).cast("bigint"), lambda sum_, x: F.shiftleft(sum_, 8).bitwiseOR(x))
 
-    return [packed_bytes(-_BINS // 2).alias("s1"), packed_bytes(0).alias("s2")]
+    return [packed_bytes(0).alias("s1"), packed_bytes(half).alias("s2")]
 
 
 def _alike(one: str, other: str) -> Column:
@@ -103,40 +125,57 @@ def _alike(one: str, other: str) -> Column:
     return same > _BINS // 2
 
 
-def units(docs: DataFrame, text: str = "text", places: str | None = None) -> DataFrame:
-    """(t, t2, s1, s2, place, n, w, edge) of all units that have words, or of those whose place is in ``places``.
+def _parts(texts: DataFrame, columns: list[str], places: str | None = None) -> DataFrame:
+    """``columns`` with (place, edge, odd, part) of all units of ``text``, or of those whose place is in ``places``.
 
-    t and t2 name the whole text, s1 and s2 are its sketch, w its masked words;
-    ``edge`` says whether the unit begins or ends its line.
+    ``edge`` says whether the unit begins or ends its line, ``odd`` whether the
+    line has white space other than spaces, or digits.
     """
-    wanted = F.col(places) if places else F.lit(None)
-    whole = docs.select(F.col(text).alias("text"), wanted.alias("wanted")).where("text <> ''")
-    # Of each text once, before its lines are exploded.
-    hashed = whole.select("text", "wanted", F.sort_array(F.transform(F.split("text", " "), lambda w: F.xxhash64(w))).alias("h"))
-    named = hashed.select(*_text_key(F.col("text")), *_sketch("h"), "wanted", F.split("text", "\n").alias("lines"))
+    hit = F.array_distinct(F.transform(places, lambda p: F.shiftright(p, _LINE_BITS).cast("int"))) if places else F.lit(None)
     # Outer, as otherwise the optimizer tests for empty arrays, and splits twice for that; there are none.
-    lines = named.select("t", "t2", "s1", "s2", "wanted", F.posexplode_outer("lines").alias("line", "content"))
-    lines = lines.select("t", "t2", "s1", "s2", "wanted", "line", F.split("content", _SENTENCE).alias("parts"))
-    # Told in the array: its size, asked for later, would carry the whole array along with each of its parts.
-    told = F.transform("parts", lambda part, i: F.struct(part.alias("part"), ((i == 0) | (i == F.size("parts") - 1)).alias("edge")))
-    lines = lines.select("t", "t2", "s1", "s2", "wanted", "line", told.alias("told"))
-    parts = lines.select("t", "t2", "s1", "s2", "wanted", "line", F.posexplode_outer("told").alias("unit", "u"))
-    parts = parts.where(F.col("u.part").rlike(r"[^\x20\x09-\x0D]")).select(
-        "t", "t2", "s1", "s2", "wanted", (F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")).alias("place"), "u.edge", "u.part")
+    lines = texts.select(*columns, hit.alias("hit"), F.split("text", "\n").alias("lines")).select(
+        *columns, "hit", F.posexplode_outer("lines").alias("line", "content"))
+    if places:
+        lines = lines.where(F.array_contains("hit", F.col("line")))
+    odd = F.col("content").rlike(r"[\x09-\x0D0-9]")
+    cut = lines.select(*columns, "line", odd.alias("odd"), _sentences(F.col("content")).alias("parts"))
+    # The size by itself, as otherwise the whole array would be carried along with each of its parts.
+    told = cut.select(*columns, "line", "odd", F.size("parts").alias("n_parts"), "parts")
+    parts = told.select(*columns, "line", "odd", "n_parts", F.posexplode_outer("parts").alias("unit", "part"))
+    place = F.col("line") * F.lit(_LINE).cast("bigint") + F.col("unit")
     if places:
-        parts = parts.where(F.array_contains("wanted", F.col("place")))
-    plain = parts.select("t", "t2", "s1", "s2", "place", "edge", _plain(F.col("part")).alias("part"))
-    cut = plain.select("t", "t2", "s1", "s2", "place", "edge", "part", _words(F.col("part")).alias("raw"))
-    cut = cut.select("t", "t2", "s1", "s2", "place", "edge", _masked(F.col("raw"), F.col("part")).alias("w"))
-    return cut.select("t", "t2", "s1", "s2", "place", F.size("w").alias("n"), "w", "edge")
+        parts = parts.where(F.array_contains(places, place))
+    edge = (F.col("unit") == 0) | (F.col("unit") == F.col("n_parts") - 1)
+    return parts.select(*columns, place.alias("place"), edge.alias("edge"), "odd", "part")
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Units with their leaf, their template without other fields (``key``) and the documents it ``needs``."""
-    key = F.xxhash64("n", "w")
-    leaf = F.when(F.col("n") >= SHORT, F.xxhash64(F.lit("leaf"), "n", F.slice("w", F.lit(1), _lead(F.col("n"))))).otherwise(key)
-    needs = F.when(F.col("n") >= SHORT, LEAST).when(F.col("edge"), LEAST_SHORT)
-    return rows.select("t", "t2", "s1", "s2", "place", "n", key.alias("key"), leaf.alias("leaf"), needs.alias("needs"))
+def units(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(t, t2, s1, s2, place, key, leaf, needs) of all units that may be dropped, and of some that have no ``needs``.
+
+    t and t2 name the whole text, s1 and s2 are its sketch; ``key`` is the
+    template without other fields than those with digits, and ``needs`` the
+    documents it must recur in.  A unit stays one string here: its words are
+    counted and cut off, never made an array, as that is most of the work.
+    """
+    whole = docs.select(F.col(text).alias("text")).where("text <> ''")
+    # Of each text once, before its lines are exploded.
+    hashed = whole.select("text", _hashes(F.col("text")).alias("h"))
+    named = hashed.select("text", _least("h").alias("least")).select(
+        "text", *_text_key(F.col("text")), *_sketch("least"))
+    # Most that are too short, told without their words; the others have no ``needs``.
+    spaced = F.octet_length(F.substring_index("part", " ", SHORT - 1)) < F.octet_length("part")
+    parts = _parts(named, ["t", "t2", "s1", "s2"]).where(F.col("edge") | F.col("odd") | spaced)
+    squeezed = _squeezed(F.when(F.col("odd"), _plain(F.col("part"))).otherwise(F.trim("part")))
+    own = ["t", "t2", "s1", "s2", "place", "edge"]
+    plain = parts.select(*own, "odd", squeezed.alias("plain"))
+    counted = plain.select(*own, "odd", "plain", _n_words(F.col("plain")).alias("n"))
+    masked = F.when(F.col("odd"), _masked(F.col("plain"), F.col("n"))).otherwise(F.col("plain"))
+    masked = counted.select(*own, "n", "plain", masked.alias("w"))
+    lead = F.call_function("substring_index", F.col("w"), F.lit(" "), _lead(F.col("n")))
+    key = F.xxhash64("w")
+    leaf = F.when(F.col("n") >= SHORT, F.xxhash64(F.lit("leaf"), "n", lead)).otherwise(key)
+    needs = F.when(F.col("n") >= SHORT, LEAST).when(F.col("edge") & (F.col("plain") != ""), LEAST_SHORT)
+    return masked.select("t", "t2", "s1", "s2", "place", key.alias("key"), leaf.alias("leaf"), needs.alias("needs"))
 
 
 def _joined(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
@@ -171,15 +210,18 @@ def recurring(rows: DataFrame) -> DataFrame:
 
 
 def _with_fields(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
-    """(t, t2, s1, s2, place, key, needs): templates with variable fields of the units ``rows`` (t, t2, place)."""
-    wanted = materialize(rows.groupBy("t", "t2").agg(F.collect_set("place").alias("places")), "suspects").select(
-        F.col("t").alias("u"), F.col("t2").alias("u2"), "places")
+    """(t, t2, s1, s2, place, key, needs): templates with variable fields of the units ``rows`` (t, t2, s1, s2, place)."""
+    own = ["t", "t2", "s1", "s2"]
+    wanted = materialize(rows.groupBy("t", "t2").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"),
+                                                     F.collect_set("place").alias("places")), "suspects")
     first, second = _text_key(F.col("text"))
     texts = docs.select(F.col(text).alias("text")).where("text <> ''").join(
-        wanted, (first == F.col("u")) & (second == F.col("u2"))).select("text", "places")
+        wanted.hint("shuffle_hash"), (first == F.col("t")) & (second == F.col("t2"))).select(*own, "places", "text")
     lead = _lead(F.col("n"))
-    found = units(texts, "text", "places").select(
-        "t", "t2", "s1", "s2", "place", "n", lead.alias("lead"),
+    plain = _parts(texts, [*own, "places"], "places").select(*own, "place", _squeezed(_plain(F.col("part"))).alias("plain"))
+    words = plain.select(*own, "place", F.split(_masked(F.col("plain"), _n_words(F.col("plain"))), " ").alias("w"))
+    found = words.select(*own, "place", F.size("w").alias("n"), "w").select(
+        *own, "place", "n", lead.alias("lead"),
         F.xxhash64("n", F.slice("w", F.lit(1), lead)).alias("leaf"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     # A text's units once, however many rows have it.
     found = materialize(found.dropDuplicates(["t", "place"]), "words")
@@ -201,7 +243,7 @@ def _with_fields(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
 def dropped_places(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t, t2, places): units to drop, for texts that have any."""
     # Filtered when read: a filter before it would work out all words twice.
-    rows = materialize(_keyed(units(docs, text)), "units").where("needs IS NOT NULL")
+    rows = materialize(units(docs, text), "units").where("needs IS NOT NULL")
     total = rows.count()
     both = rows.groupBy("leaf").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("n_rows"))
     leaves = materialize(both.where("a < b").select("leaf", "n_rows"), "leaves")
@@ -209,10 +251,10 @@ def dropped_places(docs: DataFrame, text: str = "text") -> DataFrame:
     gone = materialize(recurring(shared.select("key", "needs", "t", "s1", "s2")), "gone")
     found = materialize(_joined(shared, gone, "key", total).select("t", "t2", "place", "key"), "found")
     # What is left, in leaves that still hold units enough for a template.
-    open_units = materialize(_without_keys(shared.where(F.col("n") >= SHORT), gone, total).select("t", "t2", "place", "leaf"), "open")
+    open_units = materialize(_without_keys(shared.where(F.col("needs") == LEAST), gone, total).select("t", "t2", "s1", "s2", "place", "leaf"), "open")
     full = materialize(open_units.groupBy("leaf").agg(F.count("*").alias("n_rows"), F.min("t").alias("a"), F.max("t").alias("b"))
                        .where((F.col("n_rows") >= LEAST) & (F.col("a") < F.col("b"))).select("leaf", "n_rows"), "full")
-    suspects = _joined(open_units, full, "leaf", total).select("t", "t2", "place")
+    suspects = _joined(open_units, full, "leaf", total).select("t", "t2", "s1", "s2", "place")
     general = materialize(_with_fields(docs, suspects, text), "general")
     gone = materialize(recurring(general.select("key", "needs", "t", "s1", "s2")), "gone")
     more = _joined(general.select("t", "t2", "place", "key"), gone, "key", max(general.count(), 1))
@@ -230,15 +272,18 @@ def _without_keys(rows: DataFrame, gone: DataFrame, total: int) -> DataFrame:
 def _without(text: Column, places: Column) -> Column:
     """``text`` less the units at ``places``; a line that loses all its words goes whole."""
     def gone(part: Column, at: Column) -> Column:
-        near = lambda low, high: F.exists(places, lambda p: (p >= at + low) & (p <= at + high))
+        near = lambda *steps: F.arrays_overlap(places, F.array(*[at + k for k in steps]))
+        short = _n_words(_squeezed(_plain(part))) < SHORT
         return F.array_contains(places, at) | (
-            near(-_NEAR, -1) & near(1, _NEAR) & (F.size(_words(_plain(part))) < SHORT))
+            near(*range(-_NEAR, 0)) & near(*range(1, _NEAR + 1)) & short)
 
     def line(content: Column, number: Column) -> Column:
         first = number.cast("bigint") * _LINE
         hit = F.exists(places, lambda p: (p >= first) & (p < first + _LINE))
-        left = F.array_join(F.filter(F.split(content, _SENTENCE), lambda part, i: ~gone(part, first + i)), "")
-        return F.when(~hit, content).when(left.rlike(r"[^\x20\x09-\x0D]"), F.ltrim(left))
+        left = F.array_join(F.filter(_sentences(content), lambda part, i: ~gone(part, first + i)), "")
+        # In an array, so that it is worked out once.
+        kept = F.get(F.transform(F.array(left), lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.ltrim(x))), F.lit(0))
+        return F.when(~hit, content).otherwise(kept)
 
     lines = F.transform(F.split(text, "\n"), line)
     return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
@@ -258,7 +303,7 @@ def drop_templates(docs: DataFrame, text: str = "text", changed: str | None = No
     others = [c for c in columns if c != text]
     rows = docs.select(packed(docs, others).alias("row"), F.col(f"`{text}`").alias("whole"))
     first, second = _text_key(F.col("whole"))
-    joined = rows.join(places, (first == F.col("t")) & (second == F.col("t2")), "left")
+    joined = rows.join(places.hint("shuffle_hash"), (first == F.col("t")) & (second == F.col("t2")), "left")
     cleaned = F.when(F.col("places").isNull(), F.col("whole")).otherwise(_without(F.col("whole"), F.col("places")))
     own = dict(zip(others, unpacked("row", others), strict=True)) | {text: cleaned.alias(text)}
     result = [own[c] for c in columns]
